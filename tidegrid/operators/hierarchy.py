@@ -38,6 +38,10 @@ def with_parents(kept: list[str]) -> list[str]:
     return [k for k in KEYS if k in kept or k in implied]
 
 
+# The mid levels every other level can be summed from.
+SOURCES = {12: [12], 11: [11, 10], 9: [9, 8, 7, 6, 5, 4, 3, 2, 1]}
+
+
 def rollup_hierarchy(
     df: DataFrame,
     sums: list[str],
@@ -47,22 +51,34 @@ def rollup_hierarchy(
 ) -> DataFrame:
     """Sums of ``sums`` at every level, per ``by`` (for example the day).
 
-    Rows are first summed to the bottom level, because the expand step writes one
-    copy of each input row per level. ``grouping_id`` tells a level from a null key.
-    With ``parents`` a level keeps the keys implied by its own ones.
+    Two steps instead of one copy of every bottom row per level: grouping sets make
+    item x store, item x state and department x store; the small ones feed the rest.
+    ``grouping_id`` and the level number tell a level from a null key. With ``parents``
+    a level keeps the keys implied by its own ones.
     """
     by = by or []
     levels = levels or list(LEVELS)
-    bottom = df.groupBy(*KEYS, *by).agg(*[F.sum(c).alias(c) for c in sums])
-    kept = {lv: with_parents(LEVELS[lv]) if parents else [k for k in KEYS if k in LEVELS[lv]] for lv in levels}
-    sets = [[F.col(c) for c in [*kept[lv], *by]] for lv in levels]
-    grouped = bottom.groupingSets(sets, *KEYS, *by).agg(
+    steps = {src: [lv for lv in outs if lv in levels] for src, outs in SOURCES.items()}
+    steps = {src: outs for src, outs in steps.items() if outs}
+    kept = {src: with_parents(LEVELS[src]) for src in steps}
+    sets = [[F.col(c) for c in [*kept[src], *by]] for src in steps]
+    first = df.groupingSets(sets, *KEYS, *by).agg(
         *[F.sum(c).alias(c) for c in sums], F.grouping_id().alias("_gid")
     )
-    code = F.lit(None).cast("int")
-    for lv in levels:
-        code = F.when(F.col("_gid") == _gid(kept[lv], KEYS) * (1 << len(by)), lv).otherwise(code)
-    return grouped.withColumn("level", code).drop("_gid")
+    outs = F.lit(None).cast("array<int>")
+    for src, targets in steps.items():
+        hit = F.col("_gid") == _gid(kept[src], KEYS) * (1 << len(by))
+        outs = F.when(hit, F.array(*[F.lit(lv) for lv in targets])).otherwise(outs)
+    spread = first.select(*KEYS, *by, *sums, F.explode(outs).alias("level"))
+    masked = []
+    for key in KEYS:
+        having = [lv for lv in levels if key in (with_parents(LEVELS[lv]) if parents else LEVELS[lv])]
+        masked.append(F.when(F.col("level").isin(having), F.col(key)).alias(key) if having else F.lit(None).cast("string").alias(key))
+    return (
+        spread.select("level", *masked, *by, *sums)
+        .groupBy("level", *KEYS, *by)
+        .agg(*[F.sum(c).alias(c) for c in sums])
+    )
 
 
 def level_series_id(levels: list[int] | None = None):

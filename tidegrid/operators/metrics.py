@@ -35,28 +35,27 @@ def rmsse(df: DataFrame, scale: DataFrame, keys: list[str], rooted: bool = True)
     return mse.join(scale, keys).select(*keys, (F.sqrt(ratio) if rooted else ratio).alias("rmsse"))
 
 
-def wrmsse_levels(grid: DataFrame, forecast: DataFrame, prices: DataFrame, calendar: DataFrame,
-                  train_end: Column, horizon: int = 28) -> DataFrame:
-    """Weighted scaled error per level (12 rows).
+def wrmsse_levels(grid: DataFrame, forecast: DataFrame, revenue: DataFrame, train_end: Column) -> DataFrame:
+    """Weighted scaled error per level (12 rows). Infinite ratios are dropped.
 
-    One rollup carries sales, forecast and revenue together; one window per level series
-    gives the naive steps; two small aggregates finish. Infinite ratios are dropped.
+    ``grid``: keys, d, sales; ``forecast``: keys, step, forecast; ``revenue``: keys, revenue.
+    The three are stacked, not joined: sums merge them at every level. One window per level
+    series gives the naive steps; two small aggregates finish.
     """
-    weeks = calendar.select("d", "wm_yr_wk")
-    fc = forecast.select("item_id", "store_id", (F.col("step") + train_end).alias("d"), F.col("forecast").alias("fc"))
-    recent = grid.filter((F.col("d") > train_end - horizon) & (F.col("d") <= train_end) & (F.col("sales") > 0))
-    revenue = (
-        recent.join(weeks, "d")
-        .join(prices, ["store_id", "item_id", "wm_yr_wk"])
-        .select(*KEYS, "d", F.lit(0.0).alias("sales"), F.lit(0.0).alias("fc"), (F.col("sales") * F.col("sell_price")).alias("revenue"))
-    )
-    future = grid.filter(F.col("d") > train_end).join(fc, ["item_id", "store_id", "d"], "left").select(
-        *KEYS, "d", "sales", F.coalesce("fc", F.lit(0.0)).alias("fc"), F.lit(0.0).alias("revenue")
-    )
-    past = grid.filter(F.col("d") <= train_end).select(
-        *KEYS, "d", "sales", F.lit(0.0).alias("fc"), F.lit(0.0).alias("revenue")
-    )
-    rolled = rollup_hierarchy(past.unionByName(future).unionByName(revenue), ["sales", "fc", "revenue"], ["d"])
+    zero = F.lit(0.0)
+    stacked = (
+        grid.select(*KEYS, "d", "sales", zero.alias("fc"), zero.alias("revenue"))
+        .unionByName(
+            forecast.select(
+                *KEYS, (F.col("step") + train_end).cast("int").alias("d"), zero.alias("sales"),
+                F.col("forecast").alias("fc"), zero.alias("revenue"),
+            )
+        )
+        .unionByName(
+            revenue.select(*KEYS, train_end.cast("int").alias("d"), zero.alias("sales"), zero.alias("fc"), "revenue")
+        )
+    )
+    rolled = rollup_hierarchy(stacked, ["sales", "fc", "revenue"], ["d"])
     series = ["level", *KEYS]
     order = Window.partitionBy(*series).orderBy("d")
     rows = rolled.withColumn("_step", F.col("sales") - F.lag("sales").over(order)).withColumn("_end", train_end)
@@ -76,14 +75,19 @@ def wrmsse_levels(grid: DataFrame, forecast: DataFrame, prices: DataFrame, calen
     )
 
 
-def wrmsse_weights(grid: DataFrame, prices: DataFrame, calendar: DataFrame, end: Column, span: int = 28) -> DataFrame:
-    """Share of each series in its level's revenue over the last ``span`` days."""
-    recent = grid.filter((F.col("d") > end - span) & (F.col("d") <= end) & (F.col("sales") > 0))
-    revenue = (
+def recent_revenue(panel: DataFrame, prices: DataFrame, calendar: DataFrame, end: Column, span: int = 28) -> DataFrame:
+    """Units x weekly price over the last ``span`` days, per bottom series."""
+    recent = panel.filter((F.col("d") > end - span) & (F.col("d") <= end) & (F.col("sales") > 0))
+    return (
         recent.join(calendar.select("d", "wm_yr_wk"), "d")
         .join(prices, ["store_id", "item_id", "wm_yr_wk"])
-        .select(*KEYS, (F.col("sales") * F.col("sell_price")).alias("revenue"))
+        .groupBy(*KEYS)
+        .agg(F.sum(F.col("sales") * F.col("sell_price")).alias("revenue"))
     )
+
+
+def revenue_shares(revenue: DataFrame) -> DataFrame:
+    """Share of each series in its level's revenue."""
     rolled = rollup_hierarchy(revenue, ["revenue"])
     totals = rolled.groupBy("level").agg(F.sum("revenue").alias("_t"))
     return rolled.join(totals, "level").withColumn("weight", F.try_divide(F.col("revenue"), F.col("_t"))).drop("_t")

@@ -51,17 +51,32 @@ def extend_horizon(df: DataFrame, keys: list[str], horizon: int, day: str = "d",
     return df.select(*keys, day, value).unionByName(future)
 
 
-def fill_gaps(df: DataFrame, keys: list[str], day: str, fills: dict, end: Column) -> DataFrame:
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash by key into the configured number of partitions.
+
+    Used before rows multiply: adaptive coalescing sizes partitions by what is shuffled,
+    which says nothing about the rows made after it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
+def fill_gaps(
+    df: DataFrame, keys: list[str], day: str, fills: dict, end: Column, start: Column | None = None
+) -> DataFrame:
     """Gap-free days from each series' first row to ``end``.
 
     Each observed row is stretched up to the day before the next one, so the whole
-    job is one shuffle by series: no calendar join.
+    job is one shuffle by series: no calendar join. ``start`` leaves out days before it
+    (for readers that look back a known number of days).
     """
     nxt = F.lead(day).over(Window.partitionBy(keys[0]).orderBy(day))
-    stretched = df.withColumn("_from", F.col(day)).withColumn("_to", F.coalesce(nxt - 1, end))
-    rows = stretched.select(
-        *keys, "_from", *fills, F.explode(F.sequence("_from", F.greatest("_from", "_to"))).alias(day)
-    )
+    stretched = spread_by(df, keys[0]).withColumn("_from", F.col(day)).withColumn("_to", F.coalesce(nxt - 1, end))
+    if start is not None:
+        stretched = stretched.withColumn("_lo", F.greatest(F.col("_from"), start)).filter("_to >= _lo")
+    else:
+        stretched = stretched.withColumn("_lo", F.col("_from"))
+    rows = stretched.select(*keys, "_from", *fills, F.explode(F.sequence("_lo", "_to")).alias(day))
     real = F.col(day) == F.col("_from")
     filled = [F.when(real, F.col(c)).otherwise(F.lit(v)).alias(c) for c, v in fills.items()]
     return rows.select(*keys, day, *filled)

@@ -1,6 +1,6 @@
 """Importing this package registers every named query."""
 
-from tidegrid.plans import flagship  # noqa: F401
+from tidegrid.plans import flagship, windows  # noqa: F401
 from tidegrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.operators.forecast import seasonal_naive
-from tidegrid.operators.metrics import wrmsse_levels, wrmsse_weights
+from tidegrid.operators.metrics import recent_revenue, revenue_shares, wrmsse_levels
 from tidegrid.plans.registry import query
 from tidegrid.sources.retail import SERIES
 
@@ -29,8 +29,8 @@ NAIVE_SQL = """tail AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d
 
 
 def naive_forecast(t, horizon: int = HORIZON, m: int = 7):
-    past = t.grid.filter(F.col("d") <= t.last_day - horizon)
-    return seasonal_naive(past, SERIES, horizon, m)
+    cut = t.last_day - horizon
+    return seasonal_naive(t.grid_between(cut - m, cut), SERIES, horizon, m)
 
 
 @query(
@@ -54,7 +54,9 @@ def naive_forecast(t, horizon: int = HORIZON, m: int = 7):
     "grid prices lastday",
 )
 def wrmsse_by_level(t):
-    out = wrmsse_levels(t.grid, naive_forecast(t), t.prices, t.calendar, t.last_day - HORIZON, HORIZON)
+    cut = t.last_day - HORIZON
+    revenue = recent_revenue(t.panel, t.prices, t.calendar, cut, HORIZON)
+    out = wrmsse_levels(t.grid, naive_forecast(t), revenue, cut)
     return out.withColumn("wrmsse", F.round("wrmsse", 6))
 
 
@@ -69,5 +71,5 @@ def wrmsse_by_level(t):
     "panel prices lastday",
 )
 def revenue_weights(t):
-    out = wrmsse_weights(t.panel, t.prices, t.calendar, t.last_day, 28)
+    out = revenue_shares(recent_revenue(t.panel, t.prices, t.calendar, t.last_day, HORIZON))
     return out.withColumn("revenue", F.round("revenue", 4)).withColumn("weight", F.round("weight", 8))

@@ -92,6 +92,13 @@ class Retail:
 
         return fill_gaps(self.panel, SERIES, "d", {"sales": 0.0, "cents": 0}, end=self.last_day)
 
+    def grid_between(self, after: Column, upto: Column) -> DataFrame:
+        """The grid's days in (after, upto]; earlier days are never generated."""
+        from tidegrid.operators.reshape import fill_gaps
+
+        past = self.panel.filter(F.col("d") <= upto)
+        return fill_gaps(past, SERIES, "d", {"sales": 0.0, "cents": 0}, end=upto, start=after + 1)
+
     @cached_property
     def dept_panel(self) -> DataFrame:
         """Observed daily sales per department x store."""
