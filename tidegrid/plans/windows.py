@@ -179,10 +179,10 @@ def price_vs_rolling_mean(t):
 SPANS = {"ewm_3": 3, "ewm_7": 7, "ewm_30": 30, "ewm_100": 100}
 
 
-def _ewm(name, span, x="sales"):
+def _ewm(name, span, x="sales", digits=6):
     r = 1 - 2.0 / (span + 1)
     return rnd(
-        f"CASE WHEN count({x}) OVER w >= {W.min_periods(span)} THEN sum({x} * pow({r!r}, -i)) OVER w / sum(CASE WHEN {x} IS NOT NULL THEN pow({r!r}, -i) END) OVER w END", name)
+        f"CASE WHEN count({x}) OVER w >= {W.min_periods(span)} THEN sum({x} * pow({r!r}, -i)) OVER w / sum(CASE WHEN {x} IS NOT NULL THEN pow({r!r}, -i) END) OVER w END", name, digits)
 
 
 @query(
@@ -199,12 +199,12 @@ def ewm_means(t):
 @query(
     "ewm_recursive",
     f"""WITH i AS (SELECT store_id, item_id, wm_yr_wk, sell_price, row_number() OVER w - 1 AS i FROM prices {PWN})
- SELECT store_id, item_id, wm_yr_wk, {rnd('pow(0.9, i) * sum(sell_price * CASE WHEN i = 0 THEN 1 ELSE 0.1::DOUBLE END * pow(0.9, -i)) OVER w', 'ewm_19', 4)} FROM i {PWN}""",
+ SELECT store_id, item_id, wm_yr_wk, {rnd('pow(1 - 2.0::DOUBLE / 21, i) * sum(sell_price * CASE WHEN i = 0 THEN 1 ELSE 2.0::DOUBLE / 21 END * pow(1 - 2.0::DOUBLE / 21, -i)) OVER w', 'ewm_20', 4)} FROM i {PWN}""",
     "prices",
 )
 def ewm_recursive(t):
-    out = W.ewm_recursive(t.prices, PK, {"ewm_19": 19}, "wm_yr_wk", "sell_price").drop("sell_price")
-    return rounded(out, ["ewm_19"], 4)
+    out = W.ewm_recursive(t.prices, PK, {"ewm_20": 20}, "wm_yr_wk", "sell_price").drop("sell_price")
+    return rounded(out, ["ewm_20"], 4)
 
 
 @query(
@@ -223,19 +223,19 @@ def snap_nth_day(t):
 
 @query(
     "ma_crosses",
-    f"""WITH i AS (SELECT id, d, sales, row_number() OVER w - 1 AS i FROM panel {WN}), e AS (SELECT id, d, {_ewm('a', 7)}, {_ewm('b', 30)} FROM i {WN})
+    f"""WITH i AS (SELECT id, d, sales, row_number() OVER w - 1 AS i FROM panel {WN}), e AS (SELECT id, d, {_ewm('a', 7, digits=12)}, {_ewm('b', 30, digits=12)} FROM i {WN})
  SELECT id, d, {rnd('a - b', 'a_minus_b', 5)}, {rnd('a / b', 'a_over_b', 5)} FROM e""",
     "panel",
 )
 def ma_crosses(t):
     e = W.ewm_mean(t.panel.select("id", "d", "sales"), ID, {"a": 7, "b": 30}).drop("sales")
-    return rounded(W.ma_crosses(rounded(e, ["a", "b"]), ["a", "b"]).drop("a", "b"), ["a_minus_b", "a_over_b"], 5)
+    return rounded(W.ma_crosses(e, ["a", "b"]).drop("a", "b"), ["a_minus_b", "a_over_b"], 5)
 
 
 @query(
     "rolling_group_ratio",
     f"""WITH s AS (SELECT store_id AS id, d, avg(sales) AS sales FROM panel GROUP BY ALL)
- SELECT id, d, least(greatest({'CASE WHEN count(*) OVER ' + _frame(0, 56) + ' = 56 THEN avg(sales) OVER ' + _frame(0, 28) + ' / avg(sales) OVER ' + _frame(0, 56) + ' - 1 END'}, -0.5), 0.5).round(6) + 0.0::DOUBLE AS ratio_28_56 FROM s""",
+ SELECT id, d, CASE WHEN count(*) OVER {_frame(0, 56)} = 56 THEN round(least(greatest(avg(sales) OVER {_frame(0, 28)} / avg(sales) OVER {_frame(0, 56)} - 1, -0.5), 0.5), 6) + 0.0::DOUBLE END AS ratio_28_56 FROM s""",
     "panel",
 )
 def rolling_group_ratio(t):
