@@ -284,6 +284,6 @@ def forecast_json(quantiles: DataFrame, keys: list[str], named: dict[str, str],
     """One JSON document per series: mean and quantile arrays in step order."""
     row = F.struct("step", F.col(mean).alias("mean"), *[F.col(c).alias(n) for n, c in named.items()])
     packed = quantiles.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_r"))
-    quants = F.struct(*[F.transform("_r", lambda r, n=n: r[n]).alias(n) for n in named])
-    doc = F.to_json(F.struct(F.transform("_r", lambda r: r["mean"]).alias("mean"), quants.alias("quantiles")))
+    quants = F.struct(*[F.col("_r")[n].alias(n) for n in named])
+    doc = F.to_json(F.struct(F.col("_r")["mean"].alias("mean"), quants.alias("quantiles")))
     return packed.select(*keys, doc.alias("document"))

@@ -146,7 +146,7 @@ def collect_series(df: DataFrame, keys: list[str], day: str, fields: dict[str, s
         .select(
             *keys,
             F.col("_rows")[0]["t"].alias("start"),
-            *[F.transform("_rows", lambda r, n=n: r[n]).alias(n) for n in fields],
+            *[F.col("_rows")[n].alias(n) for n in fields],
         )
     )
 

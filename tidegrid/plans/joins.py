@@ -26,13 +26,12 @@ def left_join_keep(t):
 
 @query(
     "price_by_day",
-    f"""SELECT p.id, p.d, p.sales, round(x.sell_price, 4) AS sell_price FROM panel p LEFT JOIN prices x
+    f"""SELECT p.id, p.d, p.sales, x.sell_price FROM panel p LEFT JOIN prices x
  ON x.store_id = p.store_id AND x.item_id = p.item_id AND x.wm_yr_wk = {WK}""",
     "panel prices",
 )
 def price_by_day(t):
-    out = J.price_to_day(t.panel, t.prices, t.calendar).select("id", "d", "sales", "sell_price")
-    return rounded(out, ["sell_price"], 4)
+    return J.price_to_day(t.panel, t.prices, t.calendar).select("id", "d", "sales", "sell_price")
 
 
 @query(
@@ -153,7 +152,7 @@ def days_since_last_sale(t):
 
 @query(
     "expand_horizon",
-    "SELECT id, days_fwd, sum(cents) AS cents, count(*) AS n FROM (SELECT id, cents, unnest(range(1, 29)) AS days_fwd FROM panel) GROUP BY ALL",
+    "SELECT id, days_fwd, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS n FROM (SELECT id, cents, unnest(range(1, 29)) AS days_fwd FROM panel) GROUP BY ALL",
     "panel",
 )
 def expand_horizon(t):
@@ -164,14 +163,14 @@ def expand_horizon(t):
 
 @query(
     "price_stats",
-    f"""SELECT store_id, item_id, wm_yr_wk, {rnd('max(sell_price) OVER w', 'price_max', 4)}, {rnd('min(sell_price) OVER w', 'price_min', 4)},
+    f"""SELECT store_id, item_id, wm_yr_wk, max(sell_price) OVER w AS price_max, min(sell_price) OVER w AS price_min,
  {rnd('stddev_samp(sell_price) OVER w', 'price_std', 4)}, {rnd('avg(sell_price) OVER w', 'price_mean', 4)}, {rnd('sell_price / max(sell_price) OVER w', 'price_norm', 6)}
  FROM prices WINDOW w AS (PARTITION BY store_id, item_id)""",
     "prices",
 )
 def price_stats(t):
     out = E.price_stats(t.prices, ["store_id", "item_id"]).drop("sell_price")
-    return rounded(rounded(out, ["price_max", "price_min", "price_std", "price_mean"], 4), ["price_norm"])
+    return rounded(rounded(out, ["price_std", "price_mean"], 4), ["price_norm"])
 
 
 @query(
@@ -356,9 +355,9 @@ def one_hot_events(t):
     return E.one_hot(E.one_hot(cal, "event_name_1", E1), "wday", list(range(1, 8))).drop("event_name_1", "wday")
 
 
-@query("sorted_prices", "SELECT item_id, store_id, wm_yr_wk, round(sell_price, 4) AS sell_price FROM prices ORDER BY item_id, store_id, wm_yr_wk", "prices")
+@query("sorted_prices", "SELECT item_id, store_id, wm_yr_wk, sell_price FROM prices ORDER BY item_id, store_id, wm_yr_wk", "prices")
 def sorted_prices(t):
-    return E.sort_panel(rounded(t.prices, ["sell_price"], 4), ["item_id", "store_id", "wm_yr_wk"])
+    return E.sort_panel(t.prices, ["item_id", "store_id", "wm_yr_wk"])
 
 
 @query("top_series", "SELECT id, sum(sales) AS total FROM panel GROUP BY id ORDER BY total DESC, id LIMIT 20", "panel")
@@ -368,7 +367,7 @@ def top_series(t):
 
 @query(
     "every_kth_series",
-    "SELECT id, total FROM (SELECT id, sum(cents) AS total, row_number() OVER (ORDER BY sum(cents) DESC, id) AS r FROM panel GROUP BY id) WHERE (r - 1) % 10 = 0",
+    "SELECT id, total FROM (SELECT id, CAST(sum(cents) AS BIGINT) AS total, row_number() OVER (ORDER BY sum(cents) DESC, id) AS r FROM panel GROUP BY id) WHERE (r - 1) % 10 = 0",
     "panel",
 )
 def every_kth_series(t):

@@ -135,9 +135,8 @@ def rows_to_entries(t):
 
 @query(
     "resample_hourly",
-    """SELECT user_id, date_trunc('hour', ts) AS bucket, round(sum(value), 4) AS value, count(value) AS n FROM events GROUP BY ALL
- QUALIFY date_trunc('hour', ts) BETWEEN min(CASE WHEN count(value) > 0 THEN date_trunc('hour', ts) END) OVER (PARTITION BY user_id)
-  AND max(CASE WHEN count(value) > 0 THEN date_trunc('hour', ts) END) OVER (PARTITION BY user_id)""",
+    """WITH b AS (SELECT user_id, date_trunc('hour', ts) AS bucket, round(sum(value), 4) AS value, count(value) AS n FROM events GROUP BY ALL)
+ SELECT * FROM b QUALIFY bucket BETWEEN min(CASE WHEN n > 0 THEN bucket END) OVER (PARTITION BY user_id) AND max(CASE WHEN n > 0 THEN bucket END) OVER (PARTITION BY user_id)""",
 )
 def resample_hourly(t):
     return rounded(R.resample(t.table("events"), ["user_id"], "ts", "value", "hour"), ["value"], 4)
@@ -216,7 +215,7 @@ NAME_CASE = """CASE level WHEN 1 THEN 'Total_X' WHEN 2 THEN state_id || '_X' WHE
     f"""WITH r AS (SELECT {LEVEL} AS level, state_id, store_id, cat_id, dept_id, item_id, sum(sales) AS sales,
    any_value(state_id) AS fs FROM panel GROUP BY {gsets()}),
  i AS (SELECT DISTINCT item_id, dept_id AS dd, cat_id AS cc FROM panel), s AS (SELECT DISTINCT store_id, state_id AS ss FROM panel)
- SELECT level, {NAME_CASE} AS series, sales, coalesce(r.state_id, s.ss, 'All') AS state_id, coalesce(r.store_id, 'All') AS store_id,
+ SELECT level, {NAME_CASE.replace("state_id", "r.state_id").replace("store_id", "r.store_id").replace("cat_id", "r.cat_id").replace("dept_id", "r.dept_id").replace("item_id", "r.item_id")} AS series, sales, coalesce(r.state_id, s.ss, 'All') AS state_id, coalesce(r.store_id, 'All') AS store_id,
   coalesce(r.cat_id, i.cc, CASE WHEN r.dept_id IS NOT NULL THEN 'C' || substr(r.dept_id, 2, 1) END, 'All') AS cat_id,
   coalesce(r.dept_id, i.dd, 'All') AS dept_id, coalesce(r.item_id, 'All') AS item_id
  FROM r LEFT JOIN i ON i.item_id = r.item_id LEFT JOIN s ON s.store_id = r.store_id""",

@@ -198,13 +198,13 @@ def ewm_means(t):
 
 @query(
     "ewm_recursive",
-    f"""WITH i AS (SELECT store_id, item_id, wm_yr_wk, sell_price, row_number() OVER w - 1 AS i FROM prices {PWN})
- SELECT store_id, item_id, wm_yr_wk, {rnd('pow(1 - 2.0::DOUBLE / 21, i) * sum(sell_price * CASE WHEN i = 0 THEN 1 ELSE 2.0::DOUBLE / 21 END * pow(1 - 2.0::DOUBLE / 21, -i)) OVER w', 'ewm_20', 4)} FROM i {PWN}""",
-    "prices",
+    f"""WITH i AS (SELECT id, d, sales, row_number() OVER w - 1 AS i FROM panel {WN})
+ SELECT id, d, {rnd('pow(1 - 2.0::DOUBLE / 21, i) * sum(sales * CASE WHEN i = 0 THEN 1 ELSE 2.0::DOUBLE / 21 END * pow(1 - 2.0::DOUBLE / 21, -i)) OVER w', 'ewm_20')} FROM i {WN}""",
+    "panel",
 )
 def ewm_recursive(t):
-    out = W.ewm_recursive(t.prices, PK, {"ewm_20": 20}, "wm_yr_wk", "sell_price").drop("sell_price")
-    return rounded(out, ["ewm_20"], 4)
+    out = W.ewm_recursive(t.panel.select("id", "d", "sales"), ["id"], {"ewm_20": 20}).drop("sales")
+    return rounded(out, ["ewm_20"])
 
 
 @query(
