@@ -102,7 +102,7 @@ def cdf_transform(history: DataFrame, new: DataFrame | None, keys: list[str], va
         .when(F.col("_left") == F.col("_m"), (m - 1) / m)
         .otherwise(between)
     )
-    cut = 1 / (4 * F.pow(m, F.lit(0.25)) * F.sqrt(3.14 * F.log(m)))
+    cut = F.try_divide(F.lit(1.0), 4 * F.pow(m, F.lit(0.25)) * F.sqrt(3.14 * F.log(m)))
     table = table.withColumn("cdf", F.least(F.greatest(share, cut), 1 - cut))
     scored = table.select(*keys, F.col("_v").alias(value), "cdf", normal_ppf(F.col("cdf")).alias("score"))
     target = new if new is not None else history

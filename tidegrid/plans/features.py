@@ -154,7 +154,7 @@ def age_feature(t):
 
 @query(
     "constant_feature",
-    "SELECT id, len(list(sales)) + 28 AS length, (len(list(sales)) + 28) * 3.0 AS total FROM panel GROUP BY id",
+    "SELECT id, len(list(sales)) + 28 AS length, (len(list(sales)) + 28) * 3.0::DOUBLE AS total FROM panel GROUP BY id",
     "panel",
 )
 def constant_feature(t):
