@@ -118,18 +118,21 @@ def bottom_up(bottom: DataFrame, top: DataFrame, multipliers: list[float]) -> Da
     return gaps.withColumn("best", F.col("multiplier") == best)
 
 
-def rolling_residuals(df: DataFrame, forecaster, keys: list[str], h: int, blocks: int, day: str = "d",
-                      value: str = "sales") -> DataFrame:
+def rolling_residuals(df: DataFrame, forecaster, keys: list[str], h: int, blocks: int, lookback: int | None = None,
+                      day: str = "d", value: str = "sales") -> DataFrame:
     """Residuals of a forecaster over the last ``blocks`` windows of h days, per series and day.
 
     All cut points run as one job: history is copied once per block and the block is a key.
+    ``lookback`` is the history the forecaster uses; older rows are not copied.
     """
     end = df.agg(F.max(day)).scalar()
-    cuts = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(blocks))).alias("block"), end.alias("_end"))
-    cuts = cuts.withColumn("_cut", F.col("_end") - F.col("block") * h)
-    past = cuts.filter(F.col(day) <= F.col("_cut"))
-    fc = forecaster(past, [*keys, "block"])
-    actual = cuts.filter((F.col(day) > F.col("_cut")) & (F.col(day) <= F.col("_cut") + h)).select(
+    rows = df if lookback is None else df.filter(F.col(day) > end - blocks * h - lookback)
+    cuts = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(blocks))).alias("block"), end.alias("_end"))
+    cuts = cuts.withColumn("_cut", F.col("_end") - F.col("block") * h).filter(F.col(day) <= F.col("_cut") + h)
+    if lookback is not None:
+        cuts = cuts.filter(F.col(day) > F.col("_cut") - lookback)
+    fc = forecaster(cuts.filter(F.col(day) <= F.col("_cut")), [*keys, "block"])
+    actual = cuts.filter(F.col(day) > F.col("_cut")).select(
         *keys, "block", (F.col(day) - F.col("_cut")).alias("step"), F.col(value).alias("_y")
     )
     return actual.join(fc, [*keys, "block", "step"]).select(

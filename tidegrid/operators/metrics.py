@@ -242,3 +242,50 @@ def crps_quantiles(df: DataFrame, keys: list[str], qcols: dict[float, str]) -> D
     """Mean over the quantile grid of twice the pinball loss, averaged over rows."""
     terms = [2 * pinball(F.col("y"), F.col(c), q) for q, c in qcols.items()]
     return df.groupBy(*keys).agg(F.avg(mean_of(terms)).alias("crps"))
+
+
+def evaluate_multivariate(df: DataFrame, item: str, dim: str, errors: DataFrame, summed_errors: DataFrame,
+                          qcols: dict[float, str], median: str, mean: str) -> DataFrame:
+    """Aggregate metrics per dimension, over all dimensions, and after summing the dimensions.
+
+    ``errors``: item, dim, seasonal_error; ``summed_errors``: item, seasonal_error.
+    The dimension is a group key, so any number of dimensions is one job.
+    """
+    values = list(dict.fromkeys(["y", mean, median, *qcols.values()]))
+    per = evaluate(df, errors, [item, dim], qcols, median, mean)
+    by_dim = aggregate_metrics(per, qcols, [dim]).withColumnRenamed(dim, "scope")
+    everything = aggregate_metrics(per, qcols).withColumn("scope", F.lit("all"))
+    summed = df.groupBy(item, "step").agg(*[F.sum(c).alias(c) for c in values])
+    after = aggregate_metrics(evaluate(summed, summed_errors, [item], qcols, median, mean), qcols)
+    return by_dim.unionByName(everything).unionByName(after.withColumn("scope", F.lit("sum")))
+
+
+def backtest(df: DataFrame, forecaster, keys: list[str], h: int, m: int, lead: int = 0, day: str = "d",
+             value: str = "sales") -> DataFrame:
+    """Hold out the last h (after a gap of ``lead``), forecast, score, and describe the training data: one row."""
+    from tidegrid.operators.encode import dataset_stats
+
+    cut = df.agg(F.max(day)).scalar() - (h + lead)
+    past = df.filter(F.col(day) <= cut)
+    fc = forecaster(past, keys).select(*keys, "step", "forecast").filter(F.col("step") > lead)
+    actual = df.filter(F.col(day) > cut + lead).select(*keys, (F.col(day) - cut).alias("step"), F.col(value).alias("y"))
+    joined = actual.join(fc, [*keys, "step"])
+    per = evaluate(joined, seasonal_error(past, keys, m, day, value), keys, {0.5: "forecast"}, "forecast", "forecast")
+    stats = dataset_stats(past, keys, day, value)
+    scores = aggregate_metrics(per, {0.5: "forecast"})
+    both = scores.withColumn("_s", stats.select(F.struct(*stats.columns)).scalar())
+    return both.select(*scores.columns, *[F.col(f"_s.{c}").alias(f"train_{c}") for c in ("num_series", "num_observations", "mean_target", "max_length")])
+
+
+def score_folds(grid: DataFrame, forecast: DataFrame, keys: list[str], cuts: dict[str, Column], h: int) -> DataFrame:
+    """RMSE per fold. ``forecast``: fold, keys, step, forecast; ``cuts``: fold -> last training day."""
+    parts = None
+    for fold, cut in cuts.items():
+        rows = grid.filter((F.col("d") > cut) & (F.col("d") <= cut + h)).select(
+            F.lit(fold).alias("fold"), *keys, (F.col("d") - cut).alias("step"), F.col("sales").alias("y")
+        )
+        parts = rows if parts is None else parts.unionByName(rows)
+    joined = parts.join(forecast, ["fold", *keys, "step"])
+    return joined.groupBy("fold").agg(
+        F.sqrt(F.avg(F.pow(F.col("y") - F.col("forecast"), F.lit(2.0)))).alias("value")
+    ).select("fold", F.lit("rmse").alias("metric"), "value")

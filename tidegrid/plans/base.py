@@ -58,6 +58,29 @@ VIEWS = {
  CAST((day(dt) + 2) % 3 = 0 AS INT) AS "snap_ASIA"
  FROM (SELECT d, CAST(DATE '1995-01-02' + (d - 1) AS DATE) AS dt FROM days)""",
     ),
+    "fc7": (
+        ["grid", "lastday"],
+        """SELECT id, item_id, dept_id, cat_id, store_id, state_id, CAST(step AS INT) AS step, forecast FROM (
+ SELECT t.*, unnest(CASE WHEN n = 7 THEN range(8 - back, 29, 7) WHEN back = 1 THEN range(1, 29) ELSE [] END) AS step, CASE WHEN n = 7 THEN sales ELSE m END AS forecast FROM (
+ SELECT *, count(*) OVER (PARTITION BY id) AS n, avg(sales) OVER (PARTITION BY id) AS m, row_number() OVER (PARTITION BY id ORDER BY d DESC) AS back
+ FROM grid, lastday WHERE d > e - 35 AND d <= e - 28) t)""",
+    ),
+    "hist": (
+        ["grid", "lastday"],
+        """SELECT id, item_id, dept_id, cat_id, store_id, state_id, avg(sales) AS mean, quantile_cont(sales, 0.1) AS q10, quantile_cont(sales, 0.5) AS q50, quantile_cont(sales, 0.9) AS q90
+ FROM grid, lastday WHERE d > e - 56 AND d <= e - 28 GROUP BY ALL""",
+    ),
+    "fcm": (["hist"], "SELECT id, item_id, dept_id, cat_id, store_id, state_id, CAST(unnest(range(1, 29)) AS INT) AS step, mean AS forecast FROM hist"),
+    "ev": (
+        ["grid", "lastday", "fc7", "hist"],
+        """SELECT g.id, g.item_id, g.dept_id, g.cat_id, g.store_id, g.state_id, f.step, g.sales AS y, f.forecast, h.mean, h.q10, h.q50, h.q90
+ FROM grid g CROSS JOIN lastday JOIN fc7 f ON f.id = g.id AND f.step = g.d - (e - 28) JOIN hist h ON h.id = g.id""",
+    ),
+    "serr": (
+        ["grid", "lastday"],
+        """SELECT id, CASE WHEN count(*) > 7 THEN avg(m) ELSE avg(o) END AS seasonal_error FROM (
+ SELECT id, abs(sales - lag(sales, 7) OVER w) AS m, abs(sales - lag(sales, 1) OVER w) AS o FROM grid, lastday WHERE d <= e - 28 WINDOW w AS (PARTITION BY id ORDER BY d)) GROUP BY id""",
+    ),
 }
 
 
