@@ -6,14 +6,12 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import ensemble as E
 from tidegrid.operators import forecast as C
-from tidegrid.operators.hierarchy import LEVELS, rollup_top
-from tidegrid.operators.metrics import mean_of
+from tidegrid.operators.hierarchy import rollup_top
 from tidegrid.plans import frames as X
 from tidegrid.plans.flagship import HORIZON, LEVEL, gsets
 from tidegrid.plans.helpers import rnd, rounded
 from tidegrid.plans.registry import query
 from tidegrid.plans.reshape import NAME_CASE
-from tidegrid.sources.retail import SERIES
 
 KEY = ["id", "step"]
 
@@ -220,13 +218,13 @@ def ratio_quantiles(t):
     "align_levels",
     f"""WITH {LEVELED}, x AS (SELECT level, series, step, q, value * (1 + level / 100.0::DOUBLE) AS value FROM rq),
  p AS (SELECT level, step, sum(value) AS s FROM x WHERE q = 0.5 AND level <= 9 GROUP BY ALL), m AS (SELECT level, step, avg(s) OVER (PARTITION BY step) / nullif(s, 0) AS ratio FROM p)
- SELECT x.level, x.series, x.step, x.q, {rnd('x.value * coalesce(0.3 + 0.7 * m.ratio, 1)', 'value')} FROM x LEFT JOIN m ON m.level = x.level AND m.step = x.step""",
+ SELECT x.level, x.series, x.step, x.q, {rnd('x.value * coalesce(0.3 + 0.7 * m.ratio, 1)', 'value', nudge=1e-9)} FROM x LEFT JOIN m ON m.level = x.level AND m.step = x.step""",
     "fc7",
 )
 def align_levels(t):
     base = E.ratio_quantiles(X.fc7(t), "evaluation").select("level", "series", "step", "q", "value")
     base = base.withColumn("value", F.col("value") * (1 + F.col("level") / F.lit(100.0)))
-    return rounded(E.align_levels(base, 0.7), ["value"])
+    return rounded(E.align_levels(base, 0.7), ["value"], nudge=1e-9)
 
 
 TOPS = """GROUPING SETS ((step), (state_id, step), (store_id, step), (cat_id, step), (dept_id, step))"""
@@ -298,9 +296,9 @@ def weekday_quantiles(t):
 @query(
     "blended_quantiles",
     f"""WITH {LEVELED}, {HISTQ}, {WEEKQ}, st AS (SELECT state_id, item_id, q, avg(hist) AS hist FROM hq GROUP BY ALL)
- SELECT level, series, q, step, {rnd('value', 'value')} FROM rq WHERE level < 11 UNION ALL
- SELECT rq.level, rq.series, rq.q, rq.step, {rnd('CASE WHEN rq.q = 0.5 THEN rq.value ELSE 0.91 * rq.value + 0.09 * st.hist END', 'value')} FROM rq JOIN st ON st.state_id = rq.state_id AND st.item_id = rq.item_id AND st.q = rq.q WHERE level = 11 UNION ALL
- SELECT rq.level, rq.series, rq.q, rq.step, {rnd('CASE WHEN rq.q = 0.5 THEN 0.8 * rq.value + 0.2 * hq.hist ELSE 0.2 * rq.value + 0.7 * hq.hist + 0.1 * wq.week_hist END', 'value')}
+ SELECT level, series, q, step, {rnd('value', 'value', nudge=1e-9)} FROM rq WHERE level < 11 UNION ALL
+ SELECT rq.level, rq.series, rq.q, rq.step, {rnd('CASE WHEN rq.q = 0.5 THEN rq.value ELSE 0.91 * rq.value + 0.09 * st.hist END', 'value', nudge=1e-9)} FROM rq JOIN st ON st.state_id = rq.state_id AND st.item_id = rq.item_id AND st.q = rq.q WHERE level = 11 UNION ALL
+ SELECT rq.level, rq.series, rq.q, rq.step, {rnd('CASE WHEN rq.q = 0.5 THEN 0.8 * rq.value + 0.2 * hq.hist ELSE 0.2 * rq.value + 0.7 * hq.hist + 0.1 * wq.week_hist END', 'value', nudge=1e-9)}
  FROM rq JOIN hq ON hq.item_id = rq.item_id AND hq.store_id = rq.store_id AND hq.q = rq.q JOIN wq ON wq.item_id = rq.item_id AND wq.store_id = rq.store_id AND wq.q = rq.q AND wq.weekpos = (rq.step - 1) % 7 WHERE level = 12""",
     "grid lastday fc7",
 )
@@ -309,7 +307,7 @@ def blended_quantiles(t):
     keys = ["item_id", "store_id", "state_id"]
     hist = E.history_quantiles(recent, keys, [364, 28], [1.0, 1.75])
     weekly = E.weekday_quantiles(recent, keys, [13, 3])
-    return rounded(E.blend_quantiles(E.ratio_quantiles(X.fc7(t), "evaluation"), hist, weekly), ["value"])
+    return rounded(E.blend_quantiles(E.ratio_quantiles(X.fc7(t), "evaluation"), hist, weekly), ["value"], nudge=1e-9)
 
 
 @query(
