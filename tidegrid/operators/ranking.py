@@ -16,8 +16,7 @@ _ROW_BITS = 33
 
 
 def _ranged(df: DataFrame, group: list[str], order: list) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
+    spread = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     fixed = cut_lineage(spread.withColumn("_m", F.monotonically_increasing_id()))
     return fixed.withColumn("_p", F.shiftright("_m", _ROW_BITS)).withColumn(
         "_i", F.col("_m").bitwiseAND((1 << _ROW_BITS) - 1)

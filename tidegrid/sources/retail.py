@@ -126,9 +126,7 @@ class Retail:
     @cached_property
     def calendar(self) -> DataFrame:
         """One row per day up to the last day: weeks, parts, events, state flags."""
-        days = self.table("region").select(F.lit(1)).limit(1).select(
-            F.explode(F.sequence(F.lit(1), self.last_day)).alias("d")
-        )
+        days = self.spark.range(1).select(F.explode(F.sequence(F.lit(1), self.last_day)).alias("d"))
         date = day_to_date(F.col("d"))
         name = F.lit(None).cast("string")
         kind = F.lit(None).cast("string")
