@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators.ranking import global_position
+from tidegrid.session import cut_lineage
 
 
 def price_stats(prices: DataFrame, keys: list[str], price: str = "sell_price") -> DataFrame:
@@ -61,12 +62,12 @@ def target_encode(df: DataFrame, groups: list[list[str]], keys: list[str], train
     """Mean and sample std of the training target per group, on every row.
 
     All groups are functions of ``keys``, so the big table is read once for count, sum and
-    sum of squares per key, every group is derived from that small table, and one join
-    puts all columns back.
+    sum of squares per key, every group is derived from that small checkpointed table, and
+    one join puts all columns back.
     """
     y = F.when(train, F.col(value))
-    table = df.groupBy(*keys).agg(
-        F.count(y).alias("_n"), F.sum(y).alias("_s"), F.sum(y * y).alias("_q")
+    table = cut_lineage(
+        df.groupBy(*keys).agg(F.count(y).alias("_n"), F.sum(y).alias("_s"), F.sum(y * y).alias("_q"))
     )
     out = table
     for group in groups:

@@ -35,16 +35,19 @@ def rmsse(df: DataFrame, scale: DataFrame, keys: list[str], rooted: bool = True)
     return mse.join(scale, keys).select(*keys, (F.sqrt(ratio) if rooted else ratio).alias("rmsse"))
 
 
-def wrmsse_levels(grid: DataFrame, forecast: DataFrame, revenue: DataFrame, train_end: Column) -> DataFrame:
+def wrmsse_levels(sales: DataFrame, forecast: DataFrame, revenue: DataFrame, train_end: Column, horizon: int = 28) -> DataFrame:
     """Weighted scaled error per level (12 rows). Infinite ratios are dropped.
 
-    ``grid``: keys, d, sales; ``forecast``: keys, step, forecast; ``revenue``: keys, revenue.
-    The three are stacked, not joined: sums merge them at every level. One window per level
-    series gives the naive steps; two small aggregates finish.
+    ``sales``: keys, d, sales, where days without a row count 0 (a dense grid works too);
+    ``forecast``: keys, step, forecast; ``revenue``: keys, revenue. The three are stacked, not
+    joined: sums merge them at every level.
+
+    Nothing is densified. The squared steps of a gap-free series follow from its non-zero
+    days: a step from the day before, or a fall to 0 and a rise from 0 across a gap.
     """
     zero = F.lit(0.0)
     stacked = (
-        grid.select(*KEYS, "d", "sales", zero.alias("fc"), zero.alias("revenue"))
+        sales.filter("sales != 0").select(*KEYS, "d", "sales", zero.alias("fc"), zero.alias("revenue"))
         .unionByName(
             forecast.select(
                 *KEYS, (F.col("step") + train_end).cast("int").alias("d"), zero.alias("sales"),
@@ -58,20 +61,29 @@ def wrmsse_levels(grid: DataFrame, forecast: DataFrame, revenue: DataFrame, trai
     rolled = rollup_hierarchy(stacked, ["sales", "fc", "revenue"], ["d"])
     series = ["level", *KEYS]
     order = Window.partitionBy(*series).orderBy("d")
-    rows = rolled.withColumn("_step", F.col("sales") - F.lag("sales").over(order)).withColumn("_end", train_end)
-    started = F.max(F.col("sales") != 0).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_started", started)
+    x, before = F.col("sales"), F.lag("sales").over(order)
+    square = lambda c: c * c
+    steps = F.when(F.col("d") - F.lag("d").over(order) == 1, square(x - before)).otherwise(square(x) + square(before))
+    rows = rolled.withColumns({"_steps": steps, "_end": train_end})
     trained = F.col("d") <= F.col("_end")
-    error = F.col("sales") - F.col("fc")
+    past_day = F.when(trained, F.col("d"))
     per_series = rows.groupBy(*series).agg(
-        F.avg(F.when(trained & F.col("_started"), F.col("_step") * F.col("_step"))).alias("scale"),
-        F.avg(F.when(~trained, error * error)).alias("mse"),
+        F.sum(F.when(trained, F.col("_steps"))).alias("_sum"),
+        F.min(past_day).alias("_first"),
+        F.max(past_day).alias("_last"),
+        F.max_by("sales", past_day).alias("_x"),
+        F.first("_end").alias("_end"),
+        F.sum(F.when(~trained, square(F.col("sales") - F.col("fc")))).alias("_se"),
         F.sum("revenue").alias("revenue"),
     )
-    score = F.sqrt(F.try_divide(F.col("mse"), F.col("scale")))
-    return per_series.groupBy("level").agg(
+    fall = F.when(F.col("_last") < F.col("_end"), square(F.col("_x"))).otherwise(0.0)
+    scale = F.try_divide(F.coalesce("_sum", F.lit(0.0)) + fall, F.col("_end") - F.col("_first"))
+    mse = F.coalesce("_se", F.lit(0.0)) / horizon
+    score = F.sqrt(F.try_divide(mse, scale))
+    scored = per_series.withColumn("_score", score)
+    return scored.groupBy("level").agg(
         F.count("*").alias("series"),
-        F.try_divide(F.sum(F.col("revenue") * score), F.sum("revenue")).alias("wrmsse"),
+        F.try_divide(F.sum(F.col("revenue") * F.col("_score")), F.sum("revenue")).alias("wrmsse"),
     )
 
 

@@ -32,27 +32,24 @@ def rolling(df: DataFrame, keys: list[str], specs: list[tuple[int, int]], day: s
     w = _order(keys, day)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     x = F.col(value).cast("double")
-    out = df.withColumns(
-        {
-            "_n": F.count(x).over(run),
-            "_s": F.coalesce(F.sum(x).over(run), F.lit(0.0)),
-            "_q": F.coalesce(F.sum(x * x).over(run), F.lit(0.0)),
-        }
-    )
+    sums = {"_n": F.count(x).over(run), "_s": F.coalesce(F.sum(x).over(run), F.lit(0.0))}
+    if std:
+        sums["_q"] = F.coalesce(F.sum(x * x).over(run), F.lit(0.0))
     ends = sorted({b for s, n in specs for b in (s, s + n)})
-    out = out.withColumns(
-        {f"{c}{e}": (F.lag(c, e).over(w) if e else F.col(c)) for e in ends for c in ("_n", "_s", "_q")}
-    )
+    marks = {f"{c}{e}": (F.lag(c, e).over(w) if e else F.col(c)) for e in ends for c in sums}
+    out = df.withColumns(sums).withColumns(marks)
+
+    def between(c: str, s: int, n: int, zero) -> Column:
+        return F.col(f"{c}{s}") - F.coalesce(F.col(f"{c}{s + n}"), F.lit(zero))
+
     cols = {}
     for s, n in specs:
-        count = F.col(f"_n{s}") - F.coalesce(F.col(f"_n{s + n}"), F.lit(0))
-        total = F.col(f"_s{s}") - F.coalesce(F.col(f"_s{s + n}"), F.lit(0.0))
-        squares = F.col(f"_q{s}") - F.coalesce(F.col(f"_q{s + n}"), F.lit(0.0))
+        count, total = between("_n", s, n, 0), between("_s", s, n, 0.0)
         cols[f"{name}_mean_{s}_{n}"] = F.when(count == n, total / n)
         if std and n > 1:
-            var = F.greatest(F.lit(0.0), (squares - total * total / n) / (n - 1))
+            var = F.greatest(F.lit(0.0), (between("_q", s, n, 0.0) - total * total / n) / (n - 1))
             cols[f"{name}_std_{s}_{n}"] = F.when(count == n, F.sqrt(var))
-    return out.withColumns(cols).drop("_n", "_s", "_q", *[f"{c}{e}" for e in ends for c in ("_n", "_s", "_q")])
+    return out.withColumns(cols).drop(*sums, *marks)
 
 
 def frame(keys: list[str], width: int, shift: int = 0, day: str = "d"):

@@ -29,6 +29,7 @@ NAIVE_SQL = """tail AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d
 
 
 def naive_forecast(t, horizon: int = HORIZON, m: int = 7):
+    t = t.staged
     cut = t.last_day - horizon
     return seasonal_naive(t.grid_between(cut - m, cut), SERIES, horizon, m)
 
@@ -54,9 +55,10 @@ def naive_forecast(t, horizon: int = HORIZON, m: int = 7):
     "grid prices lastday",
 )
 def wrmsse_by_level(t):
+    t = t.staged
     cut = t.last_day - HORIZON
     revenue = recent_revenue(t.panel, t.prices, t.calendar, cut, HORIZON)
-    out = wrmsse_levels(t.grid, naive_forecast(t), revenue, cut)
+    out = wrmsse_levels(t.panel, naive_forecast(t), revenue, cut)
     return out.withColumn("wrmsse", F.round("wrmsse", 6))
 
 

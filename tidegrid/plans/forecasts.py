@@ -164,6 +164,7 @@ def combine_disjoint(t):
     "grid lastday fc7 fcm",
 )
 def ensemble_geometric(t):
+    t = t.staged
     history = t.grid_between(t.last_day - 28 * 26, t.last_day)
     out = E.ensemble_geometric(X.fcm(t).select(*KEY, "forecast"), X.fc7(t).select(*KEY, "forecast"), history, KEY, 28 * 26, sigmas=0.05)
     return rounded(out, ["forecast"])
@@ -303,6 +304,7 @@ def weekday_quantiles(t):
     "grid lastday fc7",
 )
 def blended_quantiles(t):
+    t = t.staged
     recent = t.grid_between(t.last_day - 364, t.last_day)
     keys = ["item_id", "store_id", "state_id"]
     hist = E.history_quantiles(recent, keys, [364, 28], [1.0, 1.75])

@@ -12,7 +12,7 @@ QCOLS = {0.1: "q10", 0.5: "q50", 0.9: "q90"}
 
 
 def cut_day(t):
-    return t.last_day - HORIZON
+    return t.staged.last_day - HORIZON
 
 
 def fc7(t):
@@ -22,7 +22,7 @@ def fc7(t):
 def history(t):
     """The last 28 training days of every series."""
     cut = cut_day(t)
-    return t.grid_between(cut - HORIZON, cut)
+    return t.staged.grid_between(cut - HORIZON, cut)
 
 
 def hist(t):
@@ -39,7 +39,7 @@ def fcm(t):
 def actuals(t):
     """The held-out days; a series' rows start at its first sale."""
     cut = cut_day(t)
-    return t.grid_between(cut, cut + HORIZON).select(
+    return t.staged.grid_between(cut, cut + HORIZON).select(
         *SERIES, (F.col("d") - cut).alias("step"), F.col("sales").alias("y")
     )
 
@@ -53,4 +53,4 @@ def ev(t):
 
 
 def serr(t):
-    return seasonal_error(t.grid_between(F.lit(0), cut_day(t)), ["id"], 7)
+    return seasonal_error(t.staged.grid_between(F.lit(0), cut_day(t)), ["id"], 7)

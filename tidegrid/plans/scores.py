@@ -24,7 +24,7 @@ Q = X.QCOLS
     "grid lastday ev",
 )
 def rmsse_per_series(t):
-    scale = M.naive_scale(t.grid_between(F.lit(0), X.cut_day(t)), ["id"])
+    scale = M.naive_scale(t.staged.grid_between(F.lit(0), X.cut_day(t)), ["id"])
     pair = X.actuals(t).join(X.fc7(t).select("id", "step", "forecast"), ["id", "step"])
     return rounded(M.rmsse(pair, scale, ["id"]), ["rmsse"])
 
@@ -120,7 +120,7 @@ def metrics_total(t):
 )
 def metrics_multivariate(t):
     """Stores are the dimensions of each item."""
-    past = t.grid_between(F.lit(0), X.cut_day(t))
+    past = t.staged.grid_between(F.lit(0), X.cut_day(t))
     errors = M.seasonal_error(past, ["item_id", "store_id"], 7)
     summed = M.seasonal_error(past.groupBy("item_id", "d").agg(F.sum("sales").alias("sales")), ["item_id"], 7)
     out = M.evaluate_multivariate(X.ev(t), "item_id", "store_id", errors, summed, Q, "q50", "mean")
@@ -188,6 +188,7 @@ def backtest(t):
     "grid lastday",
 )
 def holdout_scores(t):
+    t = t.staged
     recent = t.grid_between(t.last_day - 28 * 4, t.last_day)
     cuts = {"recent": t.last_day - 28, "middle": t.last_day - 56, "early": t.last_day - 84}
     parts = None
@@ -204,10 +205,11 @@ def holdout_scores(t):
 )
 def holdout_wrmsse(t):
     """Mean weighted scaled error over levels, for two forecasts of the same holdout."""
+    t = t.staged
     cut = X.cut_day(t)
     revenue = M.recent_revenue(t.panel, t.prices, t.calendar, cut, HORIZON)
-    naive = M.wrmsse_levels(t.grid, X.fc7(t), revenue, cut).agg(F.avg("wrmsse").alias("value"))
-    mean = M.wrmsse_levels(t.grid, X.fcm(t), revenue, cut).agg(F.avg("wrmsse").alias("value"))
+    naive = M.wrmsse_levels(t.panel, X.fc7(t), revenue, cut).agg(F.avg("wrmsse").alias("value"))
+    mean = M.wrmsse_levels(t.panel, X.fcm(t), revenue, cut).agg(F.avg("wrmsse").alias("value"))
     return naive.withColumn("forecast", F.lit("naive")).unionByName(mean.withColumn("forecast", F.lit("mean")))
 
 

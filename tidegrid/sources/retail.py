@@ -77,6 +77,18 @@ class Retail:
             .select(*SERIES, "d", "sales", "cents")
         )
 
+    @cached_property
+    def staged(self) -> Retail:
+        """The same views over a panel that is written once: for queries that read it several times."""
+        from tidegrid.sources.files import checkpoint_table
+
+        stored = Retail(self.spark, self.folder)
+        panel = checkpoint_table(self.panel, "panel")
+        stored.__dict__["panel"] = panel
+        stored.__dict__["last_day"] = panel.agg(F.max("d")).scalar()
+        stored.__dict__["staged"] = stored
+        return stored
+
     @cached_property
     def last_day(self) -> Column:
         """Scalar subquery: last day with a sale anywhere."""
