@@ -11,13 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.forecast import uniform_draw
+from tidegrid.operators.ranking import exact_quantiles, global_position
 from tidegrid.session import cut_lineage
 
-FAMILIES = ["gaussian", "poisson", "tweedie", "quantile", "asymmetric"]
+FAMILIES = ["gaussian", "poisson", "tweedie", "asymmetric"]
 
 
 def _linear(features: list[str]) -> Column:
@@ -55,12 +56,12 @@ def _solve(df: DataFrame, keys: list[str], features: list[str], z: Column, w: Co
 
 
 def fit(df: DataFrame, keys: list[str], features: list[str], label: str, family: str = "gaussian",
-        iterations: int = 6, power: float = 1.1, q: float = 0.5, multiplier: float = 1.0,
+        iterations: int = 6, power: float = 1.1, multiplier: float = 1.0,
         ridge: float = 1e-6) -> DataFrame:
     """Coefficients per key: (keys, n, beta).
 
-    gaussian: least squares. poisson / tweedie: log link. quantile: weights q or 1-q over
-    |residual|. asymmetric: squared error, weight 1 below the fit and ``multiplier`` above.
+    gaussian: least squares. poisson / tweedie: log link. asymmetric: squared error, weight 1
+    below the fit and ``multiplier`` above. Quantiles: see fit_quantiles.
     Rows with a null feature or label are not used.
     """
     if family not in FAMILIES:
@@ -84,11 +85,7 @@ def fit(df: DataFrame, keys: list[str], features: list[str], label: str, family:
             z, w = eta + (y - mu) / mu, F.pow(mu, F.lit(2.0 - p))
         else:
             e = y - F.col("_eta")
-            if family == "quantile":
-                side = F.when(e >= 0, q).otherwise(1 - q)
-                z, w = y, side / F.greatest(F.abs(e), F.lit(1e-3))
-            else:
-                z, w = y, F.when(e < 0, 1.0).otherwise(multiplier)
+            z, w = y, F.when(e < 0, 1.0).otherwise(multiplier)
         beta = _solve(scored.drop("beta"), keys, features, z, w, ridge)
     return beta
 
@@ -103,11 +100,23 @@ def predict(df: DataFrame, beta: DataFrame, keys: list[str], features: list[str]
 
 def fit_quantiles(df: DataFrame, keys: list[str], features: list[str], label: str, probs: list[float],
                   iterations: int = 6) -> DataFrame:
-    """One fit per key and quantile, all in the same jobs: the quantile is part of the key."""
-    spread = df.withColumn("q", F.explode(F.array(*[F.lit(p) for p in probs])))
-    rows = spread.select(*keys, "q", *features, F.col(label).cast("double").alias("_y")).na.drop()
+    """One fit per key and quantile, all in the same jobs: the quantile is part of the key.
+
+    Starts from least squares moved up or down by the exact quantile of its residuals, so
+    the share below is right from the first step; weights q or 1-q over |residual| then
+    turn the slopes.
+    """
+    base = df.select(*keys, *features, F.col(label).cast("double").alias("_y")).na.drop()
     y, e = F.col("_y"), F.col("_y") - F.col("_eta")
-    beta = _solve(rows, [*keys, "q"], features, y, F.lit(1.0), 1e-6)
+    plain = cut_lineage(_solve(base, keys, features, y, F.lit(1.0), 1e-6))
+    residuals = base.join(plain.select(*keys, "beta"), keys).select(*keys, (y - _linear(features)).alias("_r"))
+    shifts = exact_quantiles(residuals, "_r", probs, keys)
+    pairs = F.array(*[F.struct(F.lit(float(p)).alias("q"), F.col(f"q{i}").alias("s")) for i, p in enumerate(probs)])
+    moved = F.transform("beta", lambda b, i: F.when(i == 0, b + F.col("_p.s")).otherwise(b))
+    beta = plain.join(shifts, keys).withColumn("_p", F.explode(pairs)).select(
+        *keys, F.col("_p.q").alias("q"), "n", moved.alias("beta")
+    )
+    rows = base.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     for _ in range(iterations):
         beta = cut_lineage(beta)
         scored = rows.join(beta.select(*keys, "q", "beta"), [*keys, "q"]).withColumn("_eta", _linear(features))
@@ -153,8 +162,6 @@ def tune(df: DataFrame, folds: str, features: list[str], label: str, grid: list[
 def permutation_importance(df: DataFrame, beta: DataFrame, keys: list[str], row_keys: list[str], features: list[str],
                            label: str, seed: int, family: str = "gaussian") -> DataFrame:
     """Rise of the RMSE when one feature is shuffled over all rows; (feature, importance)."""
-    from tidegrid.operators.ranking import global_position
-
     rows = df.select(*dict.fromkeys([*row_keys, *keys, *features, label])).na.drop()
     placed = global_position(rows, row_keys, name="_pos")
 
