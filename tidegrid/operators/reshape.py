@@ -70,6 +70,10 @@ def fill_gaps(
     job is one shuffle by series: no calendar join. ``start`` leaves out days before it
     (for readers that look back a known number of days).
     """
+    if start is not None:
+        # of the rows before the start only the last one per series matters
+        older = df.filter(F.col(day) < start).groupBy(*keys).agg(F.max(day).alias(day))
+        df = df.filter(F.col(day) >= start).select(*keys, day, *fills).unionByName(older, allowMissingColumns=True)
     nxt = F.lead(day).over(Window.partitionBy(keys[0]).orderBy(day))
     stretched = spread_by(df, keys[0]).withColumn("_from", F.col(day)).withColumn("_to", F.coalesce(nxt - 1, end))
     if start is not None:

@@ -27,6 +27,10 @@ def day_to_date(day: Column) -> Column:
     return F.date_add(F.lit(DAY_ONE).cast("date"), day - 1)
 
 
+def ship_day() -> Column:
+    return (F.datediff(F.col("l_shipdate").cast("date"), F.lit(DAY_ONE).cast("date")) + 1).alias("d")
+
+
 class Retail:
     """Lazy views over one folder of tables. Every view is an unexecuted plan."""
 
@@ -39,42 +43,47 @@ class Retail:
 
     @cached_property
     def stores(self) -> DataFrame:
-        supplier = self.table("supplier").select("s_suppkey", "s_nationkey")
-        nation = self.table("nation")
         region = self.table("region")
         return (
-            supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            self.table("nation")
             .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("s_suppkey", F.col("n_name").alias("store_id"), F.col("r_name").alias("state_id"))
-        )
-
-    @cached_property
-    def items(self) -> DataFrame:
-        number = F.substring("p_brand", 7, 10).cast("int")
-        return self.table("part").select(
-            "p_partkey",
-            F.col("p_brand").alias("item_id"),
-            F.concat(F.lit("D"), number % 3, F.lit("_"), number % 2).alias("dept_id"),
-            F.concat(F.lit("C"), number % 3).alias("cat_id"),
+            .select("n_nationkey", F.col("n_name").alias("store_id"), F.col("r_name").alias("state_id"))
         )
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Observed daily sales per series. Map-side partial sums absorb hot items and stores."""
+        """Observed daily sales per series.
+
+        Order lines are summed by item, store key and day before names and parents are
+        attached, so the shuffle carries narrow rows and partial sums absorb hot items.
+        """
         line = self.table("lineitem").select(
             "l_partkey",
             "l_suppkey",
-            (F.datediff(F.col("l_shipdate").cast("date"), F.lit(DAY_ONE).cast("date")) + 1).alias("d"),
+            ship_day(),
             "l_quantity",
             F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c"),
         )
+        items = self.table("part").select("p_partkey", F.col("p_brand").alias("item_id"))
+        suppliers = self.table("supplier").select("s_suppkey", "s_nationkey")
+        number = F.substring("item_id", 7, 10).cast("int")
         return (
-            line.join(self.items, F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.stores, F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy("item_id", "dept_id", "cat_id", "store_id", "state_id", "d")
+            line.join(items, F.col("l_partkey") == F.col("p_partkey"))
+            .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+            .groupBy("item_id", "s_nationkey", "d")
             .agg(F.sum("l_quantity").alias("sales"), F.sum("c").alias("cents"))
-            .withColumn("id", F.concat_ws("_", "item_id", "store_id"))
-            .select(*SERIES, "d", "sales", "cents")
+            .join(self.stores, F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(
+                F.concat_ws("_", "item_id", "store_id").alias("id"),
+                "item_id",
+                F.concat(F.lit("D"), number % 3, F.lit("_"), number % 2).alias("dept_id"),
+                F.concat(F.lit("C"), number % 3).alias("cat_id"),
+                "store_id",
+                "state_id",
+                "d",
+                "sales",
+                "cents",
+            )
         )
 
     @cached_property
@@ -92,10 +101,7 @@ class Retail:
     @cached_property
     def last_day(self) -> Column:
         """Scalar subquery: last day with a sale anywhere."""
-        days = self.table("lineitem").select(
-            (F.datediff(F.col("l_shipdate").cast("date"), F.lit(DAY_ONE).cast("date")) + 1).alias("d")
-        )
-        return days.agg(F.max("d")).scalar()
+        return self.table("lineitem").select(ship_day()).agg(F.max("d")).scalar()
 
     @cached_property
     def grid(self) -> DataFrame:
