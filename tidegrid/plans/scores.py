@@ -9,7 +9,6 @@ from tidegrid.operators import forecast as C
 from tidegrid.operators.regression import asymmetric_loss
 from tidegrid.plans import frames as X
 from tidegrid.plans.flagship import HORIZON
-from tidegrid.plans.forecasts import NAIVE2_SQL
 from tidegrid.plans.helpers import rnd, rounded
 from tidegrid.plans.registry import query
 

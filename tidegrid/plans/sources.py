@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.operators.reshape import collect_series
-from tidegrid.plans.helpers import rounded
 from tidegrid.plans.registry import query
 from tidegrid.sources import entries as N
 from tidegrid.sources import files as S
