@@ -36,8 +36,9 @@ def noise(seed, n):
 @pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_units_equal_whole_texts(name, kind):
     encode, want = library_encoder(P.path(name), kind), whole(name)
-    for text in [t or "" for t in ODD] + noise(1, 3000):
-        assert np.frombuffer(encode(text), "<u4").tolist() == want(text), repr(text)
+    texts = [t or "" for t in ODD] + noise(1, 3000)
+    for text, ids in zip(texts, encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == want(text), repr(text)
 
 
 def test_backtracking_equals_library():
@@ -47,8 +48,9 @@ def test_backtracking_equals_library():
     rng = random.Random(2)
     words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
     runs = [c * n for c in "a =-e." for n in (2, 3, 5, 17, 100, 1001)]
-    for text in [t or "" for t in ODD] + noise(3, 3000) + words + runs:
-        ids = np.frombuffer(units(text), "<u4").tolist()
+    texts = [t or "" for t in ODD] + noise(3, 3000) + words + runs
+    for text, found in zip(texts, units(texts)):
+        ids = np.frombuffer(found, "<u4").tolist()
         assert ids == library.encode_ordinary(text), repr(text)
         assert bpe.decode(ids) == text.encode()
 

@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm.common import sliced
-from tidegrid.llm.units import ByteUnits, as_bytes
+from tidegrid.llm.units import UnitEncoder, as_bytes
 
-#: Pairs whose compatibility is kept.
-PAIRS = 1 << 18
+#: Pairs whose compatibility is kept, and matches of the pattern whose tokens are.
+PAIRS, PIECES = 1 << 18, 1 << 17
 
 
 class ByteBpe:
@@ -125,16 +125,27 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> tuple[ByteBpe, ByteUnits]:
+def codec(path: str, pattern: str) -> tuple[ByteBpe, UnitEncoder]:
     """One for each worker process."""
     import regex
 
     bpe, pieces = ByteBpe(path), regex.compile(pattern).findall
+    known: dict[str, list[int]] = {}  # matches that several units share
 
     def encode(unit: str) -> bytes:
-        return as_bytes([t for piece in pieces(unit) for t in bpe.encode_piece(piece.encode())])
+        ids: list[int] = []
+        for piece in pieces(unit):
+            tokens = known.get(piece)
+            if tokens is None:
+                tokens = bpe.encode_piece(piece.encode())
+                if len(piece) < 32:
+                    if len(known) >= PIECES:
+                        known.clear()
+                    known[piece] = tokens
+            ids += tokens
+        return as_bytes(ids)
 
-    return bpe, ByteUnits(encode)
+    return bpe, UnitEncoder("byte", lambda units: [encode(u) for u in units])
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,7 +157,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, units = codec(ranks, pattern)
         for batch in sliced(batches):
-            found = [units(text or "") for text in batch.column(1).to_pylist()]
+            found = units([text or "" for text in batch.column(1).to_pylist()])
             ends = np.cumsum([0, *map(len, found)]) // 4
             values = pa.array(np.frombuffer(b"".join(found), "<i4"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "ids"])

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.session import shared_dir
 
-#: Rows of a batch that a task holds as Python objects at once.
-SLICE = 512
+#: Rows, and bytes on average, of a batch that a task holds as Python objects at once.
+SLICE, SLICE_BYTES = 512, 1 << 22
 
 #: ASCII white space; words are what stands between.
 SPACE = r"[\x20\x09-\x0D]"
@@ -53,7 +53,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` rows, empty ones left out."""
+    """Batches of at most ``rows`` rows, fewer if they are long; empty ones are left out."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

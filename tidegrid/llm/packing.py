@@ -102,8 +102,9 @@ def pieces(docs: DataFrame, vocabulary: str, kind: str, end_id: int, window: int
         encode, end = library_encoder(vocabulary, kind), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in sliced(batches):
             rows: list[tuple] = []
-            for doc, text, group in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = encode(text or "") + end
+            docs, texts, homes = (c.to_pylist() for c in batch.columns)
+            for doc, ids, group in zip(docs, encode([t or "" for t in texts]), homes):
+                ids += end
                 total, step = len(ids) // 4, 4 * window
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]

@@ -140,8 +140,9 @@ def write_tokens(
         path = f"{folder}/tokens-{shard:06d}"
         for batch in sliced(batches):
             writer = writer or TokenWriter(path, wide)
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                writer.add(doc, encode(text or "") + end)
+            docs, texts = (c.to_pylist() for c in batch.columns)
+            for doc, ids in zip(docs, encode([t or "" for t in texts])):
+                writer.add(doc, ids + end)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(writer.docs)], "n_ids": [writer.total]})

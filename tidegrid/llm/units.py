@@ -7,8 +7,8 @@ Cuts used, and why they change no id:
   non-white character follows always starts a new match (it is the last of its white run, which the pattern
   leaves to what comes next), so a text may be cut before it.
 
-The memo is a dict of bounded size, so memory does not grow with the corpus; a unit over 64 characters is
-encoded each time it is met.
+Units that the memo lacks are encoded together, joined by a separator whose id no other text has. The memo is two
+generations of bounded size, so memory does not grow with the corpus and frequent units stay.
 """
 
 from __future__ import annotations
@@ -19,55 +19,64 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Units kept at most; then the memo starts anew.
-MEMO = 1 << 18
-LONGEST = 64
+#: Units, and characters in them, that a generation of the memo keeps.
+MEMO, MEMO_CHARS = 1 << 18, 1 << 23
 
 _OPEN = re.compile(r"[ \n](?:\s|\Z)")
 _CUT = re.compile(r"(?=[ \n]\S)")
 
 
-class Memo(dict):
-    """unit -> ids as little-endian unsigned 32-bit bytes."""
+def word_units(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ")
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = MEMO):
-        super().__init__()
-        self.encode, self.limit = encode, limit
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.encode(unit)
-        if len(unit) <= LONGEST:
-            if len(self) >= self.limit:
-                self.clear()
-            self[unit] = ids
-        return ids
+def byte_units(text: str) -> list[str]:
+    """Units as they stand, but that the space before most of them is left out; see ``byte_unit``."""
+    if _OPEN.search(text):
+        first, *rest = _CUT.split(text)
+        return [first, *(u[1:] if u[0] == " " else u for u in rest)]
+    return text.replace("\n", " \n").split(" ")
 
 
-class WordUnits:
-    """For vocabularies that drop white space."""
+def byte_unit(key: str) -> str:
+    return key if key[:1] == "\n" else " " + key
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = MEMO):
-        self.memo = Memo(lambda unit: encode(unit) if unit else b"", limit)
 
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+class UnitEncoder:
+    """Texts to ids (little-endian unsigned 32-bit bytes). ``encode_many`` gives those of a list of units."""
 
+    def __init__(self, kind: str, encode_many: Callable[[list[str]], list[bytes]], limit: int = MEMO):
+        self.byte, self.encode_many, self.limit = kind == "byte", encode_many, limit
+        self.cut = byte_units if self.byte else word_units
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.chars = 0
 
-class ByteUnits:
-    """For byte vocabularies; a memo key without a leading line feed stands for the unit after a space."""
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.memo) >= self.limit or self.chars >= MEMO_CHARS:
+            self.memo, self.old, self.chars = {}, self.memo, 0
+        cuts = [self.cut(t) for t in texts]
+        if not self.byte:
+            self._learn(cuts)
+            return [b"".join(map(self.memo.__getitem__, c)) for c in cuts]
+        # after a line feed, which is one token, a text starts as it does by itself, unless with white space
+        firsts = [c[0] for c in cuts]
+        plain = [bool(f) and not f[0].isspace() for f in firsts]
+        cuts = [["\n" + f, *c[1:]] if ok else c[1:] for f, ok, c in zip(firsts, plain, cuts)]
+        self._learn(cuts)
+        joined = [b"".join(map(self.memo.__getitem__, c)) for c in cuts]
+        return [ids[4:] if ok else self.encode_many([f])[0] + ids for f, ok, ids in zip(firsts, plain, joined)]
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = MEMO):
-        self.first = Memo(lambda unit: encode(unit) if unit else b"", limit // 8)
-        self.memo = Memo(lambda unit: encode(unit if unit[:1] == "\n" else " " + unit), limit)
-
-    def __call__(self, text: str) -> bytes:
-        if _OPEN.search(text):
-            units = _CUT.split(text)
-            rest = [u[1:] if u[0] == " " else u for u in units[1:]]
-        else:
-            units = text.replace("\n", " \n").split(" ")
-            rest = units[1:]
-        return self.first[units[0]] + b"".join(map(self.memo.__getitem__, rest))
+    def _learn(self, cuts: list[list[str]]) -> None:
+        memo, old, new = self.memo, self.old, []
+        for unit in set().union(*cuts):
+            if unit not in memo:
+                self.chars += len(unit)
+                if (ids := old.get(unit)) is not None:
+                    memo[unit] = ids
+                else:
+                    new.append(unit)
+        memo.update(zip(new, self.encode_many([byte_unit(u) for u in new] if self.byte else new)))
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -75,7 +84,7 @@ def as_bytes(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str, kind: str) -> WordUnits | ByteUnits:
+def library_encoder(path: str, kind: str) -> UnitEncoder:
     """The tokenizers library's encoder of a vocabulary file, one for each worker process."""
     from tokenizers import Tokenizer
 
@@ -84,7 +93,27 @@ def library_encoder(path: str, kind: str) -> WordUnits | ByteUnits:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def encode(unit: str) -> bytes:
-        return as_bytes(tokenizer.encode(unit, add_special_tokens=False).ids)
+    def encode(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    # a zero by itself is one token, which no unit without a zero has
+    between = " 0" if kind == "byte" else " 0 "
+    (mark,) = encode(between)
+
+    def encode_many(units: list[str]) -> list[bytes]:
+        found: dict[str, bytes] = {}
+        simple = [u for u in units if u and "0" not in u]
+        for at in range(0, len(simple), 256):
+            some = simple[at : at + 256]
+            ids = np.asarray(encode(between.join(some)), dtype="<u4")
+            ends = np.flatnonzero(ids == mark)
+            if len(ends) == len(some) - 1:
+                found.update(zip(some, (part.tobytes() for part in _parts(ids, ends))))
+        return [found[u] if u in found else as_bytes(encode(u)) if u else b"" for u in units]
+
+    return UnitEncoder(kind, encode_many)
+
 
-    return {"word": WordUnits, "byte": ByteUnits}[kind](encode)
+def _parts(ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    starts = [0, *(ends + 1).tolist()]
+    return [ids[a:b] for a, b in zip(starts, [*ends.tolist(), len(ids)])]
