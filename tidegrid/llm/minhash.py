@@ -80,7 +80,7 @@ def least_equal(percent: int = PERCENT, slack: float = SLACK) -> int:
 
 def equal_minima(planes: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Equal minima of each row of ``planes`` with ``other``, by bit counts."""
-    differ = (planes ^ other).reshape(-1, BITS, MINIMA // 64)
+    differ = (planes ^ other).view(np.uint64).reshape(-1, BITS, MINIMA // 64)
     return MINIMA - np.bitwise_count(np.bitwise_or.reduce(differ, axis=1)).sum(1, dtype=np.int64)
 
 
