@@ -1,11 +1,11 @@
-"""Queries of the operators on whole documents: rules, near duplicates."""
+"""Queries of the operators on whole documents and vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import minhash, rules
+from tidegrid.llm import chunks, minhash, quality, rules, topk
 from tidegrid.llm.common import table
 from tidegrid.llm.queries import register
 
@@ -46,3 +46,31 @@ SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc
 @register("op10_minhash", NEAR_SQL)
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op7_chunk_dedup")
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = F.col("chunks")
+    return found.select("doc_id", c["n_chunks"].alias("n_chunks"), c["n_removed"].alias("n_removed"), c["removed_words"].alias("removed_words"), (c["n_removed"] > 0).alias("changed"), c["spans"].alias("spans"), c["owners"].alias("owners"), "text")
+
+
+@register("op2_factor_machine")
+def op2_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+TOP_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, unnest(e) AS x, unnest(range(len(e))) AS i FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM u q JOIN u c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@register("op4_top_products", TOP_SQL)
+def op4_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
