@@ -113,9 +113,9 @@ def test_estimate(spark):
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     equal = int(minhash.equal_minima(minhash.bit_planes(m)[None], minhash.bit_planes(n))[0])
     assert equal == int(((m ^ n) % 16 == 0).sum())
-    assert abs(minhash.similarity(equal / 128) - true) < 0.15
+    assert abs(minhash.similarity(equal / 256) - true) < 0.15
     df = spark.createDataFrame([(minhash.bit_planes(m).tolist(), minhash.bit_planes(n).tolist())], "x array<long>, y array<long>")
-    assert abs(df.select(minhash.estimate(F.col("x"), F.col("y"))).first()[0] - minhash.similarity(equal / 128)) < 1e-9
+    assert abs(df.select(minhash.estimate(F.col("x"), F.col("y"))).first()[0] - minhash.similarity(equal / 256)) < 1e-9
 
 
 def test_components(spark):

@@ -1,10 +1,10 @@
 """Near duplicates by b-bit MinHash: bands propose, bit counts estimate, full shingle sets confirm.
 
-1. One pass over the texts: shingle set, its digest, 128 minima; 32 bands of 4 minima as bucket keys, and the low 4
-   bits of every minimum as 4 bit planes (64 bytes a document).
+1. One pass over the texts: shingle set, its digest, 256 minima; 32 bands of 4 minima as bucket keys, and the low 4
+   bits of every minimum as 4 bit planes (128 bytes a document).
 2. Documents with equal sets are one class, represented by its least id, however many copies there are.
 3. Classes that share a bucket are compared by XOR and bit counts of their planes. Agreement by chance (1 in 16) is
-   taken out of the estimate, and pairs under the threshold less 4.5 standard errors go. Of a bucket only a spanning
+   taken out of the estimate, and pairs under the threshold less 4 standard errors go (3e-5 of those at it). Of a bucket only a spanning
    forest of the best estimates is passed on (one pair fewer than classes, never all pairs). A bucket of more than
    2,048 classes is dealt over blocks, and each pair of blocks is one group.
 4. Pairs are confirmed on the full sets of both texts, which are fetched by joins on the id.
@@ -29,12 +29,12 @@ from tidegrid.llm.common import sliced, stage
 from tidegrid.llm.graph import connected_components
 from tidegrid.llm.shingles import WORDS, shingle_set
 
-MINIMA, ROWS, BITS = 128, 4, 4
-BANDS = MINIMA // ROWS
+MINIMA, BITS = 256, 4
+BANDS, ROWS = 32, 4
 #: Least similarity of a link, in percent.
 PERCENT = 75
 #: Standard errors by which an estimate may fall short.
-SLACK = 4.5
+SLACK = 4.0
 #: Classes of a bucket that one group compares.
 BLOCK = 2048
 
@@ -54,7 +54,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(m: np.ndarray) -> np.ndarray:
     """A 64-bit bucket key for each band; the band's number is mixed in through its own multipliers."""
-    x = (m.reshape(BANDS, ROWS).astype(np.uint64) * _C).sum(1, dtype=np.uint64)
+    x = (m[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * _C).sum(1, dtype=np.uint64)
     x ^= x >> np.uint64(31)
     return (x * _C[:, 0]).view(np.int64)
 
@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     pairs = stage(_propose(members, least, rest=False), "pairs")
     ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = stage(source.join(ids, "doc_id", "left_semi"), "texts")
+    # the ids grow with the table, so this join has one plan at every size
+    texts = stage(source.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
     links = stage(_confirm(pairs, texts, percent), "links")
     parts = stage(connected_components(links), "parts")
     # the rest: buckets in which more than one component is left
