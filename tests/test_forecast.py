@@ -165,3 +165,18 @@ def test_recursive_equals_direct_loop(spark):
         for _ in range(5):
             hist.append(b0 + b1 * hist[-1] + b2 * np.mean(hist[-7:]))
         np.testing.assert_allclose(out[out.id == k].sort_values("step").forecast, hist[-5:], rtol=1e-9)
+
+
+def test_degenerate_series_fit_to_null(spark):
+    rows = [("ok", x, 2 * x + 1) for x in (0.0, 1.0, 2.0)] + [("constant", 5.0, y) for y in (1.0, 2.0)] + [("one", 0.7, 3.0)]
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, x, y in rows], "id string, x double, y double")
+    beta = {r.id: r.beta for r in R.fit(df, ["id"], ["x"], "y", ridge=0.0).collect()}
+    assert beta["constant"] is None and beta["one"] is None
+    assert abs(beta["ok"][0] - 1) < 1e-9 and abs(beta["ok"][1] - 2) < 1e-9
+
+
+def test_kernel_quantiles_of_thin_series(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), ("b", 1, 1.0), ("b", 2, 3.0)], "id string, d int, sales double")
+    for kind in ("exponential", "uniform"):
+        got = C.kernel_quantiles(df, ["id"], 7, [0.5], season=7, kind=kind).collect()
+        assert len(got) == 14 and all(r.q0 is not None for r in got)

@@ -75,3 +75,10 @@ def test_ct_instances_brute_force(hot):
         t = t[(t >= a) & (t < b)]
         np.testing.assert_allclose(np.sort(block.t), t)
         np.testing.assert_allclose(block.sort_values("t").gap, np.diff(np.r_[a, t]), atol=1e-9)
+
+
+def test_null_group_keeps_its_rows(spark):
+    df = spark.createDataFrame([(None, 3.0), (None, 1.0), ("a", 2.0)], "g string, v double")
+    rows = {(r.g, r.v): r.pos for r in global_position(df, ["v"], ["g"]).collect()}
+    assert rows == {(None, 1.0): 1, (None, 3.0): 2, ("a", 2.0): 1}
+    assert {r.g: r.q0 for r in exact_quantiles(df, "v", [0.5], ["g"]).collect()} == {None: 2.0, "a": 2.0}

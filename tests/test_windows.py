@@ -95,3 +95,12 @@ def test_price_change(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), ("a", 3, 3.0)], "id string, d int, sell_price double")
     out = W.price_change(df, ID, "d").orderBy("d").toPandas()
     assert out.price_rel_diff.tolist()[1:] == [0.0, 0.5]
+
+
+def test_rolling_std_after_a_large_level(spark):
+    values = [1e6 + k for k in range(30)] + [0.0, 0.1, 0.2] * 10
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "id string, d int, sales double")
+    got = [r.roll_std_0_9 for r in W.rolling(df, ["id"], [(0, 9)]).orderBy("d").collect()]
+    want = pd.Series(values).rolling(9).std().tolist()
+    assert abs(got[-1] - np.std(values[-9:], ddof=1)) < 1e-9
+    assert sum(g is None for g in got) == sum(w != w for w in want)

@@ -61,21 +61,28 @@ def _mean_std(n: Column, s: Column, s2: Column) -> tuple[Column, Column]:
 def target_encode(df: DataFrame, groups: list[list[str]], keys: list[str], train: Column, value: str = "sales") -> DataFrame:
     """Mean and sample std of the training target per group, on every row.
 
-    All groups are functions of ``keys``, so the big table is read once for count, sum and
-    sum of squares per key, every group is derived from that small checkpointed table, and
-    one join puts all columns back.
+    All groups are functions of ``keys``, so the big table is read once for count, mean and
+    squared deviations per key, every group is derived from that small checkpointed table, and
+    one join puts all columns back. Means are taken less the mean of all, so a large common
+    level costs no digits.
     """
     y = F.when(train, F.col(value))
     table = cut_lineage(
-        df.groupBy(*keys).agg(F.count(y).alias("_n"), F.sum(y).alias("_s"), F.sum(y * y).alias("_q"))
+        df.groupBy(*keys).agg(F.count(y).alias("_n"), F.avg(y).alias("_mean"), (F.var_pop(y) * F.count(y)).alias("_m2"))
+    )
+    level = table.agg(F.try_divide(F.sum(F.col("_mean") * F.col("_n")), F.sum("_n"))).scalar()
+    table = table.withColumn("_c", level).select(
+        *keys, "_n", "_c", ((F.col("_mean") - F.col("_c")) * F.col("_n")).alias("_s"),
+        (F.col("_m2") + (F.col("_mean") - F.col("_c")) * (F.col("_mean") - F.col("_c")) * F.col("_n")).alias("_q"),
     )
     out = table
     for group in groups:
         name = "_".join(group)
-        sums = table.groupBy(*group).agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"), F.sum("_q").alias("q"))
+        sums = table.groupBy(*group).agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"), F.sum("_q").alias("q"), F.first("_c").alias("c"))
         mean, std = _mean_std(F.col("n"), F.col("s"), F.col("q"))
+        mean = mean + F.col("c")
         out = out.join(sums.select(*group, mean.alias(f"enc_{name}_mean"), std.alias(f"enc_{name}_std")), group)
-    return df.join(out.drop("_n", "_s", "_q"), keys)
+    return df.join(out.drop("_n", "_s", "_q", "_c"), keys)
 
 
 def encode_by(df: DataFrame, col: str, by: str, train: Column, value: str = "sales") -> DataFrame:

@@ -165,9 +165,13 @@ def kernel_quantiles(df: DataFrame, keys: list[str], h: int, probs: list[float],
     pairs = mass.join(classes, keys)
     if season and kind == "exponential":
         gap = F.abs(F.col("_ph") - F.col("_sp")) / F.lit(float(season - 1)) * feature_scale
-        pairs = pairs.withColumn("_w", F.col("_w") * F.exp(-gap))
+        # less the least gap of the step: a series without a day near the step's season keeps its relative weights
+        near = F.min(gap).over(Window.partitionBy(*keys, "_sp"))
+        pairs = pairs.withColumn("_w", F.col("_w") * F.exp(near - gap))
     elif season:
-        pairs = pairs.filter(F.col("_ph") == F.col("_sp"))
+        # a step whose season has no day in history weighs all days alike
+        same = F.col("_ph") == F.col("_sp")
+        pairs = pairs.withColumn("_any", F.max(same).over(Window.partitionBy(*keys, "_sp"))).filter(same | ~F.col("_any")).drop("_any")
     pooled = pairs.groupBy(*keys, "_sp", "_v").agg(F.sum("_w").alias("_w"))
     cls = Window.partitionBy(*keys, "_sp")
     cum = F.sum("_w").over(cls.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
@@ -211,7 +215,8 @@ def kernel_samples(df: DataFrame, keys: list[str], h: int, n_samples: int, seed:
                 paths = np.tile(y, (n_samples, 1))
                 for s in range(h):
                     t = n + s
-                    w = np.exp(-weight * np.abs(feats[:, :t] - feats[:, [t]]).sum(axis=0))
+                    far = weight * np.abs(feats[:, :t] - feats[:, [t]]).sum(axis=0)
+                    w = np.exp(far.min() - far)
                     w[np.isnan(paths[0, :t])] = 0.0
                     pick = np.searchsorted(np.cumsum(w) / w.sum(), rng.random(n_samples), side="right")
                     paths = np.hstack([paths, paths[np.arange(n_samples), np.minimum(pick, t - 1)][:, None]])

@@ -23,6 +23,15 @@ def _ranged(df: DataFrame, group: list[str], order: list) -> DataFrame:
     )
 
 
+def _join_offsets(rows: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their partition's offset; a null group is a group like any other."""
+    named = offsets.withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumnRenamed("_p", "_k")
+    same = F.col("_p") == F.col("_k")
+    for k in keys:
+        same = same & rows[k].eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(named, same).drop("_k", *(f"_k_{k}" for k in keys))
+
+
 def global_position(df: DataFrame, order: list, group: list[str] | None = None, name: str = "pos") -> DataFrame:
     """1-based position in ``order`` (which must be unique) inside ``group`` or the whole table."""
     group = group or []
@@ -30,7 +39,7 @@ def global_position(df: DataFrame, order: list, group: list[str] | None = None,
     sizes = rows.groupBy("_p", *group).agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = rows.join(offsets, ["_p", *group])
+    joined = _join_offsets(rows, offsets, group)
     return joined.withColumn(name, F.col("_off") + F.col("_i") - F.col("_first") + 1).drop(
         "_p", "_m", "_i", "_off", "_first"
     )
@@ -57,8 +66,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[st
     )
     local = Window.partitionBy("_p", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        rows.withColumn("_cum", F.sum("_c").over(local))
-        .join(offsets, ["_p", *keys])
+        _join_offsets(rows.withColumn("_cum", F.sum("_c").over(local)), offsets, keys)
         .withColumn("_hi", F.col("_off") + F.col("_cum"))
         .withColumn("_lo", F.col("_hi") - F.col("_c"))
     )

@@ -29,7 +29,11 @@ def _linear(features: list[str]) -> Column:
 
 
 def _solve(df: DataFrame, keys: list[str], features: list[str], z: Column, w: Column, ridge: float) -> DataFrame:
-    """Weighted least squares per key: (keys, beta, n)."""
+    """Weighted least squares per key: (keys, beta, n).
+
+    A key whose (ridged) system has no single solution, as with a constant feature or too few rows, gets null
+    coefficients.
+    """
     xs = [F.lit(1.0), *[F.col(f) for f in features]]
     k = len(xs)
     base = df.withColumn("_z", z).withColumn("_w", w)
@@ -45,10 +49,18 @@ def _solve(df: DataFrame, keys: list[str], features: list[str], z: Column, w: Co
                     a[:, i, j] = a[:, j, i] = batch[f"a{i}_{j}"].to_numpy(dtype=float)
             b = np.stack([batch[f"b{i}"].to_numpy(dtype=float) for i in range(k)], axis=1)
             shrink = np.eye(k) * ridge
-            shrink[0, 0] = 1e-9
-            beta = np.linalg.solve(a + shrink, b[:, :, None])[:, :, 0]
+            shrink[0, 0] = 0.0
+            a = a + shrink
+            size = np.sqrt(np.einsum("nii->ni", a))
+            size[~(size > 0)] = 1.0
+            scaled = a / (size[:, :, None] * size[:, None, :])
+            finite = np.isfinite(scaled).all((1, 2)) & np.isfinite(b).all(1)
+            single = finite.copy()
+            single[finite] = np.linalg.eigvalsh(scaled[finite])[:, 0] > 1e-10
+            beta = np.zeros((len(batch), k))
+            beta[single] = np.linalg.solve(scaled[single], (b / size)[single][:, :, None])[:, :, 0] / size[single]
             out = batch[[*keys, "n"]].copy()
-            out["beta"] = list(beta)
+            out["beta"] = [x if ok else None for x, ok in zip(beta, single)]
             yield out
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys] + ["n bigint", "beta array<double>"])
@@ -94,7 +106,7 @@ def predict(df: DataFrame, beta: DataFrame, keys: list[str], features: list[str]
             out: str = "forecast") -> DataFrame:
     scored = df.join(beta.select(*keys, "beta"), keys).withColumn(out, _linear(features))
     if family in ("poisson", "tweedie"):
-        scored = scored.withColumn(out, F.exp(F.least(F.greatest(F.col(out), F.lit(-20.0)), F.lit(20.0))))
+        scored = scored.withColumn(out, F.exp(F.col(out)))
     return scored.drop("beta")
 
 
@@ -223,17 +235,18 @@ def predict_recursive(history: DataFrame, beta: DataFrame, series: list[str], mo
 
 def predict_staged(grid: DataFrame, series: list[str], model_keys: list[str], stages: list[int], widths: list[int],
                    end: int, family: str = "poisson") -> DataFrame:
-    """One model per horizon block; every lag reaches back past the block, and earlier blocks feed later ones."""
+    """One model per horizon block: the rolling means of a block end as many days back as its last day is ahead, so
+    every day of it is predicted from history alone, and each block has features and coefficients of its own."""
     from tidegrid.operators.windows import rolling
 
     known = cut_lineage(grid.filter(F.col("d") <= end).select(*dict.fromkeys([*series, *model_keys, "d", "sales"])))
     ids = known.select(*dict.fromkeys([*series, *model_keys])).distinct()
     done, out = 0, None
     for stage in stages:
-        days = ids.withColumn("d", F.explode(F.sequence(F.lit(end + done + 1), F.lit(end + stage)))).withColumn(
+        days = ids.withColumn("d", F.explode(F.sequence(F.lit(end + 1), F.lit(end + stage)))).withColumn(
             "sales", F.lit(None).cast("double")
         )
-        shift = stage - done
+        shift = stage
         feats = rolling(known.unionByName(days), series, [(shift, w) for w in widths], std=False, name="f")
         names = [f"f_mean_{shift}_{w}" for w in widths]
         beta = cut_lineage(fit(feats.filter(F.col("d") <= end), model_keys, names, "sales", family, iterations=3))
@@ -241,7 +254,6 @@ def predict_staged(grid: DataFrame, series: list[str], model_keys: list[str], st
         block = cut_lineage(
             predict(fresh, beta, model_keys, names, family).select(*dict.fromkeys([*series, *model_keys, "d"]), F.col("forecast").alias("sales"))
         )
-        known = known.unionByName(block)
         out = block if out is None else out.unionByName(block)
         done = stage
     return out.select(*series, (F.col("d") - end).alias("step"), F.col("sales").alias("forecast"))

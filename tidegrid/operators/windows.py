@@ -23,12 +23,21 @@ def add_lags(df: DataFrame, keys: list[str], lags: list[int], day: str = "d", va
 
 
 def rolling(df: DataFrame, keys: list[str], specs: list[tuple[int, int]], day: str = "d", value: str = "sales",
-            std: bool = True, name: str = "roll") -> DataFrame:
+            std: bool = True, name: str = "roll", whole: bool = False) -> DataFrame:
     """Mean (and sample std) of ``width`` rows ending ``shift`` rows back, null unless all are observed.
 
-    Running count, sum and sum of squares are differenced. Exact for whole-number targets;
-    use rolling_frames for others.
+    ``whole``: the values are whole numbers, so running count, sum and sum of squares are exact and can be
+    differenced: the cost of a row does not grow with the width. Else each frame is aggregated by itself, as
+    differences of running sums would lose the digits of small values after large ones.
     """
+    if not whole:
+        x, cols = F.col(value).cast("double"), {}
+        for s, n in specs:
+            win = frame(keys, n, s, day)
+            cols[f"{name}_mean_{s}_{n}"] = F.when(F.count(x).over(win) == n, F.avg(x).over(win))
+            if std and n > 1:
+                cols[f"{name}_std_{s}_{n}"] = F.when(F.count(x).over(win) == n, F.stddev_samp(x).over(win))
+        return df.withColumns(cols)
     w = _order(keys, day)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     x = F.col(value).cast("double")
@@ -91,8 +100,8 @@ def rolling_shape(df: DataFrame, keys: list[str], width: int, day: str = "d", va
     )
 
 
-def std_over_mean(df: DataFrame, keys: list[str], width: int, day: str = "d", value: str = "sales") -> DataFrame:
-    out = rolling(df, keys, [(0, width)], day, value, name="_r")
+def std_over_mean(df: DataFrame, keys: list[str], width: int, day: str = "d", value: str = "sales", whole: bool = False) -> DataFrame:
+    out = rolling(df, keys, [(0, width)], day, value, name="_r", whole=whole)
     ratio = F.try_divide(F.col(f"_r_std_0_{width}"), F.col(f"_r_mean_0_{width}"))
     return out.withColumn(f"cv_{width}", ratio).drop(f"_r_std_0_{width}", f"_r_mean_0_{width}")
 
@@ -100,7 +109,7 @@ def std_over_mean(df: DataFrame, keys: list[str], width: int, day: str = "d", va
 def pct_nonzero(df: DataFrame, keys: list[str], widths: list[int], day: str = "d", value: str = "sales") -> DataFrame:
     """Share of non-zero days; a null counts as zero."""
     flagged = df.withColumn("_nz", (F.coalesce(F.col(value), F.lit(0.0)) != 0).cast("double"))
-    out = rolling(flagged, keys, [(0, w) for w in widths], day, "_nz", std=False, name="_r")
+    out = rolling(flagged, keys, [(0, w) for w in widths], day, "_nz", std=False, name="_r", whole=True)
     return out.withColumnsRenamed({f"_r_mean_0_{w}": f"pct_nonzero_{w}" for w in widths}).drop("_nz")
 
 

@@ -18,7 +18,7 @@ FEATURES = ["m7", "m28", "lag_28", "weekend"]
 def model_rows(t):
     """Target and features that look back at least one horizon; written once, read by every iteration."""
     base = t.dept_grid.select("id", "dept_id", "store_id", "d", "sales")
-    feats = rolling(base, ["id"], [(HORIZON, 7), (HORIZON, 28)], std=False)
+    feats = rolling(base, ["id"], [(HORIZON, 7), (HORIZON, 28)], std=False, whole=True)
     feats = add_lags(feats, ["id"], [HORIZON]).withColumnsRenamed({"roll_mean_28_7": "m7", "roll_mean_28_28": "m28"})
     feats = feats.withColumn("weekend", (F.col("d") % 7 >= 5).cast("double"))
     scaled = feats.withColumns({c: F.col(c) / 10 for c in ("m7", "m28", "lag_28")})
@@ -104,15 +104,15 @@ def predict_direct(t):
 
 @query("predict_recursive")
 def predict_recursive(t):
-    """A week day by day: short means are recomputed from history and the days predicted so far."""
+    """Four weeks day by day: short means are recomputed from history and the days predicted so far."""
     grid = checkpoint_table(t.dept_grid.select("id", "store_id", "d", "sales"), "grid")
-    end = grid.agg(F.max("d")).first()[0] - 7
+    end = grid.agg(F.max("d")).first()[0] - HORIZON
     lags, widths = [1, 7], [7, 28]
-    feats = rolling(add_lags(grid, ["id"], lags), ["id"], [(1, w) for w in widths], std=False)
+    feats = rolling(add_lags(grid, ["id"], lags), ["id"], [(1, w) for w in widths], std=False, whole=True)
     feats = feats.withColumnsRenamed({f"roll_mean_1_{w}": f"mean_{w}" for w in widths})
     names = [f"lag_{n}" for n in lags] + [f"mean_{n}" for n in widths]
     beta = R.fit(feats.filter(F.col("d") <= end), ["store_id"], names, "sales", "gaussian")
-    return R.predict_recursive(grid, cut_lineage(beta), ["id", "store_id"], ["store_id"], lags, widths, 7, end, "gaussian")
+    return R.predict_recursive(grid, cut_lineage(beta), ["id", "store_id"], ["store_id"], lags, widths, HORIZON, end, "gaussian")
 
 
 @query("predict_staged")

@@ -1,4 +1,4 @@
-"""Queries over per-series window features, on every observed day of every series."""
+"""Queries over per-series window features: lags and rolling ones on the gap-free grid, the rest on the days named."""
 
 from __future__ import annotations
 
@@ -17,16 +17,16 @@ WN = "WINDOW w AS (PARTITION BY id ORDER BY d)"
 LAGS = [1, 2, 3, 7, 28]
 
 
-@query("lags", "SELECT id, d, sales, " + ", ".join(f"lag(sales, {n}) OVER w AS lag_{n}" for n in LAGS) + f" FROM panel {WN}", "panel")
+@query("lags", "SELECT id, d, sales, " + ", ".join(f"lag(sales, {n}) OVER w AS lag_{n}" for n in LAGS) + f" FROM grid {WN}", "grid")
 def lags(t):
-    return W.add_lags(t.panel.select("id", "d", "sales"), ID, LAGS)
+    return W.add_lags(t.grid.select("id", "d", "sales"), ID, LAGS)
 
 
 def _frame(s, n):
     return f"(PARTITION BY id ORDER BY d ROWS BETWEEN {s + n - 1} PRECEDING AND {s} PRECEDING)"
 
 
-def _roll_sql(specs, std=True, src="panel"):
+def _roll_sql(specs, std=True, src="grid"):
     cols = []
     for s, n in specs:
         f = _frame(s, n)
@@ -40,30 +40,30 @@ def _roll_sql(specs, std=True, src="panel"):
 SPECS = [(28, n) for n in (7, 14, 30, 60, 180)]
 
 
-@query("rolling_shifted", _roll_sql(SPECS), "panel")
+@query("rolling_shifted", _roll_sql(SPECS), "grid")
 def rolling_shifted(t):
-    out = W.rolling(t.panel.select("id", "d", "sales"), ID, SPECS).drop("sales")
+    out = W.rolling(t.grid.select("id", "d", "sales"), ID, SPECS, whole=True).drop("sales")
     return rounded(out, out.columns[2:])
 
 
 TMP = [(s, n) for s in (1, 7, 14) for n in (7, 14, 30, 60)]
 
 
-@query("rolling_several_shifts", _roll_sql(TMP, std=False), "panel")
+@query("rolling_several_shifts", _roll_sql(TMP, std=False), "grid")
 def rolling_several_shifts(t):
-    out = W.rolling(t.panel.select("id", "d", "sales"), ID, TMP, std=False).drop("sales")
+    out = W.rolling(t.grid.select("id", "d", "sales"), ID, TMP, std=False, whole=True).drop("sales")
     return rounded(out, out.columns[2:])
 
 
 @query(
     "rolling_of_lag",
-    "WITH l AS (SELECT id, d, lag(sales, 7) OVER w AS a, lag(sales, 28) OVER w AS b FROM panel " + WN + ") SELECT id, d, "
+    "WITH l AS (SELECT id, d, lag(sales, 7) OVER w AS a, lag(sales, 28) OVER w AS b FROM grid " + WN + ") SELECT id, d, "
     + ", ".join(rnd(f"CASE WHEN count({c}) OVER {_frame(0, n)} = {n} THEN avg({c}) OVER {_frame(0, n)} END", f"rmean_{l}_{n}")
                 for c, l in (("a", 7), ("b", 28)) for n in (7, 28)) + " FROM l",
-    "panel",
+    "grid",
 )
 def rolling_of_lag(t):
-    out = W.rolling(t.panel.select("id", "d", "sales"), ID, [(l, n) for l in (7, 28) for n in (7, 28)], std=False, name="r").drop("sales")
+    out = W.rolling(t.grid.select("id", "d", "sales"), ID, [(l, n) for l in (7, 28) for n in (7, 28)], std=False, name="r", whole=True).drop("sales")
     out = out.withColumnsRenamed({f"r_mean_{l}_{n}": f"rmean_{l}_{n}" for l in (7, 28) for n in (7, 28)})
     return rounded(out, out.columns[2:])
 
@@ -72,9 +72,9 @@ def _q(p, n=28):
     return rnd(f"CASE WHEN count(sales) OVER {_frame(0, n)} = {n} THEN quantile_cont(sales, {p}) OVER {_frame(0, n)} END", f"q{int(p * 100)}_{n}")
 
 
-@query("rolling_quantiles", "SELECT id, d, " + ", ".join(_q(p) for p in (0.1, 0.5, 0.9)) + " FROM panel", "panel")
+@query("rolling_quantiles", "SELECT id, d, " + ", ".join(_q(p) for p in (0.1, 0.5, 0.9)) + " FROM grid", "grid")
 def rolling_quantiles(t):
-    out = W.rolling_quantiles(t.panel.select("id", "d", "sales"), ID, 28, {"q10_28": 0.1, "q50_28": 0.5, "q90_28": 0.9}).drop("sales")
+    out = W.rolling_quantiles(t.grid.select("id", "d", "sales"), ID, 28, {"q10_28": 0.1, "q50_28": 0.5, "q90_28": 0.9}).drop("sales")
     return rounded(out, out.columns[2:])
 
 
@@ -83,21 +83,21 @@ def rolling_quantiles(t):
     f"""SELECT id, d,
  {rnd(f"CASE WHEN count(sales) OVER {_frame(0, 15)} = 15 AND max(sales) OVER {_frame(0, 15)} > min(sales) OVER {_frame(0, 15)} THEN skewness(sales) OVER {_frame(0, 15)} END", "skew_15")},
  {rnd(f"CASE WHEN count(sales) OVER {_frame(0, 15)} = 15 AND max(sales) OVER {_frame(0, 15)} > min(sales) OVER {_frame(0, 15)} THEN kurtosis(sales) OVER {_frame(0, 15)} END", "kurt_15")}
- FROM panel""",
-    "panel",
+ FROM grid""",
+    "grid",
 )
 def rolling_shape(t):
-    out = W.rolling_shape(t.panel.select("id", "d", "sales"), ID, 15).drop("sales")
+    out = W.rolling_shape(t.grid.select("id", "d", "sales"), ID, 15).drop("sales")
     return rounded(out, out.columns[2:])
 
 
 @query(
     "rolling_cv",
-    f"SELECT id, d, {rnd(f'CASE WHEN count(sales) OVER {_frame(0, 28)} = 28 THEN stddev_samp(sales) OVER {_frame(0, 28)} / avg(sales) OVER {_frame(0, 28)} END', 'cv_28')} FROM panel",
-    "panel",
+    f"SELECT id, d, {rnd(f'CASE WHEN count(sales) OVER {_frame(0, 28)} = 28 THEN stddev_samp(sales) OVER {_frame(0, 28)} / nullif(avg(sales) OVER {_frame(0, 28)}, 0) END', 'cv_28')} FROM grid",
+    "grid",
 )
 def rolling_cv(t):
-    return rounded(W.std_over_mean(t.panel.select("id", "d", "sales"), ID, 28).drop("sales"), ["cv_28"])
+    return rounded(W.std_over_mean(t.grid.select("id", "d", "sales"), ID, 28, whole=True).drop("sales"), ["cv_28"])
 
 
 NZ = [7, 28, 112]

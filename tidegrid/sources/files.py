@@ -51,8 +51,13 @@ def sales_schema(days: int) -> T.StructType:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path nobody has used, in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path nobody has used, in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place.getParent())
+    store.deleteOnExit(place)
+    return path
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, columns: list[str] | None = None,
