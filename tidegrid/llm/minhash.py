@@ -8,8 +8,9 @@
    forest of the best estimates is passed on (one pair fewer than classes, never all pairs). A bucket of more than
    2,048 classes is dealt over blocks, and each pair of blocks is one group.
 4. Pairs are confirmed on the full sets of both texts, which are fetched by joins on the id.
-5. A second round passes on, for buckets whose classes are still in several components, all remaining pairs over
-   the estimate's bound, so that a forest edge that is not confirmed hides no other link.
+5. In buckets whose classes are still in several components, all pairs between components over the estimate's bound
+   are confirmed in the group itself, which has the texts: a forest edge that failed hides no other link, and only
+   links leave the task.
 6. Components by star steps.
 
 At a similarity of 0.75 a pair shares no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6.
@@ -37,6 +38,8 @@ PERCENT = 75
 SLACK = 4.0
 #: Classes of a bucket that one group compares.
 BLOCK = 2048
+#: Shingles that a group keeps at once.
+SETS = 1 << 22
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,31 +123,41 @@ def _forest(ids: np.ndarray, planes: np.ndarray, least: int) -> list[tuple[int,
     return out
 
 
-def _across(ids: np.ndarray, planes: np.ndarray, least: int, parts: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All pairs of different parts with ``least`` equal minima."""
-    for k in range(len(ids) - 1):
-        near = (parts[k + 1 :] != parts[k]) & (equal_minima(planes[k + 1 :], planes[k]) >= least)
-        for other in ids[k + 1 :][near].tolist():
-            yield int(ids[k]), other
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both) > 0
 
 
-def _propose(members: DataFrame, least: int, rest: bool) -> DataFrame:
-    """Distinct pairs (a < b) out of the groups of ``members``: bucket, i, j, rep, planes and, for the rest, part."""
+def _links_across(ids: np.ndarray, planes: np.ndarray, parts: np.ndarray, texts: list[bytes], least: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Confirmed links between different parts; a link found joins its parts, so it saves the pairs between them."""
+    sets: dict[int, np.ndarray] = {}
 
-    def pairs_of(group: list[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-        rows = pa.Table.from_batches(group)
-        ids = rows.column("rep").to_numpy()
-        planes = rows.column("planes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        if rest:
-            return _across(ids, planes, least, rows.column("part").to_numpy())
-        if len(ids) == 2:
-            return iter([(int(ids[0]), int(ids[1]))] if equal_minima(planes[:1], planes[1])[0] >= least else [])
-        return iter(_forest(ids, planes, least))
+    def shingles(k: int) -> np.ndarray:
+        if k not in sets:
+            if sum(map(len, sets.values())) > SETS:
+                sets.clear()
+            sets[k] = shingle_set(texts[k])
+        return sets[k]
+
+    parts = parts.copy()
+    for k in range(len(ids) - 1):
+        near = np.flatnonzero((parts[k + 1 :] != parts[k]) & (equal_minima(planes[k + 1 :], planes[k]) >= least)) + k + 1
+        for other in near.tolist():
+            if parts[other] != parts[k] and _similar(shingles(k), shingles(other), percent):
+                parts[parts == parts[other]] = parts[k]
+                yield int(ids[k]), int(ids[other])
+
+
+def _in_groups(members: DataFrame, pairs_of) -> DataFrame:
+    """Distinct pairs (a < b) that ``pairs_of`` finds in each group of ``members`` (bucket, i, j, rep, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in _groups(batches):
-            for a, b in pairs_of(group):
+            rows = pa.Table.from_batches(group)
+            ids = rows.column("rep").to_numpy()
+            planes = rows.column("planes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            for a, b in pairs_of(ids, planes, rows):
                 out.append((min(a, b), max(a, b)))
                 if len(out) == 1 << 16:
                     yield _pair_batch(out)
@@ -157,6 +170,26 @@ def _propose(members: DataFrame, least: int, rest: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
+def _propose(members: DataFrame, least: int) -> DataFrame:
+    """A spanning forest of each group."""
+
+    def pairs_of(ids: np.ndarray, planes: np.ndarray, rows: pa.Table) -> list[tuple[int, int]]:
+        if len(ids) == 2:
+            return [(int(ids[0]), int(ids[1]))] if equal_minima(planes[:1], planes[1])[0] >= least else []
+        return _forest(ids, planes, least)
+
+    return _in_groups(members, pairs_of)
+
+
+def _remaining(members: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links between different parts of a group; the texts are there, so pairs are confirmed where they are found."""
+
+    def pairs_of(ids: np.ndarray, planes: np.ndarray, rows: pa.Table) -> Iterator[tuple[int, int]]:
+        return _links_across(ids, planes, rows.column("part").to_numpy(), rows.column("text").cast(pa.binary()).to_pylist(), least, percent)
+
+    return _in_groups(members, pairs_of)
+
+
 def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     found = np.unique(np.asarray(pairs, np.int64).reshape(-1, 2), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
@@ -203,9 +236,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             for a, b, x, y in zip(*columns):
                 if y != last[0] or y is None:
                     last = (y, shingle_set(y))
-                s, t = shingle_set(x), last[1]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both) > 0:
+                if _similar(shingle_set(x), last[1], percent):
                     out.append((a, b))
             if out:
                 yield _pair_batch(out)
@@ -227,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     named = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("planes").alias("planes")), "classes")
     members = stage(_members(classes).join(classes.select("rep", "planes"), "rep"), "members")
-    pairs = stage(_propose(members, least, rest=False), "pairs")
+    pairs = stage(_propose(members, least), "pairs")
     ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the ids grow with the table, so this join has one plan at every size
@@ -238,8 +269,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     part = F.coalesce("component", "rep").alias("part")
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "i", "j", "rep", "planes", part)
     split = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
-    left = _propose(placed.join(split, "bucket", "left_semi"), least, rest=True).join(pairs, ["a", "b"], "left_anti")
-    more = _confirm(left, texts, percent)
+    # only classes with a partner over the estimate's bound have a text here; the others have no link to find
+    here = placed.join(split, "bucket", "left_semi").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    more = _remaining(here, least, percent)
     parts = stage(connected_components(links.union(more)), "parts")
     found = sets.join(classes.select("digest", "rep"), "digest", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id"))
