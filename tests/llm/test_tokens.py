@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -165,3 +166,12 @@ def test_token_file_query(spark):
         ids = np.asarray(encode(r.text) + [2], "<u4")
         assert rows[r.doc_id][1:] == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_many_ids_decode_as_one_by_one():
+    bpe, _ = byte_bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ids = pa.array([[1, 2, 3], None, [], [500], [7, 8]], pa.list_(pa.int32()))
+    for part in (ids, ids.slice(1, 3), ids.slice(4), ids.slice(0, 0)):
+        assert bpe.decode_many(part).to_pylist() == [None if x is None else bpe.decode(x) for x in part.to_pylist()]
+    with pytest.raises(KeyError):
+        bpe.decode_many(pa.array([[None]], pa.list_(pa.int32())))

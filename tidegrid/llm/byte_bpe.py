@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,7 @@ class ByteBpe:
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.shorter: dict[int, int | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.vocabulary: pa.Array | None = None
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
@@ -123,6 +125,16 @@ class ByteBpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def decode_many(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list; null for a null list, and an error for an id that the vocabulary lacks."""
+        if self.vocabulary is None:
+            self.vocabulary = pa.array([self.bytes.get(i) for i in range(max(self.bytes) + 1)], pa.binary())
+        tokens = self.vocabulary.take(ids.flatten())
+        if tokens.null_count:
+            raise KeyError("an id without an entry")
+        ends = np.cumsum([0, *pc.fill_null(ids.value_lengths(), 0).to_pylist()])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens, mask=ids.is_null()), b"")
+
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> tuple[ByteBpe, UnitEncoder]:
@@ -172,7 +184,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = codec(ranks, pattern)
         for batch in sliced(batches):
-            texts = [None if ids is None else bpe.decode(ids) for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+            texts = bpe.decode_many(batch.column(ids_col))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
