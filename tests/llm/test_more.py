@@ -61,6 +61,30 @@ def test_repeated_passages_go(spark, odd, none):
     assert chunks.dedup(none).count() == 0
 
 
+def test_only_contiguous_passages_go(spark):
+    rng = random.Random(4)
+    text = words(rng, 600)
+    starts = chunks.chunks(text.encode())[0].tolist()
+    # each short chunk of the last text stands in an earlier one of its own, with the bytes that its bounds depend on
+    parts = [text[max(0, a - 8) : b] for a, b in zip(starts, starts[1:])]
+    rows = [(k, f"{words(rng, 20)} {p}{words(rng, 20)}") for k, p in enumerate(parts) if len(p.split()) < 9] + [(1000, text)]
+    found = {r.doc_id: r for r in chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1000].text == text and not found[1000].chunks.spans
+
+
+@pytest.mark.parametrize("unit", ["words", "characters"])
+def test_removed_text_stands_earlier(unit):
+    rng = random.Random(6)
+    make = (lambda n: words(rng, n)) if unit == "words" else (lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n * 20)))
+    passage = make(60)
+    text = f"{make(50)} {passage} {make(50)} {passage} {make(50)}".encode()
+    cut = chunks.chunks(text)
+    again = chunks.repeated_windows(cut, np.empty(0, np.int64))
+    assert again.any()
+    for a, b in zip(cut.begins[again].tolist(), cut.ends[again].tolist()):
+        assert text.find(text[a:b]) + b - a <= a and text[a:b].decode()
+
+
 def test_factor_machine_identity():
     model = quality.FactorMachine.new()
     index, x = quality.features("some words some more, words!", 28)

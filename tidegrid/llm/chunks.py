@@ -4,18 +4,22 @@ A gear hash rolls over the last eight bytes; a chunk starts at a word whose prec
 word in six), or, in text without spaces, at one character in 256. Bounds depend on nearby bytes only, so an inserted
 word moves no other bound, and a passage that stands in two texts is cut alike in both from its first bound on.
 
-1. Each text gives its distinct chunk digests (digest, document): one narrow row each.
+A single chunk is often a common phrase, so what is looked up is a window: the ``min_words`` words from a bound on. An
+equal window stands contiguously in one other text, and each removed word is in such a window.
+
+1. Each text gives its distinct window digests (digest, document): one narrow row each, at most one a chunk.
 2. For each digest the least document is its owner; digests of one document alone go. This is an aggregate with
-   partial sums, so a chunk in a third of all texts is one row a task.
+   partial sums, so a window in a third of all texts is one row a task.
 3. The other documents' digests come back by a join on the digest (adaptive execution splits a frequent one), and
    are gathered by document, which is bounded by the text's own length.
-4. Each text is cut again, and runs of repeated chunks of ``min_words`` words or more go; shorter ones stay, as a
-   phrase may well stand in several texts. The owner keeps the first copy.
+4. Each text is cut again, and what repeated windows cover goes, with the white space after it. The owner keeps the
+   first copy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import types as T
 
 from tidegrid.llm.common import fresh, sliced
 
-#: Words of a run that is removed at least; a run of few words (no spaces) has this many times the bytes.
+#: Words of a window, so of what is removed at least; a window of few words (no spaces) has this many times the bytes.
 MIN_WORDS, BYTES_A_WORD = 12, 20
 #: Bounds for the 16-bit hash: one word in six, one character in 256.
 AT_WORD, INSIDE = (1 << 16) // 6, 1 << 8
@@ -54,44 +58,69 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start of each chunk and the end of the text, digest of each chunk, words before each start and at the end)."""
+class Cut(NamedTuple):
+    starts: np.ndarray  # of each chunk, and the end of the text
+    words: np.ndarray  # start of each word
+    begins: np.ndarray  # of each window: a chunk's start with ``min_words`` words after it
+    ends: np.ndarray
+    digests: np.ndarray  # of the windows
+
+
+def chunks(text: bytes, min_words: int = MIN_WORDS) -> Cut:
     data = np.frombuffer(text, np.uint8)
+    none = np.empty(0, np.int64)
     if not len(data):
-        return np.zeros(1, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+        return Cut(np.zeros(1, np.int64), none, none, none, none)
     space = _SPACE[data]
     word = ~space
     word[1:] &= space[:-1]
     h = gear_hash(data)[:-1]
     cut = np.flatnonzero((word[1:] & (h < AT_WORD)) | (~space[1:] & (data[1:] & 0xC0 != 0x80) & (h < INSIDE))) + 1
-    starts = np.concatenate([[0], cut, [len(data)]])
-    edges = starts.tolist()
+    starts, words = np.concatenate([[0], cut, [len(data)]]), np.flatnonzero(word)
+    if not len(words):
+        return Cut(starts, words, none, none, none)
+    begins = np.maximum(starts[:-1], words[0])
+    stops = np.concatenate([np.flatnonzero(~space[:-1] & space[1:]) + 1, [] if space[-1] else [len(data)]]).astype(np.int64)
+    last = np.searchsorted(words, begins, "right") - 2 + min_words
+    ends = np.where(last < len(stops), stops[np.minimum(last, len(stops) - 1)], len(data) + 1)
+    limit = begins + min_words * BYTES_A_WORD
+    for _ in range(3):  # back to the start of a character
+        limit = limit - ((limit < len(data)) & (data[np.minimum(limit, len(data) - 1)] & 0xC0 == 0x80))
+    ends = np.minimum(ends, limit)
+    begins, ends = begins[ends <= len(data)], ends[ends <= len(data)]
     digest = xxhash.xxh3_64_intdigest
-    digests = np.fromiter((digest(text[a:b]) for a, b in zip(edges, edges[1:])), np.uint64, len(edges) - 1)
-    words = np.concatenate([[0], np.cumsum(word)])
-    return starts, digests.view(np.int64), words[starts]
-
-
-def repeated_runs(starts: np.ndarray, digests: np.ndarray, words: np.ndarray, elsewhere: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Runs [first, last) of chunks that stand elsewhere or earlier in the text, long enough to go."""
-    again = np.isin(digests, elsewhere)
-    if len(digests) > 1:
-        first = np.unique(digests, return_index=True)[1]
-        later = np.ones(len(digests), bool)
-        later[first] = False
-        again |= later
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
-    return [
-        (a, b)
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())
-        if words[b] - words[a] >= min_words or starts[b] - starts[a] >= min_words * BYTES_A_WORD
-    ]
-
-
-def digests_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    digests = np.fromiter((digest(text[a:b]) for a, b in zip(begins.tolist(), ends.tolist())), np.uint64, len(begins))
+    return Cut(starts, words, begins, ends, digests.view(np.int64))
+
+
+def repeated_windows(cut: Cut, elsewhere: np.ndarray) -> np.ndarray:
+    """Which windows stand elsewhere, or earlier in the text without overlap."""
+    again = np.isin(cut.digests, elsewhere)
+    _, first, which = np.unique(cut.digests, return_index=True, return_inverse=True)
+    return again | (cut.begins >= cut.ends[first][which])
+
+
+def covered(text: bytes, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pieces, in order of their begins, with the white space after each; those that touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in pieces:
+        while b < len(text) and _SPACE[text[b]]:
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def inside(places: np.ndarray, spans: list[tuple[int, int]]) -> int:
+    return sum(int(b - a) for a, b in np.searchsorted(places, spans)) if spans else 0
+
+
+def digests_of(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [np.unique(chunks(t)[1]) if t else np.empty(0, np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [np.unique(chunks(t or b"", min_words).digests) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             owner = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(owner)], names=["digest", "doc"])
 
@@ -101,14 +130,14 @@ def digests_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", name: str = "chunks") -> DataFrame:
     """The rows with repeated passages cut from the text, and a struct column ``name`` (longer if taken): chunks,
-    removed chunks and words, removed [start, end) byte spans, and the documents that keep the passages.
+    chunks and words that begin in what is removed, removed [start, end) byte spans, and the documents that keep the passages.
 
     Null text stays null, an empty one empty. Rows without an id lose only what they repeat themselves. Rows that
     repeat an id are one document, so they take nothing from one another. Empty table: no rows.
     """
     name = fresh(docs, name)
     key, known = fresh(docs, "_doc"), fresh(docs, "_known")
-    digests = digests_of(docs, id_col, text_col)
+    digests = digests_of(docs, id_col, text_col, min_words)
     owners = digests.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("digest", "owner")
     repeated = digests.join(owners, "digest").filter("doc > owner")
     lists = repeated.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("digest", "owner")).alias(known))
@@ -120,18 +149,18 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
         for batch in sliced(batches):
             texts, found = [], []
             for text, pairs in zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                starts, digests, words = chunks(text or b"")
+                cut = chunks(text or b"", min_words)
                 keepers = {p["digest"]: p["owner"] for p in pairs or []}
-                runs = repeated_runs(starts, digests, words, np.fromiter(keepers, np.int64, len(keepers)), min_words)
-                spans = [(int(starts[a]), int(starts[b])) for a, b in runs]
+                again = repeated_windows(cut, np.fromiter(keepers, np.int64, len(keepers)))
+                spans = covered(text or b"", list(zip(cut.begins[again].tolist(), cut.ends[again].tolist())))
                 if spans:
                     kept = zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)])
                     text = b"".join(text[a:b] for a, b in kept)
                 texts.append(text)
                 found.append({
-                    "n_chunks": len(digests), "n_removed": sum(b - a for a, b in runs),
-                    "removed_words": sum(int(words[b] - words[a]) for a, b in runs), "spans": spans,
-                    "owners": sorted({keepers[d] for a, b in runs for d in digests[a:b].tolist() if d in keepers}),
+                    "n_chunks": len(cut.starts) - 1, "n_removed": inside(cut.starts[:-1], spans),
+                    "removed_words": inside(cut.words, spans), "spans": spans,
+                    "owners": sorted({keepers[d] for d in cut.digests[again].tolist() if d in keepers}),
                 })
             kind = pa.struct([("n_chunks", pa.int64()), ("n_removed", pa.int64()), ("removed_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("owners", pa.list_(pa.int64()))])
             columns = [*batch.columns[:-1], pa.array(found, kind)]
