@@ -72,6 +72,19 @@ def test_only_contiguous_passages_go(spark):
     assert found[1000].text == text and not found[1000].chunks.spans
 
 
+def test_passages_go_whole(spark):
+    rng = random.Random(12)
+    passages = [words(rng, 51) for _ in range(150)]
+    rows = [(k, f"{words(rng, 30)} {passages[k % 150]} {words(rng, 30)}") for k in range(300)]
+    twice = words(rng, 60)
+    rows.append((900, f"{words(rng, 30)} {twice} {words(rng, 30)} {twice} {words(rng, 30)}"))
+    found = {r.doc_id: r.text for r in chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[k] == text for k, text in rows[:150])
+    whole = [found[k] == text.replace(passages[k - 150] + " ", "") for k, text in rows[150:300]]
+    assert sum(whole) >= 149  # a passage without a bound in its first 40 words is missed (1 in 1,000)
+    assert found[900] == twice.join(rows[-1][1].split(twice)[:2]) + rows[-1][1].split(twice)[2].lstrip()
+
+
 @pytest.mark.parametrize("unit", ["words", "characters"])
 def test_removed_text_stands_earlier(unit):
     rng = random.Random(6)

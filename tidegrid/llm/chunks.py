@@ -7,13 +7,16 @@ word moves no other bound, and a passage that stands in two texts is cut alike i
 A single chunk is often a common phrase, so what is looked up is a window: the ``min_words`` words from a bound on. An
 equal window stands contiguously in one other text, and each removed word is in such a window.
 
-1. Each text gives its distinct window digests (digest, document): one narrow row each, at most one a chunk.
+1. Each text gives its window digests with their places (digest, document, place): one narrow row each, at most one a
+   chunk.
 2. For each digest the least document is its owner; digests of one document alone go. This is an aggregate with
    partial sums, so a window in a third of all texts is one row a task.
 3. The other documents' digests come back by a join on the digest (adaptive execution splits a frequent one), and
    are gathered by document, which is bounded by the text's own length.
-4. Each text is cut again, and what repeated windows cover goes, with the white space after it. The owner keeps the
-   first copy.
+4. For the first and the last window of each run the owner gives the text around it, up to where a longer passage would
+   have had another window. An owner is asked once for a window, so what it is asked is bounded by its own text.
+5. Each text is cut again. Runs are extended over the equal words on both sides, and what they cover goes, with the
+   white space after it. The owner keeps the first copy.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import fresh, sliced
+from tidegrid.llm.common import fresh, sliced, stage
 
 #: Words of a window, so of what is removed at least; a window of few words (no spaces) has this many times the bytes.
 MIN_WORDS, BYTES_A_WORD = 12, 20
@@ -100,6 +103,67 @@ def repeated_windows(cut: Cut, elsewhere: np.ndarray) -> np.ndarray:
     return again | (cut.begins >= cut.ends[first][which])
 
 
+def around(text: bytes, cut: Cut, i: int) -> tuple[bytes, bytes]:
+    """The text before and after a window, as far as a passage can go that has no other whole window on that side."""
+    begin, end = int(cut.begins[i]), int(cut.ends[i])
+    start = max(0, int(cut.begins[i - 1]) - 8) if i else 0
+    # a bound depends on the eight bytes before it, so a nearer one may be missing in the other text
+    j = int(np.searchsorted(cut.begins, begin + 8))
+    return text[start:begin], text[end : int(cut.ends[j]) if j < len(cut.ends) else len(text)]
+
+
+def alike(x: bytes, y: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    return int((np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)).argmax())
+
+
+def extended(text: bytes, begin: int, end: int, before: bytes, after: bytes) -> tuple[int, int]:
+    """The piece with the whole words on both sides that equal those around it; characters of a long unbroken word."""
+    low = a = begin - alike(text[max(0, begin - len(before)) : begin][::-1], before[::-1])
+    while a < begin and a - low < BYTES_A_WORD and (_SPACE[text[a]] or (a and not _SPACE[text[a - 1]])):
+        a += 1
+    if a - low == BYTES_A_WORD:
+        a = low
+        while text[a] & 0xC0 == 0x80:
+            a += 1
+    high = b = end + alike(text[end : end + len(after)], after)
+    if b < len(text):
+        while b > end and high - b < BYTES_A_WORD and not (_SPACE[text[b]] and not _SPACE[text[b - 1]]):
+            b -= 1
+        if high - b == BYTES_A_WORD:
+            b = high
+            while text[b] & 0xC0 == 0x80:
+                b -= 1
+    return a, b
+
+
+def pieces(text: bytes, cut: Cut, again: np.ndarray, contexts: dict[int, list[tuple[bytes, bytes]]]) -> list[tuple[int, int]]:
+    """[begin, end) of each repeated window, extended by the contexts of its digest and by the first copy in the text."""
+    out = []
+    _, first, which = np.unique(cut.digests, return_index=True, return_inverse=True)
+    begins, ends, digests, source = cut.begins.tolist(), cut.ends.tolist(), cut.digests.tolist(), first[which].tolist()
+    last = len(begins) - 1
+    for i in np.flatnonzero(again).tolist():
+        a, b = begins[i], ends[i]
+        low, high = a, b
+        for before, after in contexts.get(digests[i], ()):
+            x, y = extended(text, a, b, before, after)
+            low, high = min(low, x), max(high, y)
+        f = source[i]
+        room = a - ends[f]  # the first copy stays whole
+        edge = i == 0 or i == last or not again[i - 1] or not again[i + 1] or ends[i - 1] < a or begins[i + 1] > b
+        if f < i and room >= 0 and edge:
+            before, after = around(text, cut, f)
+            x, _ = extended(text, a, b, before[len(before) - min(room, len(before)) :], b"")
+            _, y = extended(text, a, b, b"", after[: x - ends[f]])
+            low, high = min(low, x), max(high, y)
+        out.append((low, high))
+    return sorted(out)
+
+
 def covered(text: bytes, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The pieces, in order of their begins, with the white space after each; those that touch are one."""
     out: list[tuple[int, int]] = []
@@ -118,14 +182,50 @@ def inside(places: np.ndarray, spans: list[tuple[int, int]]) -> int:
 
 
 def digests_of(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """digest, doc, place of each window; places of windows that touch follow one another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [np.unique(chunks(t or b"", min_words).digests) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            owner = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(owner)], names=["digest", "doc"])
+            found = [chunks(t or b"", min_words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(c.digests) for c in found])
+            # one more where a window does not touch the one before
+            places = [np.arange(len(c.begins)) + np.concatenate([[0], np.cumsum(c.begins[1:] > c.ends[:-1])])[: len(c.begins)] for c in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c.digests for c in found])), pa.array(owner), pa.array(np.concatenate(places).astype(np.int64))], names=["digest", "doc", "place"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t")).filter("doc IS NOT NULL")
-    return source.mapInArrow(run, "digest long, doc long")
+    return source.mapInArrow(run, "digest long, doc long, place long")
+
+
+def edges_of(lists: DataFrame, key: str, known: str) -> DataFrame:
+    """doc, digest, owner of the first and the last window of each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = []
+            for doc, windows in zip(*(c.to_pylist() for c in batch.columns)):
+                at = {w["place"] for w in windows}
+                rows += {(doc, w["digest"], w["owner"]) for w in windows if w["place"] - 1 not in at or w["place"] + 1 not in at}
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc", "digest", "owner"])
+
+    return lists.select(key, known).mapInArrow(run, "doc long, digest long, owner long")
+
+
+def answers_of(rows: DataFrame, place: int, min_words: int) -> DataFrame:
+    """digest, before, after for each window that the last column of ``rows`` asks for and the text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            out = []
+            for text, asked in zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if asked and text:
+                    cut = chunks(text, min_words)
+                    for i in np.flatnonzero(np.isin(cut.digests, np.array(asked, np.int64))).tolist():
+                        out.append((int(cut.digests[i]), *around(text, cut, i)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["digest", "before", "after"])
+
+    return rows.mapInArrow(run, "digest long, before binary, after binary")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", name: str = "chunks") -> DataFrame:
@@ -136,23 +236,32 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
     repeat an id are one document, so they take nothing from one another. Empty table: no rows.
     """
     name = fresh(docs, name)
-    key, known = fresh(docs, "_doc"), fresh(docs, "_known")
+    key, known, near = fresh(docs, "_doc"), fresh(docs, "_known"), fresh(docs, "_near")
     digests = digests_of(docs, id_col, text_col, min_words)
     owners = digests.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("digest", "owner")
     repeated = digests.join(owners, "digest").filter("doc > owner")
-    lists = repeated.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("digest", "owner")).alias(known))
-    rows = docs.withColumn(text_col, F.col(text_col).cast("string")).withColumn(key, F.col(id_col).cast("long")).join(lists, key, "left").select(*docs.columns, known)
-    out = T.StructType([*(rows.schema[c] for c in docs.columns), T.StructField(name, FOUND)])
+    lists = stage(repeated.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("digest", "owner", "place")).alias(known)), "lists")
     place = docs.columns.index(text_col)
+    keyed = docs.withColumn(text_col, F.col(text_col).cast("string")).withColumn(key, F.col(id_col).cast("long"))
+    edges = edges_of(lists, key, known)
+    asks = edges.groupBy(F.col("owner").alias(key)).agg(F.collect_set("digest").alias(known))
+    # a left join as below, so the texts are dealt out once for both
+    answers = answers_of(keyed.join(asks, key, "left").select(*docs.columns, known), place, min_words).distinct()
+    contexts = edges.join(answers, "digest").groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("digest", "before", "after")).alias(near))
+    rows = keyed.join(lists, key, "left").join(contexts, key, "left").select(*docs.columns, known, near)
+    out = T.StructType([*(rows.schema[c] for c in docs.columns), T.StructField(name, FOUND)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts, found = [], []
-            for text, pairs in zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            for text, pairs, sides in zip(batch.column(place).cast(pa.binary()).to_pylist(), *(batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))):
                 cut = chunks(text or b"", min_words)
                 keepers = {p["digest"]: p["owner"] for p in pairs or []}
                 again = repeated_windows(cut, np.fromiter(keepers, np.int64, len(keepers)))
-                spans = covered(text or b"", list(zip(cut.begins[again].tolist(), cut.ends[again].tolist())))
+                contexts = {}
+                for c in sides or []:
+                    contexts.setdefault(c["digest"], []).append((c["before"], c["after"]))
+                spans = covered(text or b"", pieces(text or b"", cut, again, contexts))
                 if spans:
                     kept = zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)])
                     text = b"".join(text[a:b] for a, b in kept)
@@ -163,7 +272,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
                     "owners": sorted({keepers[d] for d in cut.digests[again].tolist() if d in keepers}),
                 })
             kind = pa.struct([("n_chunks", pa.int64()), ("n_removed", pa.int64()), ("removed_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("owners", pa.list_(pa.int64()))])
-            columns = [*batch.columns[:-1], pa.array(found, kind)]
+            columns = [*batch.columns[:-2], pa.array(found, kind)]
             columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
