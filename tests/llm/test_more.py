@@ -164,6 +164,15 @@ def test_licences(spark, odd, none):
     assert licences.scan(none, model).count() == 0
 
 
+def test_licences_beside_the_notices(spark):
+    lines = ["Copyright (c) 2020 X. All rights reserved.", "Licenced under the Y licence", "see licenses"]
+    # the sample has words of the notices, as any corpus may
+    model = licences.fit(["the gpl and the apache are hereby plain words", "all rights of the version see under", *(f"word{k} is here" for k in range(200))])
+    rows = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(enumerate([*lines, "SPDX-License-Identifier: Apache-2.0"]), "doc_id long, text string"), model).collect()}
+    assert [[e.family for e in rows[k]] for k in range(4)] == [["unknown"]] * 3 + [["apache"]]
+    assert any("apache" in g.split() for g in model.weights)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
