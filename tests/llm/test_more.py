@@ -164,6 +164,16 @@ def test_licences(spark, odd, none):
     assert licences.scan(none, model).count() == 0
 
 
+def test_wrapped_licences(spark):
+    gnu = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation."
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    apache = '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.'
+    texts = [gnu, f"/*\n{bsd}\n */\nint x;", apache, f"{gnu}\n#\nplain\n\n{bsd}"]
+    model = licences.train(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    rows = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), model).collect()}
+    assert [[(e.paragraph, e.family) for e in rows[k]] for k in range(4)] == [[(0, "gpl")], [(1, "bsd")], [(0, "apache")], [(0, "gpl"), (6, "bsd")]]
+
+
 def test_licences_beside_the_notices(spark):
     lines = ["Copyright (c) 2020 X. All rights reserved.", "Licenced under the Y licence", "see licenses"]
     # the sample has words of the notices, as any corpus may
