@@ -24,7 +24,6 @@ from tidegrid.llm.units import library_encoder
 
 def whole(name):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 

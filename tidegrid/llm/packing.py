@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm.common import sliced
-from tidegrid.llm.units import library_encoder
+from tidegrid.llm.units import is_wide, library_encoder
 
 WINDOW = 4096
 #: Documents of a group on average; more documents make more groups, not larger ones.
@@ -100,6 +100,7 @@ def pieces(docs: DataFrame, vocabulary: str, kind: str, end_id: int, window: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = library_encoder(vocabulary, kind), np.asarray([end_id], dtype="<u4").tobytes()
+        narrow = not is_wide(vocabulary, end_id)  # 16-bit ids in the shuffle
         for batch in sliced(batches):
             rows: list[tuple] = []
             docs, texts, homes = (c.to_pylist() for c in batch.columns)
@@ -108,8 +109,10 @@ def pieces(docs: DataFrame, vocabulary: str, kind: str, end_id: int, window: int
                 total, step = len(ids) // 4, 4 * window
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
+                    size = len(part)
+                    part = np.frombuffer(part, "<u4").astype("<u2").tobytes() if narrow else part
                     # the full windows of one very long text are spread over the groups
-                    rows.append((doc, at // 4, len(part) // 4, total, part, (group + at // step) % groups if len(part) == step else group))
+                    rows.append((doc, at // 4, size // 4, total, part, (group + at // step) % groups if size == step else group))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(columns)], names=PIECES.names
@@ -118,7 +121,8 @@ def pieces(docs: DataFrame, vocabulary: str, kind: str, end_id: int, window: int
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups)).alias("grp"),
+        # with the row's place, so that repeated rows and rows without id and text spread
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id()), F.lit(groups)).alias("grp"),
     )
     return source.mapInArrow(cut, PIECES)
 
@@ -135,8 +139,11 @@ def pack(
     groups = max(1, math.ceil(docs.count() / group))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fit = None, None
+        now, fit, narrow = None, None, not is_wide(vocabulary, end_id)
         for batch in batches:
+            ids = batch.column("ids")
+            if narrow:
+                ids = pa.array([np.frombuffer(i, "<u2").astype("<u4").tobytes() for i in ids.to_pylist()], pa.binary())
             names, offsets = [], []
             for group, length in zip(batch.column("grp").to_pylist(), batch.column("length").to_pylist()):
                 if group != now:
@@ -145,7 +152,7 @@ def pack(
                 names.append((group << _WITHIN) + name)
                 offsets.append(offset)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "start", "length", "doc_tokens", "ids")), pa.array(names, pa.int64()), pa.array(offsets, pa.int64())],
+                [*(batch.column(c) for c in ("doc_id", "start", "length", "doc_tokens")), ids, pa.array(names, pa.int64()), pa.array(offsets, pa.int64())],
                 names=["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"],
             )
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import new_folder, sliced
 from tidegrid.llm.elias_fano import EliasFano
-from tidegrid.llm.units import library_encoder
+from tidegrid.llm.units import is_wide, library_encoder
 
 MAGIC = b"TGTOK\x00\x01\n"
 FILES = "shard int, path string, n_docs long, n_ids long"
@@ -58,6 +58,8 @@ class TokenWriter:
     def add(self, doc: int | None, ids: bytes) -> None:
         """``ids``: little-endian unsigned 32-bit."""
         values = np.frombuffer(ids, "<u4")
+        if self.kind.itemsize == 2 and values.max(initial=0) >> 16:
+            raise ValueError("an id does not fit the file's 16 bits")
         self.out.write(values.astype(self.kind).tobytes())
         self.total += len(values)
         self.docs.append(doc or 0)
@@ -125,14 +127,16 @@ class TokenReader:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, vocabulary: str, kind: str = "byte", end_id: int = 2, wide: bool = False,
+    docs: DataFrame, folder: str, vocabulary: str, kind: str = "byte", end_id: int = 2,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> list[tuple[str, int, int, int]]:
     """Write the files; (path, first id's offset, documents, ids) of each in order: one short row a partition.
 
     Null or empty text: the end id alone. Null document ids come first. Repeated ids follow one another in the order
-    of a hash of their text. Other columns are not read. Empty table: no files.
+    of a hash of their text. Other columns are not read. Empty table: no files. Ids take 16 bits where the vocabulary's
+    largest one fits, else 32.
     """
+    wide = is_wide(vocabulary, end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, writer = TaskContext.get().partitionId(), None

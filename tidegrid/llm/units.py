@@ -7,12 +7,15 @@ Cuts used, and why they change no id:
   non-white character follows always starts a new match (it is the last of its white run, which the pattern
   leaves to what comes next), so a text may be cut before it.
 
+A text that holds one of the vocabulary's added tokens is encoded as it stands.
+
 Units that the memo lacks are encoded together, joined by a separator whose id no other text has. The memo is two
 generations of bounded size, so memory does not grow with the corpus and frequent units stay.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -21,6 +24,8 @@ import numpy as np
 
 #: Units, and characters in them, that a generation of the memo keeps.
 MEMO, MEMO_CHARS = 1 << 18, 1 << 23
+#: Signs that are a match of their own where a letter stands before them and white space or nothing after.
+TAILS = frozenset(".,;:!?")
 
 _OPEN = re.compile(r"[ \n](?:\s|\Z)")
 _CUT = re.compile(r"(?=[ \n]\S)")
@@ -45,14 +50,20 @@ def byte_unit(key: str) -> str:
 class UnitEncoder:
     """Texts to ids (little-endian unsigned 32-bit bytes). ``encode_many`` gives those of a list of units."""
 
-    def __init__(self, kind: str, encode_many: Callable[[list[str]], list[bytes]], limit: int = MEMO):
-        self.byte, self.encode_many, self.limit = kind == "byte", encode_many, limit
+    def __init__(self, kind: str, encode_many: Callable[[list[str]], list[bytes]], limit: int = MEMO, whole: tuple[str, ...] = ()):
+        self.byte, self.encode_many, self.limit, self.whole = kind == "byte", encode_many, limit, whole
         self.cut = byte_units if self.byte else word_units
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails = {"": b""}
         self.chars = 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        special = [k for k, t in enumerate(texts) if any(w in t for w in self.whole)]
+        if special:  # a vocabulary's added token may span cuts: such texts are encoded as they stand
+            given = dict(zip(special, self.encode_many([texts[k] for k in special])))
+            rest = iter(self([t for k, t in enumerate(texts) if k not in given]))
+            return [given[k] if k in given else next(rest) for k in range(len(texts))]
         if len(self.memo) >= self.limit or self.chars >= MEMO_CHARS:
             self.memo, self.old, self.chars = {}, self.memo, 0
         cuts = [self.cut(t) for t in texts]
@@ -76,7 +87,23 @@ class UnitEncoder:
                     memo[unit] = ids
                 else:
                     new.append(unit)
-        memo.update(zip(new, self.encode_many([byte_unit(u) for u in new] if self.byte else new)))
+        cores = [self._core(u) for u in new]
+        need = list({core for core, _ in cores if core not in memo})
+        known = dict(zip(need, self.encode_many([byte_unit(u) for u in need] if self.byte else need)))
+        tails = {tail for _, tail in cores if tail not in self.tails}
+        self.tails.update(zip(tails, self.encode_many(list(tails))))
+        for unit, (core, tail) in zip(new, cores):
+            memo[unit] = (known[core] if core in known else memo[core]) + self.tails[tail]
+
+    def _core(self, unit: str) -> tuple[str, str]:
+        """A unit without the sign after its last letter, and the sign: both kinds of pattern end a match between them.
+        ``word`` vocabularies lower all letters, so plain ASCII is lowered here and fewer units are new."""
+        core, tail = unit, ""
+        if unit[-1:] in TAILS and "A" <= unit[-2:-1] < "\u0250" and unit[-2].isalpha():
+            core, tail = unit[:-1], unit[-1]
+        if not self.byte and core.isascii() and "<" not in core:
+            core = core.lower()
+        return core, tail
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -84,34 +111,48 @@ def as_bytes(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str, kind: str) -> UnitEncoder:
-    """The tokenizers library's encoder of a vocabulary file, one for each worker process."""
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    return tokenizer
+
+
+def is_wide(path: str, end_id: int = 0) -> bool:
+    """Whether ids of a vocabulary file (or the end id) need more than 16 bits."""
+    return max(max(_tokenizer(path).get_vocab(True).values(), default=0), end_id) >= 1 << 16
+
+
+@lru_cache(maxsize=4)
+def library_encoder(path: str, kind: str) -> UnitEncoder:
+    """The tokenizers library's encoder of a vocabulary file, one for each worker process."""
+    tokenizer = _tokenizer(path)
+    whole = tuple(token.content for token in tokenizer.get_added_tokens_decoder().values())
 
-    def encode(text: str) -> list[int]:
-        return tokenizer.encode(text, add_special_tokens=False).ids
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     # a zero by itself is one token, which no unit without a zero has
     between = " 0" if kind == "byte" else " 0 "
-    (mark,) = encode(between)
+    ((mark,),) = encode([between])
 
     def encode_many(units: list[str]) -> list[bytes]:
         found: dict[str, bytes] = {}
-        simple = [u for u in units if u and "0" not in u]
-        for at in range(0, len(simple), 256):
-            some = simple[at : at + 256]
-            ids = np.asarray(encode(between.join(some)), dtype="<u4")
+        simple = [u for u in units if u and "0" not in u and not any(w in u for w in whole)]
+        groups = [simple[at : at + 256] for at in range(0, len(simple), 256)]
+        for some, joined in zip(groups, encode([between.join(g) for g in groups])):
+            ids = np.asarray(joined, dtype="<u4")
             ends = np.flatnonzero(ids == mark)
             if len(ends) == len(some) - 1:
                 found.update(zip(some, (part.tobytes() for part in _parts(ids, ends))))
-        return [found[u] if u in found else as_bytes(encode(u)) if u else b"" for u in units]
+        alone = [u for u in dict.fromkeys(units) if u and u not in found]
+        found.update(zip(alone, map(as_bytes, encode(alone))))
+        return [found[u] if u else b"" for u in units]
 
-    return UnitEncoder(kind, encode_many)
+    return UnitEncoder(kind, encode_many, whole=whole)
 
 
 def _parts(ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
