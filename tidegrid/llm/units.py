@@ -23,7 +23,9 @@ from functools import lru_cache
 import numpy as np
 
 #: Units, and characters in them, that a generation of the memo keeps.
-MEMO, MEMO_CHARS = 1 << 18, 1 << 23
+MEMO, MEMO_CHARS = 1 << 19, 1 << 23
+#: Texts whose units are looked up together: few, so that they are still in the processor's cache when joined.
+TOGETHER = 64
 #: Signs that are a match of their own where a letter stands before them and white space or nothing after.
 TAILS = frozenset(".,;:!?")
 
@@ -59,41 +61,58 @@ class UnitEncoder:
         self.chars = 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        return [ids for at in range(0, len(texts), TOGETHER) for ids in self._some(texts[at : at + TOGETHER])]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         special = [k for k, t in enumerate(texts) if any(w in t for w in self.whole)]
         if special:  # a vocabulary's added token may span cuts: such texts are encoded as they stand
             given = dict(zip(special, self.encode_many([texts[k] for k in special])))
-            rest = iter(self([t for k, t in enumerate(texts) if k not in given]))
+            rest = iter(self._some([t for k, t in enumerate(texts) if k not in given]))
             return [given[k] if k in given else next(rest) for k in range(len(texts))]
         if len(self.memo) >= self.limit or self.chars >= MEMO_CHARS:
             self.memo, self.old, self.chars = {}, self.memo, 0
         cuts = [self.cut(t) for t in texts]
         if not self.byte:
-            self._learn(cuts)
-            return [b"".join(map(self.memo.__getitem__, c)) for c in cuts]
+            return [b"".join(ids) for ids in self._known(cuts)]
         # after a line feed, which is one token, a text starts as it does by itself, unless with white space
+        plain = [bool(c[0]) and not c[0][0].isspace() for c in cuts]
         firsts = [c[0] for c in cuts]
-        plain = [bool(f) and not f[0].isspace() for f in firsts]
-        cuts = [["\n" + f, *c[1:]] if ok else c[1:] for f, ok, c in zip(firsts, plain, cuts)]
-        self._learn(cuts)
-        joined = [b"".join(map(self.memo.__getitem__, c)) for c in cuts]
-        return [ids[4:] if ok else self.encode_many([f])[0] + ids for f, ok, ids in zip(firsts, plain, joined)]
-
-    def _learn(self, cuts: list[list[str]]) -> None:
-        memo, old, new = self.memo, self.old, []
-        for unit in set().union(*cuts):
-            if unit not in memo:
-                self.chars += len(unit)
-                if (ids := old.get(unit)) is not None:
-                    memo[unit] = ids
-                else:
-                    new.append(unit)
-        cores = [self._core(u) for u in new]
-        need = list({core for core, _ in cores if core not in memo})
+        for c, ok in zip(cuts, plain):
+            c[0] = "\n" + c[0] if ok else "\n"
+        joined = [b"".join(ids) for ids in self._known(cuts)]
+        feed = len(self.memo["\n"]) if "\n" in self.memo else 0
+        return [ids[4:] if ok else (self.encode_many([f])[0] if f else b"") + ids[feed:] for f, ok, ids in zip(firsts, plain, joined)]
+
+    def _known(self, cuts: list[list[str]]) -> list[list[bytes]]:
+        """The ids of each unit; those that the memo lacks are learned together."""
+        get = self.memo.get
+        found = [list(map(get, c)) for c in cuts]
+        rows, places, lacking = [], [], []
+        for c, ids in zip(cuts, found):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                rows.append(ids)
+                places.append(at)
+                lacking.append(c[at])
+        self._learn(set(lacking))
+        for ids, at, unit in zip(rows, places, lacking):
+            ids[at] = self.memo[unit]
+        return found
+
+    def _learn(self, lacking: set[str]) -> None:
+        memo, old = self.memo, self.old
+        again = old.keys() & lacking
+        memo.update((unit, old[unit]) for unit in again)
+        new = list(lacking - again)
+        self.chars += sum(map(len, lacking))
+        cores = list(map(self._core, new))
+        need = list({core for core, _ in cores}.difference(memo))
         known = dict(zip(need, self.encode_many([byte_unit(u) for u in need] if self.byte else need)))
-        tails = {tail for _, tail in cores if tail not in self.tails}
+        tails = {tail for _, tail in cores}.difference(self.tails)
         self.tails.update(zip(tails, self.encode_many(list(tails))))
-        for unit, (core, tail) in zip(new, cores):
-            memo[unit] = (known[core] if core in known else memo[core]) + self.tails[tail]
+        memo.update(known)
+        memo.update((unit, memo[core] + self.tails[tail]) for unit, (core, tail) in zip(new, cores) if core != unit)
 
     def _core(self, unit: str) -> tuple[str, str]:
         """A unit without the sign after its last letter, and the sign: both kinds of pattern end a match between them.
