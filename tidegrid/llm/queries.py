@@ -20,4 +20,4 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-from tidegrid.llm import query_documents, query_native, query_tokens  # noqa: E402,F401
+from tidegrid.llm import query_documents, query_mix, query_native, query_repair, query_search, query_tokens  # noqa: E402,F401
