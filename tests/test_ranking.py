@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidegrid.operators import splits
 from tidegrid.operators.encode import encode_ordinal, every_kth
-from tidegrid.operators.ranking import exact_quantiles, global_position
-from tidegrid.operators.splits import make_ct_instances, previous_in_chunks
+from tidegrid.operators.ranking import exact_quantiles, global_position, keyed_permutation
+from tidegrid.operators.splits import ct_windows, previous_in_chunks
 
 
 @pytest.fixture(scope="module")
@@ -65,16 +66,37 @@ def test_previous_in_chunks_matches_one_window(hot):
     np.testing.assert_allclose(out.sort_index(), want, equal_nan=True)
 
 
-def test_ct_instances_brute_force(hot):
+@pytest.mark.parametrize("bucket", [2048, 7])
+def test_ct_windows_brute_force(spark, hot, monkeypatch, bucket):
+    """Windows with and without events, of a hot key, of a key of one event, and of one that has none."""
+    monkeypatch.setattr(splits, "BUCKET", bucket)
     df, pdf = hot
-    df = df.withColumn("t", F.col("u") / 10)
-    out = make_ct_instances(df, "k", "t", "u", [100.0, 300.0], 50.0, 20.0, 25.0).toPandas()
-    for (k, cut, part), block in out.groupby(["k", "cut", "part"]):
-        a, b = (cut - 50, cut) if part == "past" else (cut, cut + 20)
-        t = pdf[(pdf.k == k)].u.to_numpy() / 10
-        t = t[(t >= a) & (t < b)]
-        np.testing.assert_allclose(np.sort(block.t), t)
-        np.testing.assert_allclose(block.sort_values("t").gap, np.diff(np.r_[a, t]), atol=1e-9)
+    df = df.withColumn("t", F.col("u") / 10).select("k", "t", "u").unionByName(spark.createDataFrame([("once", 90.0, -1)], "k string, t double, u long"))
+    cuts = [100.0, 300.0, 5000.0]
+    keys = [*pdf.k.unique(), "once", "never"]
+    grid = spark.createDataFrame([(k, c) for k in keys for c in cuts], "k string, cut double")
+    lengths, members = ct_windows(df, grid, "k", "t", "u", 50.0, 20.0)
+    times = {k: g.u.to_numpy() / 10 for k, g in pdf.groupby("k")} | {"once": np.array([90.0]), "never": np.array([])}
+    found = {key: g.sort_values("t") for key, g in members.toPandas().groupby(["k", "cut", "part"])}
+    rows = lengths.collect()
+    assert len(rows) == len(keys) * len(cuts) * 2
+    for r in rows:
+        a, b = (r.cut - 50, r.cut) if r.part == "past" else (r.cut, r.cut + 20)
+        t = np.sort(times[r.k][(times[r.k] >= a) & (times[r.k] < b)])
+        assert r.valid_length == len(t)
+        if len(t):
+            mine = found[r.k, r.cut, r.part]
+            np.testing.assert_allclose(mine.t, t)
+            np.testing.assert_allclose(mine.gap, np.diff(np.r_[a, t]), atol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_keyed_permutation_is_one(spark, n):
+    pos = lambda seed: [r[0] for r in spark.range(n).select(keyed_permutation(F.col("id"), n, seed)).collect()]
+    one, two = pos(1), pos(2)
+    assert sorted(one) == sorted(two) == list(range(n)) and one == pos(1)
+    if n >= 97:
+        assert one != two and sum(a == i for i, a in enumerate(one)) < n / 10
 
 
 def test_null_group_keeps_its_rows(spark):

@@ -54,16 +54,56 @@ def test_narrow_types(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 70000), (100, -5)]
 
 
-def test_dataset_round_trip_keeps_missing(spark, tmp_path):
-    df = spark.createDataFrame([("a", "2020-01-01", [1.0, None, 3.0], "train")], "item_id string, start string, target array<double>, split string")
-    S.write_dataset(df, str(tmp_path / "ds"))
-    assert S.read_dataset(spark, str(tmp_path / "ds")).first().target == [1.0, None, 3.0]
-
-
-def test_bad_json_line_fails(spark, tmp_path):
-    (tmp_path / "x.json").write_text('{"item_id": "a", "start": "2020-01-01", "target": [1]}\n{bad\n')
+def test_dataset_round_trip_keeps_fields(spark, tmp_path):
+    """Types, missing values and metadata come back; a second write replaces the set, and half a set is none."""
+    schema = "item_id string, start string, target array<double>, feat_static_cat array<int>, feat_static_real array<double>, feat_dynamic_cat array<array<int>>, feat_dynamic_real array<array<double>>, split string"
+    rows = [("a", "2020-01-01", [1.0, None, 3.0], [2], [0.5, None], [[1, 2, 3]], [[1.0, None, 2.0], [0.0, float("nan"), 1.0]], "train"), ("b", "2020-01-02", [], None, None, None, None, "test")]
+    path = str(tmp_path / "ds")
+    with pytest.raises(ValueError):
+        S.read_dataset(spark, path)
+    S.write_dataset(spark.createDataFrame(rows, schema), path, freq="D", prediction_length=3, feat_static_cat=[{"name": "store", "cardinality": 5}])
+    back = {r.item_id: r for r in S.read_dataset(spark, path).collect()}
+    assert tuple(back["a"]) == ("a", "2020-01-01", [1.0, None, 3.0], [2], [0.5, None], [[1, 2, 3]], [[1.0, None, 2.0], [0.0, None, 1.0]], "train")
+    assert back["b"].target == [] and back["b"].feat_dynamic_real is None
+    assert [r.item_id for r in S.read_dataset(spark, path, "test").collect()] == ["b"]
+    known = S.read_manifest(spark, path)
+    assert known["metadata"] == {"freq": "D", "prediction_length": 3, "feat_static_cat": [{"name": "store", "cardinality": 5}]} and known["entries"] == {"train": 1, "test": 1}
+    S.write_dataset(spark.createDataFrame(rows[:1], schema), path, freq="W")
+    assert S.read_dataset(spark, path).count() == 1 and S.read_manifest(spark, path)["metadata"] == {"freq": "W"}
+    import shutil
+
+    shutil.rmtree(path + "/manifest")  # as if the write had ended before its last step
+    with pytest.raises(ValueError, match="no complete dataset"):
+        S.read_dataset(spark, path)
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    """Files of several blocks: every line has its own number."""
+    import json
+
+    texts = {"a.json": 3000, "b.json": 1, "sub.json": 777, "_skipped.json": 5}
+    for name, n in texts.items():
+        (tmp_path / name).write_text("".join(json.dumps({"item_id": f"{name}-{i}", "start": "2020-01-01", "target": [i]}) + "\n" for i in range(n)))
+    small = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        df = S.read_jsonl(spark, str(tmp_path))
+        assert S.numbered_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+        rows = df.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 3778
+    assert all(r.item_id == f"{r.source_file.split('/')[-1]}-{r.source_line}" and r.target == [r.source_line] for r in rows)
+
+
+@pytest.mark.parametrize("bad", ["{bad", "", '{"item_id": "a", "target": "x"}'])
+def test_bad_json_line_is_named(spark, tmp_path, bad):
+    (tmp_path / "x.json").write_text('{"item_id": "a", "start": "2020-01-01", "target": [1]}\n' + bad + "\n")
     (tmp_path / "_SUCCESS").write_text("")
-    with pytest.raises((PySparkException, Py4JJavaError), match="MALFORMED"):
+    with pytest.raises((PySparkException, Py4JJavaError), match="could not read line 1 of .*x.json"):
         S.read_jsonl(spark, str(tmp_path)).collect()
 
 

@@ -35,8 +35,19 @@ def test_rolling_matches_pandas(tiny, tiny_pdf, shift, width):
 
 
 def test_rolling_quantiles(tiny, tiny_pdf):
-    out = W.rolling_quantiles(tiny, ID, 5, {"q90": 0.9})
-    same(got(out, "q90"), by(tiny_pdf).transform(lambda x: x.rolling(5).quantile(0.9)))
+    out = W.rolling_quantiles(tiny, ID, [1, 2, 5], [0.0, 0.25, 0.9])
+    for w in (1, 2, 5):
+        for p in (0.0, 0.25, 0.9):
+            same(got(out, f"q{round(100 * p)}_{w}"), by(tiny_pdf).transform(lambda x: x.rolling(w).quantile(p)))
+    some = W.rolling_quantiles(tiny, ID, [5], [0.5], need=2)
+    same(got(some, "q50_5"), by(tiny_pdf).transform(lambda x: x.rolling(5, min_periods=2).quantile(0.5)))
+
+
+def test_rolling_ratio(tiny, tiny_pdf):
+    out = W.rolling_ratio(tiny, ID, 2, 4)
+    mean = lambda n: by(tiny_pdf).transform(lambda x: x.rolling(n).mean())
+    ratio = (mean(2) / mean(4) - 1).replace([np.inf, -np.inf], np.nan)
+    same(got(out, "ratio_2_4"), ratio)
 
 
 def test_rolling_shape(tiny, tiny_pdf):

@@ -107,7 +107,11 @@ def mean_forecast(df: DataFrame, keys: list[str], h: int, samples: int = 0, seed
 
 def uniform_draw(cols: list[str], seed: int) -> Column:
     """Uniform (0, 1) number fixed by the row's keys: the same after any repartition or retry."""
-    bits = F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), 11)
+    return _uniform([F.col(c) for c in cols], seed)
+
+
+def _uniform(cols: list[Column], seed: int) -> Column:
+    bits = F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11)
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
@@ -140,39 +144,49 @@ def with_fallback(main: DataFrame, fallback: DataFrame, keys: list[str]) -> Data
     )
 
 
-def kernel_quantiles(df: DataFrame, keys: list[str], h: int, probs: list[float], day: str = "d",
-                     value: str = "sales", season: int | None = None, kind: str = "exponential",
-                     feature_scale: float = 1000.0) -> DataFrame:
-    """Quantiles of history weighted by closeness to the step (no feedback of drawn values).
+def _kernel_mass(df: DataFrame, keys: list[str], h: int, day: str, value: str, season: int | None, kind: str,
+                 feature_scale: float, weight: float) -> tuple[DataFrame, DataFrame]:
+    """History's weight for each value as seen from a step, and the series: their ends and lengths.
 
-    exponential: weight exp(-(distance in scaled time + distance in scaled season)).
-    uniform: weight 1, or equality of season. All history days come before every step,
-    so the time part is the same for all steps up to a factor that cancels; only the
-    season of the step matters, and history is first summed per (series, season, value).
+    All history days come before every step, so the time part of a weight is the same for all steps up to a factor;
+    only the season of the step (``_sp``) matters, and history is first summed per (series, season, value). ``_near``
+    is the least season distance of a step from history, which the weights are relative to.
     """
     whole = Window.partitionBy(*keys)
     n = F.count("*").over(whole)
     pos = F.row_number().over(whole.orderBy(day)) - 1
     rows = df.select(*keys, F.col(day).alias("_d"), F.col(value).alias("_v"), pos.alias("_pos"), n.alias("_n"))
-    time_weight = F.exp((F.col("_pos") - F.col("_n") + 1) / (F.col("_n") + h - 1)) if kind == "exponential" else F.lit(1.0)
+    time_weight = F.exp(weight * (F.col("_pos") - F.col("_n") + 1) / (F.col("_n") + h - 1)) if kind == "exponential" else F.lit(1.0)
     phase = (F.col("_d") % season) if season else F.lit(0)
-    mass = rows.groupBy(*keys, phase.alias("_ph"), "_v").agg(F.sum(time_weight).alias("_w"))
-    ends = df.groupBy(*keys).agg(F.max(day).alias("_end"))
-    steps = ends.select(*keys, "_end", _steps(h))
-    step_phase = ((F.col("_end") + F.col("step")) % season) if season else F.lit(0)
-    steps = steps.select(*keys, "step", step_phase.alias("_sp"))
-    classes = steps.select(*keys, "_sp").distinct()
+    mass = rows.filter(F.col("_v").isNotNull()).groupBy(*keys, phase.alias("_ph"), "_v").agg(F.sum(time_weight).alias("_w"))
+    ends = df.groupBy(*keys).agg(F.max(day).alias("_end"), F.count("*").alias("_n"))
+    if not season:
+        return mass.select(*keys, F.lit(0).alias("_sp"), "_v", "_w", F.lit(0.0).alias("_near")), ends
+    classes = ends.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(min(h, season)))).alias("step"), "_end")
+    classes = classes.select(*keys, ((F.col("_end") + F.col("step")) % season).alias("_sp"))
     pairs = mass.join(classes, keys)
-    if season and kind == "exponential":
-        gap = F.abs(F.col("_ph") - F.col("_sp")) / F.lit(float(season - 1)) * feature_scale
+    if kind == "exponential":
+        gap = weight * F.abs(F.col("_ph") - F.col("_sp")) / F.lit(float(season - 1)) * feature_scale
         # less the least gap of the step: a series without a day near the step's season keeps its relative weights
-        near = F.min(gap).over(Window.partitionBy(*keys, "_sp"))
-        pairs = pairs.withColumn("_w", F.col("_w") * F.exp(near - gap))
-    elif season:
+        pairs = pairs.withColumn("_near", F.min(gap).over(Window.partitionBy(*keys, "_sp")))
+        pairs = pairs.withColumn("_w", F.col("_w") * F.exp(F.col("_near") - gap))
+    else:
         # a step whose season has no day in history weighs all days alike
         same = F.col("_ph") == F.col("_sp")
-        pairs = pairs.withColumn("_any", F.max(same).over(Window.partitionBy(*keys, "_sp"))).filter(same | ~F.col("_any")).drop("_any")
-    pooled = pairs.groupBy(*keys, "_sp", "_v").agg(F.sum("_w").alias("_w"))
+        pairs = pairs.withColumn("_any", F.max(same).over(Window.partitionBy(*keys, "_sp"))).filter(same | ~F.col("_any"))
+        pairs = pairs.withColumn("_near", F.lit(0.0))
+    return pairs.groupBy(*keys, "_sp", "_v").agg(F.sum("_w").alias("_w"), F.max("_near").alias("_near")), ends
+
+
+def kernel_quantiles(df: DataFrame, keys: list[str], h: int, probs: list[float], day: str = "d",
+                     value: str = "sales", season: int | None = None, kind: str = "exponential",
+                     feature_scale: float = 1000.0) -> DataFrame:
+    """Quantiles of history weighted by closeness to the step (no feedback of drawn values).
+
+    exponential: weight exp(-(distance in scaled time + distance in scaled season)).
+    uniform: weight 1, or equality of season.
+    """
+    pooled, ends = _kernel_mass(df, keys, h, day, value, season, kind, feature_scale, 1.0)
     cls = Window.partitionBy(*keys, "_sp")
     cum = F.sum("_w").over(cls.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     share = pooled.withColumn("_c", cum / F.sum("_w").over(cls))
@@ -180,56 +194,53 @@ def kernel_quantiles(df: DataFrame, keys: list[str], h: int, probs: list[float],
     out = share.groupBy(*keys, "_sp").agg(
         *[F.min(F.when(F.col("_c") >= p - 1e-9, F.col("_v"))).alias(f"q{i}") for i, p in enumerate(probs)]
     )
+    step_phase = ((F.col("_end") + F.col("step")) % season) if season else F.lit(0)
+    steps = ends.select(*keys, "_end", _steps(h)).select(*keys, "step", step_phase.alias("_sp"))
     return steps.join(out, [*keys, "_sp"]).drop("_sp")
 
 
 def kernel_samples(df: DataFrame, keys: list[str], h: int, n_samples: int, seed: int, day: str = "d",
                    value: str = "sales", season: int | None = None, feature_scale: float = 1000.0,
                    weight: float = 1.0) -> DataFrame:
-    """Sample paths from kernel-weighted history; earlier draws of a path feed the later ones.
+    """Sample paths from kernel-weighted history in which a path's earlier draws are drawn again.
 
-    One series' history (bounded by its days) is one row of arrays; numpy draws the paths.
+    A path is an urn. At each step it holds history's values with their weights and the path's own draws so far, whose
+    weights depend on the steps alone, not on what was drawn. So each step's totals are known beforehand, for a series
+    as a whole; a hashed uniform number picks history (a value by its running sum, see ``kernel_quantiles``) or one of the own
+    draws, and a path is a fold over the steps. One row a (series, sample) holds the series' distinct values per season.
     """
-    from tidegrid.operators.reshape import collect_series
-
-    entries = collect_series(df, keys, day, {"target": value})
-
-    def draw(batches):
-        import numpy as np
-        import pandas as pd
-        import zlib
-
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                y = np.asarray(row["target"], dtype=float)
-                n = len(y)
-                name = "|".join(str(row[k]) for k in keys)
-                rng = np.random.default_rng([seed, zlib.crc32(name.encode())])
-                when = (np.arange(n + h) / (n + h - 1)) - 0.5
-                feats = [when]
-                if season:
-                    phase = (int(row["start"]) + np.arange(n + h)) % season
-                    feats.append(feature_scale * (phase / (season - 1) - 0.5))
-                feats = np.vstack(feats)
-                paths = np.tile(y, (n_samples, 1))
-                for s in range(h):
-                    t = n + s
-                    far = weight * np.abs(feats[:, :t] - feats[:, [t]]).sum(axis=0)
-                    w = np.exp(far.min() - far)
-                    w[np.isnan(paths[0, :t])] = 0.0
-                    pick = np.searchsorted(np.cumsum(w) / w.sum(), rng.random(n_samples), side="right")
-                    paths = np.hstack([paths, paths[np.arange(n_samples), np.minimum(pick, t - 1)][:, None]])
-                block = pd.DataFrame({
-                    "step": np.tile(np.arange(1, h + 1), n_samples),
-                    "sample": np.repeat(np.arange(1, n_samples + 1), h),
-                    "value": paths[:, n:].ravel(),
-                })
-                for k in keys:
-                    block[k] = row[k]
-                out.append(block[[*keys, "step", "sample", "value"]])
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    schema = ", ".join([f"{k} string" for k in keys] + ["step int", "sample int", "value double"])
-    return entries.select(*[F.col(k).cast("string") for k in keys], "start", "target").mapInPandas(draw, schema)
+    pooled, ends = _kernel_mass(df, keys, h, day, value, season, "exponential", feature_scale, weight)
+    run = Window.partitionBy(*keys, "_sp").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = pooled.withColumn("_c", F.sum("_w").over(run)).groupBy(*keys, "_sp").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_c").alias("c"), F.col("_v").cast("double").alias("v")))).alias("values"), F.max("_near").alias("near")
+    )
+    past = rows.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_sp").alias("sp"), "near", "values")).alias("_past"))
+    phase = f"((_end + {{}}) % {season})" if season else "0"
+    apart = f"abs({phase.format('s')} - {phase.format('k')}) / {season - 1}.0D * {feature_scale}D" if season else "0.0D"
+    length, own = "(_n + {h} - 1.0D)".format(h=h), f"{weight}D * ({apart})"
+    # per step: its season's place in _past, the own draws' distances, and the least of all distances
+    series = ends.join(past, keys).withColumn("_near", F.expr(
+        f"""transform(sequence(1, {h}), s -> named_struct('s', s, 'k', array_position(transform(_past, x -> x.sp), {phase.format('s')}) - 1,
+         'gaps', if(s > 1, transform(sequence(1, s - 1), k -> {own}), cast(array() as array<double>))))"""
+    ))
+    series = series.withColumn("_near", F.expr(
+        "transform(_near, p -> named_struct('s', p.s, 'k', cast(p.k as int), 'gaps', p.gaps, 'least', least(_past[cast(p.k as int)].near, coalesce(array_min(p.gaps), double('inf')))))"
+    ))
+    series = series.withColumn("_urns", F.expr(
+        f"""transform(_near, p -> named_struct('s', p.s, 'k', p.k,
+         'scale', exp(p.least - _past[p.k].near - {weight}D * p.s / {length}),
+         'own', aggregate(transform(p.gaps, (g, i) -> exp(p.least - g - {weight}D * (p.s - i - 1) / {length})), cast(array() as array<double>),
+          (sums, w) -> concat(sums, array(coalesce(element_at(sums, -1), 0.0D) + w)))))""".replace("element_at(sums, -1)", "try_element_at(sums, -1)")
+    ))
+    series = series.withColumn("_urns", F.expr(
+        "transform(_urns, p -> named_struct('s', p.s, 'k', p.k, 'scale', p.scale, 'own', p.own, 'past', element_at(_past[p.k].values, -1).c * p.scale))"
+    ))
+    paths = series.select(*keys, "_past", "_urns", F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample"))
+    drawn = F.transform("_urns", lambda p: (p["past"] + F.coalesce(F.try_element_at(p["own"], F.lit(-1)), F.lit(0.0))) * _uniform([*[F.col(k) for k in keys], p["s"], F.col("sample")], seed))
+    paths = paths.withColumn("_x", drawn)
+    picked = """aggregate(_urns, cast(array() as array<double>), (path, p) -> concat(path, array(
+     if(_x[p.s - 1] < p.past or p.s = 1,
+      _past[p.k].values[least(size(filter(_past[p.k].values, r -> r.c * p.scale <= _x[p.s - 1])), size(_past[p.k].values) - 1)].v,
+      path[least(size(filter(p.own, c -> p.past + c <= _x[p.s - 1])), p.s - 2)]))))"""
+    out = paths.select(*keys, "sample", F.posexplode(F.expr(picked)).alias("_i", "value"))
+    return out.select(*keys, (F.col("_i") + 1).alias("step"), "sample", "value")

@@ -118,6 +118,26 @@ def seasonal_error(df: DataFrame, keys: list[str], m: int, day: str = "d", value
     )
 
 
+def seasonal_error_observed(df: DataFrame, keys: list[str], m: int, end: Column | int, day: str = "d", value: str = "sales") -> DataFrame:
+    """``seasonal_error`` of the gap-free series from each one's first row up to day ``end``, from the observed rows alone
+    (absent days are 0).
+
+    Each row counts on its own day and, negative, a season later; a day on which only one of the two falls adds its
+    size. So the work follows the rows and not the days. One shuffle by series.
+    """
+    first = F.min(day).over(Window.partitionBy(*keys))
+    rows = df.filter(F.col(day) <= end).select(*keys, F.col(day).alias("_d"), F.col(value).alias("_v"), first.alias("_f"))
+    rows = rows.withColumn("_n", F.lit(end) - F.col("_f") + 1 if isinstance(end, int) else end - F.col("_f") + 1)
+    lag = F.when(F.col("_n") > m, m).otherwise(1)
+    sides = F.explode(F.array(F.struct(F.col("_d").alias("t"), F.col("_v").alias("v")), F.struct((F.col("_d") + lag).alias("t"), (-F.col("_v")).alias("v"))))
+    spread = rows.select(*keys, "_f", "_n", lag.alias("_m"), sides.alias("_s"))
+    inside = spread.filter(F.col("_s.t") < F.col("_f") + F.col("_n"))
+    steps = inside.groupBy(*keys, F.col("_s.t").alias("_t"), "_f", "_n", "_m").agg(F.abs(F.sum("_s.v")).alias("_e"))
+    total = F.sum(F.when(F.col("_t") >= F.col("_f") + F.col("_m"), F.col("_e")).otherwise(0))
+    per = steps.groupBy(*keys).agg(total.alias("_e"), F.max(F.col("_n") - F.col("_m")).alias("_c"))
+    return per.select(*keys, F.when(F.col("_c") > 0, F.col("_e") / F.col("_c")).alias("seasonal_error"))
+
+
 def pinball(y: Column, f: Column, q: float | Column) -> Column:
     q = F.lit(float(q)) if not isinstance(q, Column) else q
     return F.when(y >= f, q * (y - f)).otherwise((1 - q) * (f - y))

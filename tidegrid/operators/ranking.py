@@ -7,7 +7,9 @@ each partition, and shifted by the sizes of the partitions before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.session import cut_lineage
@@ -45,6 +47,29 @@ def global_position(df: DataFrame, order: list, group: list[str] | None = None,
     )
 
 
+#: Rounds of a keyed permutation.
+ROUNDS = 24
+
+
+def round_keys(seed: int) -> list[int]:
+    return [int(hashlib.md5(f"{seed}/{r}".encode()).hexdigest()[:13], 16) for r in range(1, ROUNDS + 1)]
+
+
+def keyed_permutation(i: Column, n: int, seed: int) -> Column:
+    """Where a permutation of 0..n-1 that ``seed`` fixes sends i: exact for any n, without sorting anything.
+
+    In each round i has one partner, (key - i) mod n, and a hash that both share decides whether they swap.
+    """
+    keys = F.array(*[F.lit(k % max(n, 1)) for k in round_keys(seed)])
+
+    def swap(x: Column, r: Column) -> Column:
+        partner = (F.element_at(keys, r) + F.lit(n) - x) % max(n, 1)
+        digit = F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), r.cast("string"), F.greatest(x, partner).cast("string"))), 1, 1)
+        return F.when(F.conv(digit, 16, 10).cast("int") % 2 == 1, partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i.cast("long"), swap)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles per key as columns q0..qk, exact at any group size.
 

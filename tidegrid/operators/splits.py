@@ -43,29 +43,72 @@ def _padded(values: Column, length: int, dummy: float) -> Column:
     return F.concat(F.array_repeat(F.lit(dummy), F.lit(length) - F.size(values)), values)
 
 
+#: Rows of a block of a series, at least; a block's halo is never longer than the block.
+BLOCK = 256
+
+
+def day_blocks(df: DataFrame, keys: list[str], fields: list[str], before: int, after: int, day: str = "d") -> DataFrame:
+    """Series in blocks of rows with a halo of ``before`` earlier and ``after`` later ones, so that any frame of these
+    sizes is a slice of one block: keys, block, first and last (own positions, from 0), n (rows of the series), start (the
+    position of the first row held), and one array a field, ``day`` too.
+
+    A row goes to its own block and to those whose halo holds it, two on average at most; the blocks keep the
+    partitioning of the numbering, so a series is shuffled once.
+    """
+    size = max(BLOCK, before + after)
+    whole = Window.partitionBy(*keys)
+    held = list(dict.fromkeys([day, *fields]))
+    rows = df.select(*keys, *held, (F.row_number().over(whole.orderBy(day)) - 1).alias("_pos"), F.count("*").over(whole).alias("_n"))
+    low = F.greatest(F.floor((F.col("_pos") - after) / size), F.lit(0))
+    high = F.least(F.floor((F.col("_pos") + before) / size), F.floor((F.col("_n") - 1) / size))
+    spread = rows.withColumn("block", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    packed = spread.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("_pos", *held))).alias("_r"), F.max("_n").cast("int").alias("n"))
+    return packed.select(
+        *keys, "block", (F.col("block") * size).alias("first"), (F.least((F.col("block") + 1) * size, F.col("n")) - 1).alias("last"), "n",
+        F.col("_r")[0]["_pos"].alias("start"), *[F.expr(f"transform(_r, r -> r.`{c}`)").alias(c) for c in held],
+    )
+
+
+def _instances(blocks: DataFrame, keys: list[str], last: str, columns: dict[str, str], day: str, day_name: str) -> DataFrame:
+    """One row a position of each block up to ``last``. ``columns``: name -> SQL in ``p`` (the position) and ``i`` (its
+    place, from 0, in the block's arrays)."""
+    body = ", ".join(f"'{name}', {sql}" for name, sql in {"pos": "p.p", day_name: f"get({day}, p.i)", **columns}.items())
+    places = f"if(least(last, {last}) >= first, transform(sequence(first, least(last, {last})), p -> named_struct('p', p, 'i', p - start)), cast(array() as array<struct<p: int, i: int>>))"
+    made = blocks.select(*keys, F.inline(F.expr(f"transform({places}, p -> named_struct({body}))")))
+    return made
+
+
+def _past(field: str, length: int, end: int = 0) -> str:
+    """Up to ``length`` values of a field that end ``end`` rows before the position (0: with the one before it)."""
+    return f"slice({field}, greatest(p.i - {end + length - 1}, 1), greatest(least({length}, p.i - {end}), 0))"
+
+
+def _padded_sql(values: str, length: int, dummy: str) -> str:
+    return f"concat(array_repeat({dummy}, {length} - size({values})), {values})"
+
+
+def _pads(values: str, length: int) -> str:
+    return f"concat(array_repeat(1, {length} - size({values})), array_repeat(0, size({values})))"
+
+
 def make_instances(df: DataFrame, keys: list[str], past: int, future: int, lead: int = 0, pick_incomplete: bool = True,
                    chosen: Column | None = None, dummy: float = 0.0, day: str = "d", value: str = "sales") -> DataFrame:
-    """Left-padded past window, future window, pad flags and forecast start at each chosen cut.
+    """Left-padded past window, future window, pad flags and forecast start at every position of every series.
 
     A cut at position i (0-based) has rows i-past..i-1 as past and i+lead..i+lead+future-1 as
-    future. ``chosen`` is a condition on ``pos``; the frames hold past + future values at most.
+    future. ``chosen`` is a condition on ``pos``, such as a sampler's.
     """
-    w = Window.partitionBy(*keys).orderBy(day)
-    rows = df.select(
-        *keys, day, (F.row_number().over(w) - 1).alias("pos"),
-        F.collect_list(value).over(w.rowsBetween(-past, -1)).alias("_past"),
-        F.collect_list(value).over(w.rowsBetween(lead, lead + future - 1)).alias("future_target"),
-        F.lead(day, lead).over(w).alias("forecast_start"),
-    )
-    valid = (F.size("future_target") == future) & (F.lit(True) if pick_incomplete else F.col("pos") >= past)
-    rows = rows.filter(valid if chosen is None else valid & chosen)
-    pad = F.lit(past) - F.size("_past")
-    return rows.select(
-        *keys, "pos", "forecast_start",
-        _padded(F.col("_past"), past, dummy).alias("past_target"),
-        "future_target",
-        F.concat(F.array_repeat(F.lit(1), pad), F.array_repeat(F.lit(0), F.size("_past"))).alias("past_is_pad"),
-    )
+    blocks = day_blocks(df, keys, [value], past, lead + future, day)
+    columns = {
+        "past_target": _padded_sql(_past(value, past), past, f"{dummy}D"),
+        "future_target": f"slice({value}, p.i + {lead + 1}, {future})",
+        "past_is_pad": _pads(_past(value, past), past),
+        "forecast_start": f"get({day}, p.i + {lead})",
+    }
+    out = _instances(blocks, keys, f"n - {lead + future}", columns, day, "_day").drop("_day")
+    out = out.select(*keys, "pos", "forecast_start", "past_target", "future_target", "past_is_pad")
+    out = out if pick_incomplete else out.filter(F.col("pos") >= past)
+    return out if chosen is None else out.filter(chosen)
 
 
 def predict_instances(df: DataFrame, keys: list[str], past: int, lead: int = 0, dummy: float = 0.0, day: str = "d",
@@ -84,18 +127,13 @@ def predict_instances(df: DataFrame, keys: list[str], past: int, lead: int = 0,
 
 def make_instances_canonical(df: DataFrame, keys: list[str], length: int, chosen: Column | None = None,
                              pad: bool = False, dummy: float = 0.0, day: str = "d", value: str = "sales") -> DataFrame:
-    """One window of ``length`` ending before position i; padded on the left when allowed."""
-    w = Window.partitionBy(*keys).orderBy(day)
-    rows = df.select(
-        *keys, F.row_number().over(w).alias("pos"), F.col(day).alias("last_day"),
-        F.collect_list(value).over(w.rowsBetween(-(length - 1), 0)).alias("_t"),
-    )
-    valid = F.lit(True) if pad else F.size("_t") == length
-    rows = rows.filter(valid if chosen is None else valid & chosen)
-    return rows.select(
-        *keys, "pos", "last_day", _padded(F.col("_t"), length, dummy).alias("past_target"),
-        F.concat(F.array_repeat(F.lit(1), length - F.size("_t")), F.array_repeat(F.lit(0), F.size("_t"))).alias("past_is_pad"),
-    )
+    """One window of ``length`` ending with each row; padded on the left when allowed. ``pos`` is from 1."""
+    blocks = day_blocks(df, keys, [value], length, 0, day)
+    held = f"slice({value}, greatest(p.i - {length - 2}, 1), least({length}, p.i + 1))"
+    columns = {"past_target": _padded_sql(held, length, f"{dummy}D"), "past_is_pad": _pads(held, length)}
+    out = _instances(blocks, keys, "n - 1", columns, day, "last_day").withColumn("pos", F.col("pos") + 1)
+    out = out if pad else out.filter(F.col("pos") >= length)
+    return out if chosen is None else out.filter(chosen)
 
 
 def previous_in_chunks(df: DataFrame, key: str, order: list[str], chunk: Column, value: str, out: str) -> DataFrame:
@@ -107,78 +145,81 @@ def previous_in_chunks(df: DataFrame, key: str, order: list[str], chunk: Column,
     return rows.withColumn("_in", inside).join(ends, [key, "_k"]).withColumn(out, F.coalesce("_in", "_prev")).drop("_k", "_in", "_prev")
 
 
-def make_ct_instances(events: DataFrame, key: str, time: str, event_id: str, cuts: list[float], past: float,
-                      future: float, chunk: float, with_future: bool = True) -> DataFrame:
-    """Events around each cut time, with the time since the event before (or the window's start).
+#: Events of a time bucket, on average.
+BUCKET = 2048
 
-    Each event is copied to the windows it lies in; the gap to its predecessor is found once
-    per key, so no window holds a whole key.
-    """
-    chunks = F.floor(F.col(time) / chunk)
-    rows = previous_in_chunks(events, key, [time, event_id], chunks, time, "_before")
-    marks = []
-    for c in cuts:
-        spans = [("past", c - past, c)] + ([("future", c, c + future)] if with_future else [])
-        marks += [F.struct(F.lit(c).alias("cut"), F.lit(p).alias("part"), F.lit(a).alias("a"), F.lit(b).alias("b")) for p, a, b in spans]
-    inside = F.filter(F.array(*marks), lambda m: (F.col(time) >= m["a"]) & (F.col(time) < m["b"]))
-    out = rows.withColumn("_m", F.explode(inside))
-    gap = F.col(time) - F.greatest(F.coalesce(F.col("_before"), F.col("_m.a")), F.col("_m.a"))
-    return out.withColumns({"cut": F.col("_m.cut"), "part": F.col("_m.part"), "gap": gap}).drop("_m", "_before")
-
-
-def make_forking_instances(df: DataFrame, keys: list[str], enc: int, dec: int, chosen: Column, day: str = "d",
-                           value: str = "sales") -> DataFrame:
-    """Per cut: the left-padded past of length enc and, for each of its steps, the next dec values.
 
-    Each row's next-dec array is made once by a forward frame and gathered over the past frame.
+def ct_windows(events: DataFrame, cuts: DataFrame, key: str, time: str, event_id: str, past: float, future: float,
+               with_future: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Windows of a point process around cut times: the windows, and the events in them.
+
+    ``cuts``: (key, cut), any number a key; a window is [cut - past, cut) or [cut, cut + future). Windows: key, cut, part
+    and valid_length, 0 where nothing happened. Events: their columns with cut, part and gap, the time since the event before
+    in the window (or the window's start).
+
+    Windows and events meet in time buckets, as wide as it takes for about ``BUCKET`` events of the key: the buckets of a
+    key with a third of all events are as large as those of any other. No window is gathered.
     """
-    w = Window.partitionBy(*keys).orderBy(day)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    rows = df.select(
-        *keys, day, value, (F.row_number().over(w) - 1).alias("pos"), n.alias("_n"),
-        F.collect_list(value).over(w.rowsBetween(1, dec)).alias("_next"),
-    ).filter(F.col("_n") >= dec)
-    out = rows.select(
-        *keys, day, "pos", "_n",
-        F.collect_list(value).over(w.rowsBetween(-(enc - 1), 0)).alias("_past"),
-        F.collect_list("_next").over(w.rowsBetween(-(enc - 1), 0)).alias("_fork"),
-    ).filter((F.col("pos") + dec < F.col("_n")) & chosen)
-    blank = F.array_repeat(F.array_repeat(F.lit(0.0), dec), F.lit(enc) - F.size("_past"))
-    return out.select(*keys, "pos", _padded(F.col("_past"), enc, 0.0).alias("past_target"), F.concat(blank, F.col("_fork")).alias("future_target"))
+    parts = [F.struct(F.lit("past").alias("part"), (F.col("cut") - past).alias("a"), F.col("cut").alias("b"))]
+    if with_future:
+        parts.append(F.struct(F.lit("future").alias("part"), F.col("cut").alias("a"), (F.col("cut") + future).alias("b")))
+    windows = cuts.select(key, F.col("cut").cast("double").alias("cut")).distinct().select(key, "cut", F.explode(F.array(*parts)).alias("_w"))
+    windows = windows.select(key, "cut", "_w.part", F.col("_w.a").alias("_a"), F.col("_w.b").alias("_b"))
+    span = events.groupBy(key).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"), F.count("*").alias("_n"))
+    width = (F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / BUCKET)
+    widths = span.select(key, "_lo", "_hi", F.when(width > 0, width).otherwise(1.0).alias("_width"))
+    bucket = lambda t: F.floor((t - F.col("_lo")) / F.col("_width"))
+    placed = events.join(widths, key).withColumn("_k", bucket(F.col(time)))
+    before = previous_in_chunks(placed.drop("_k"), key, [time, event_id], bucket(F.col(time)), time, "_before").withColumn("_k", bucket(F.col(time)))
+    reach = windows.join(widths, key).filter((F.col("_b") > F.col("_lo")) & (F.col("_a") <= F.col("_hi")))
+    first, last = F.greatest(F.col("_a"), F.col("_lo")), F.least(F.col("_b"), F.col("_hi"))
+    reach = reach.withColumn("_k", F.explode(F.sequence(bucket(first), bucket(last)))).drop("_lo", "_hi", "_width")
+    inside = before.drop("_lo", "_hi", "_width").join(reach, [key, "_k"]).filter((F.col(time) >= F.col("_a")) & (F.col(time) < F.col("_b")))
+    gap = F.col(time) - F.greatest(F.coalesce(F.col("_before"), F.col("_a")), F.col("_a"))
+    members = inside.select(*events.columns, "cut", "part", gap.alias("gap"))
+    counts = members.groupBy(key, "cut", "part").agg(F.count("*").alias("valid_length"))
+    lengths = windows.select(key, "cut", "part").join(counts, [key, "cut", "part"], "left").na.fill(0, ["valid_length"])
+    return lengths, members
+
+
+def make_forking_instances(df: DataFrame, keys: list[str], enc: int, dec: int, chosen: Column | None = None, day: str = "d",
+                           value: str = "sales") -> DataFrame:
+    """Per row: the left-padded past of length enc and, for each of its steps, the next dec values."""
+    blocks = day_blocks(df, keys, [value], enc, dec, day)
+    held = f"slice({value}, greatest(p.i - {enc - 2}, 1), least({enc}, p.i + 1))"
+    forks = f"transform(sequence(greatest(p.i - {enc - 1}, 0), p.i), j -> slice({value}, j + 2, {dec}))"
+    columns = {
+        "past_target": _padded_sql(held, enc, "0.0D"),
+        "future_target": f"concat(array_repeat(array_repeat(0.0D, {dec}), {enc} - size({held})), {forks})",
+    }
+    out = _instances(blocks, keys, f"n - {dec + 1}", columns, day, "_day").drop("_day")
+    return out if chosen is None else out.filter(chosen)
 
 
 def lag_block(df: DataFrame, keys: list[str], lags: list[int], length: int, chosen: Column | None = None, day: str = "d", value: str = "sales") -> DataFrame:
     """For each lag, the block of ``length`` values that ends lag rows back; only full blocks."""
-    w = Window.partitionBy(*keys).orderBy(day)
-    rows = df.select(
-        *keys, day, (F.row_number().over(w) - 1).alias("pos"),
-        *[F.collect_list(value).over(w.rowsBetween(-(lag + length - 1), -lag)).alias(f"block_{lag}") for lag in lags],
-    )
-    full = F.size(f"block_{max(lags)}") == length
-    return rows.filter(full if chosen is None else full & chosen)
+    blocks = day_blocks(df, keys, [value], max(lags) + length, 0, day)
+    columns = {f"block_{lag}": _past(value, length, lag - 1) for lag in lags}
+    out = _instances(blocks, keys, "n - 1", columns, day, day).filter(F.col("pos") >= max(lags) + length - 1)
+    out = out.select(*keys, day, "pos", *columns)
+    return out if chosen is None else out.filter(chosen)
 
 
-def model_inputs(df: DataFrame, keys: list[str], date: str, freq: str, past: int, future: int, chosen: Column,
+def model_inputs(df: DataFrame, keys: list[str], date: str, freq: str, past: int, future: int, chosen: Column | None = None,
                  day: str = "d", value: str = "sales") -> DataFrame:
-    """Observed flag, time features, age, then instances of target and features at the chosen cuts."""
+    """Observed flag, time features, age, then instances of target and features at every position with a full past and future."""
     from tidegrid.functions.calendar import FREQ_FEATURES, age_feature, time_features
     from tidegrid.operators.clean import observed_indicator
 
     out = observed_indicator(df, value)
     out = age_feature(time_features(out, date, freq), keys, day)
     fields = [value, "observed", *FREQ_FEATURES[freq], "age"]
-    packed = out.withColumn("_f", F.struct(*fields))
-    w = Window.partitionBy(*keys).orderBy(day)
-    rows = packed.select(
-        *keys, day, (F.row_number().over(w) - 1).alias("pos"),
-        F.collect_list("_f").over(w.rowsBetween(-past, -1)).alias("_past"),
-        F.collect_list("_f").over(w.rowsBetween(0, future - 1)).alias("_future"),
-    ).filter((F.size("_future") == future) & (F.size("_past") == past) & chosen)
-    return rows.select(
-        *keys, "pos", F.col(day).alias("forecast_start"),
-        *[F.col("_past")[f].alias(f"past_{f}") for f in fields],
-        *[F.col("_future")[f].alias(f"future_{f}") for f in fields if f != "observed"],
-    )
+    blocks = day_blocks(out, keys, fields, past, future, day)
+    columns = {f"past_{f}": _past(f, past) for f in fields}
+    columns |= {f"future_{f}": f"slice({f}, p.i + 1, {future})" for f in fields if f != "observed"}
+    rows = _instances(blocks, keys, f"n - {future}", columns, day, "forecast_start").filter(F.col("pos") >= past)
+    rows = rows.select(*keys, "pos", "forecast_start", *columns)
+    return rows if chosen is None else rows.filter(chosen)
 
 
 # --- samplers: every choice is a hash of the row's keys, so a retry makes the same one ---

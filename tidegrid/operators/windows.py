@@ -8,9 +8,14 @@ not grow with the width.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _order(keys: list[str], day: str):
@@ -76,13 +81,64 @@ def rolling_frames(df: DataFrame, keys: list[str], width: int, aggs: dict[str, C
     return df.withColumns({n: full(a, value, win, need or width) for n, a in aggs.items()})
 
 
-def rolling_quantiles(df: DataFrame, keys: list[str], width: int, probs: dict[str, float], day: str = "d",
-                      value: str = "sales", need: int | None = None) -> DataFrame:
-    """Linear-interpolated quantiles per frame, all of one width from one sorted pass."""
-    win = frame(keys, width, 0, day)
-    arr = F.percentile(value, F.array(*[F.lit(p) for p in probs.values()])).over(win)
-    out = df.withColumn("_p", F.when(F.count(value).over(win) >= (need or width), arr))
-    return out.withColumns({n: F.col("_p")[i] for i, n in enumerate(probs)}).drop("_p")
+def rolling_quantiles(df: DataFrame, keys: list[str], widths: list[int], probs: list[float], day: str = "d",
+                      value: str = "sales", need: int | None = None, name: str = "q") -> DataFrame:
+    """Linear-interpolated quantiles of the last ``width`` rows, as columns {name}{100 p}_{width}: null unless ``need`` (all, if
+    not given) of them are observed.
+
+    A series' rows pass in order through one sorted window per width: the value that leaves is taken out and the new one put in
+    by binary search, and every quantile is read from its place. A task holds the widest window of one series. The
+    table's rows are spread by series and sorted once, whatever the number of widths.
+    """
+    names = [(w, p, f"{name}{round(100 * p)}_{w}") for w in widths for p in probs]
+    added = T.StructType([T.StructField(n, T.DoubleType()) for _, _, n in names])
+    hashed = F.xxhash64(*keys)
+    spread = df.withColumns({"_key": hashed, "_x": F.col(value).cast("double")})
+    spread = spread.repartition(*keys).sortWithinPartitions("_key", *keys, day)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, windows = None, []
+        for batch in batches:
+            ids = zip(*(batch.column(k).to_pylist() for k in keys))
+            out: dict[str, list] = {n: [] for _, _, n in names}
+            for key, x in zip(ids, batch.column("_x").to_pylist()):
+                if key != now:
+                    now, windows = key, [SortedWindow(w) for w in widths]
+                for window in windows:
+                    window.push(x)
+                    enough = window.seen() >= (need or window.width)
+                    for p in probs:
+                        out[f"{name}{round(100 * p)}_{window.width}"].append(window.quantile(p) if enough else None)
+            given = batch.drop_columns(["_key", "_x"])
+            yield pa.RecordBatch.from_arrays([*given.columns, *(pa.array(v, pa.float64()) for v in out.values())], names=[*given.schema.names, *out])
+
+    return spread.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+
+
+class SortedWindow:
+    """The last ``width`` values in order of size; nulls only take up their place in time."""
+
+    def __init__(self, width: int):
+        self.width, self.queue, self.ranked = width, deque(), []
+
+    def push(self, x: float | None) -> None:
+        self.queue.append(x)
+        if len(self.queue) > self.width and (old := self.queue.popleft()) is not None:
+            del self.ranked[bisect_left(self.ranked, old)]
+        if x is not None:
+            insort(self.ranked, x)
+
+    def seen(self) -> int:
+        return len(self.ranked)
+
+    def quantile(self, p: float) -> float | None:
+        if not self.ranked:
+            return None
+        at = p * (len(self.ranked) - 1)
+        low = int(at)
+        if low == at:
+            return self.ranked[low]
+        return self.ranked[low] + (self.ranked[low + 1] - self.ranked[low]) * (at - low)
 
 
 def rolling_shape(df: DataFrame, keys: list[str], width: int, day: str = "d", value: str = "sales") -> DataFrame:
@@ -175,10 +231,12 @@ def ma_crosses(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def rolling_ratio(df: DataFrame, keys: list[str], short: int, long: int, day: str = "d", value: str = "sales") -> DataFrame:
-    """Short rolling mean over the long one, minus 1."""
-    out = rolling(df, keys, [(0, short), (0, long)], day, value, std=False, name="_r")
-    ratio = F.try_divide(F.col(f"_r_mean_0_{short}"), F.col(f"_r_mean_0_{long}")) - 1
-    return out.withColumn(f"ratio_{short}_{long}", ratio).drop(f"_r_mean_0_{short}", f"_r_mean_0_{long}")
+    """Short rolling mean over the long one, minus 1; null unless the long frame is full. The sums are divided once, so
+    whole numbers give the same ratio in any order of summing."""
+    near, far = frame(keys, short, 0, day), frame(keys, long, 0, day)
+    ratio = F.try_divide((F.sum(value).over(near) * long).cast("double"), (F.sum(value).over(far) * short).cast("double")) - 1
+    enough = (F.count(value).over(far) == long) & (F.count(value).over(near) == short)
+    return df.withColumn(f"ratio_{short}_{long}", F.when(enough, ratio))
 
 
 def min_periods(span: float) -> int:

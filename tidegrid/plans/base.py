@@ -98,7 +98,7 @@ def with_views(body: str, names: list[str]) -> str:
         add(name)
     if not order:
         return body
-    head = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order)
     body = body.strip()
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"

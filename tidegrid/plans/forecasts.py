@@ -87,31 +87,28 @@ def mean_of_tails(t):
 PROBS = [0.1, 0.5, 0.9]
 
 
-def _kernel_sql(weight, where=""):
-    return f"""WITH r AS (SELECT id, d, sales, row_number() OVER (PARTITION BY id ORDER BY d) - 1 AS pos, count(*) OVER (PARTITION BY id) AS n, max(d) OVER (PARTITION BY id) AS z FROM dpanel),
- x AS (SELECT id, k.step, sales, sum({weight}) AS w FROM r CROSS JOIN (SELECT CAST(unnest(range(1, 29)) AS INT) AS step) k {where} GROUP BY ALL),
+def _kernel_sql(time_weight, season_weight, where=""):
+    return f"""WITH r AS (SELECT id, d, sales, row_number() OVER (PARTITION BY id ORDER BY d) - 1 AS pos, count(*) OVER (PARTITION BY id) AS n, max(d) OVER (PARTITION BY id) AS z FROM grid),
+ p AS (SELECT id, z, d % 7 AS ph, sales, sum({time_weight}) AS w FROM r GROUP BY ALL),
+ x AS (SELECT id, k.step, sales, sum(w * {season_weight}) AS w FROM p CROSS JOIN (SELECT CAST(unnest(range(1, 29)) AS INT) AS step) k {where} GROUP BY ALL),
  c AS (SELECT id, step, sales, sum(w) OVER (PARTITION BY id, step ORDER BY sales) / sum(w) OVER (PARTITION BY id, step) AS c FROM x)
  SELECT id, step, {', '.join(f'min(sales) FILTER (c >= {p} - 1e-9) AS q{i}' for i, p in enumerate(PROBS))} FROM c GROUP BY id, step"""
 
 
-@query(
-    "kernel_quantiles",
-    _kernel_sql("exp(-(abs(pos - (n + k.step - 1)) / (n + 28 - 1)::DOUBLE) - 2.0 * abs(d % 7 - (z + k.step) % 7) / 6.0)"),
-    "dpanel",
-)
+@query("kernel_quantiles", _kernel_sql("exp((pos - n + 1) / (n + 28 - 1)::DOUBLE)", "exp(-2.0::DOUBLE * abs(ph - (z + k.step) % 7) / 6.0::DOUBLE)"), "grid")
 def kernel_quantiles(t):
-    """SQL states every step against every day; here days are summed per weekday and value first."""
-    return C.kernel_quantiles(t.dept_panel, ["id"], HORIZON, PROBS, season=7, feature_scale=2.0)
+    return C.kernel_quantiles(t.grid, ["id"], HORIZON, PROBS, season=7, feature_scale=2.0)
 
 
-@query("climatology_quantiles", _kernel_sql("1", "WHERE d % 7 = (z + k.step) % 7"), "dpanel")
+@query("climatology_quantiles", _kernel_sql("1", "1", "WHERE ph = (z + k.step) % 7"), "grid")
 def climatology_quantiles(t):
-    return C.kernel_quantiles(t.dept_panel, ["id"], HORIZON, PROBS, season=7, kind="uniform")
+    return C.kernel_quantiles(t.grid, ["id"], HORIZON, PROBS, season=7, kind="uniform")
 
 
 @query("kernel_samples")
 def kernel_samples(t):
-    return C.kernel_samples(t.dept_panel, ["id"], 14, 20, seed=3, season=7)
+    """Twenty paths of four weeks for every series; later draws may repeat earlier ones of their path."""
+    return C.kernel_samples(t.grid, ["id"], HORIZON, 20, seed=3, season=7, feature_scale=2.0)
 
 
 @query(

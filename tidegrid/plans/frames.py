@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators.metrics import seasonal_error
+from tidegrid.operators.metrics import seasonal_error_observed
 from tidegrid.plans.flagship import HORIZON, naive_forecast
 from tidegrid.sources.retail import SERIES
 
@@ -53,4 +53,4 @@ def ev(t):
 
 
 def serr(t):
-    return seasonal_error(t.staged.grid_between(F.lit(0), cut_day(t)), ["id"], 7)
+    return seasonal_error_observed(t.staged.panel, ["id"], 7, cut_day(t))

@@ -16,6 +16,28 @@ def base(t):
     return t.panel.select("id", "d", "sales")
 
 
+def days(t):
+    """Every day of every series."""
+    return t.grid.select("id", "d", "sales")
+
+
+def digest(column, scale=1):
+    """md5 of an array's whole numbers (after ``scale``): instances are many, and so are compared by value but not by length."""
+    return F.md5(F.array_join(F.transform(column, lambda x: F.round(x * scale).cast("bigint").cast("string")), ",")).alias(column)
+
+
+def _digest(values, name, scale=1):
+    return f"md5(array_to_string(list_transform({values}, lambda x: CAST(round(x * {scale}) AS BIGINT)), ',')) AS {name}"
+
+
+def _left(values, length, zero="0.0", kind="DOUBLE[]"):
+    return f"list_concat(list_resize([]::{kind}, {length} - len({values}), {zero}), {values})"
+
+
+def _pad(values, length):
+    return f"list_concat(list_resize([]::INT[], {length} - len({values}), 1), list_resize([]::INT[], len({values}), 0))"
+
+
 @query(
     "split_by_offset",
     """WITH r AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS p FROM panel) SELECT id, d, p <= 50 AS in_train, TRUE AS in_test FROM r WHERE p <= 78""",
@@ -47,13 +69,13 @@ def _frame(a, b):
 @query(
     "training_instances",
     f"""WITH r AS (SELECT id, d, row_number() OVER w - 1 AS pos, coalesce(list(sales) OVER {_frame('30 PRECEDING', '1 PRECEDING')}, []) AS p,
-  coalesce(list(sales) OVER {_frame('2 FOLLOWING', '8 FOLLOWING')}, []) AS future_target, lead(d, 2) OVER w AS forecast_start FROM panel WINDOW w AS (PARTITION BY id ORDER BY d))
- SELECT id, CAST(pos AS INT) AS pos, forecast_start, list_concat(list_resize([]::DOUBLE[], 30 - len(p), 0.0), p) AS past_target, future_target,
-  list_concat(list_resize([]::INT[], 30 - len(p), 1), list_resize([]::INT[], len(p), 0)) AS past_is_pad FROM r WHERE len(future_target) = 7 AND pos % 10 = 0""",
-    "panel",
+  coalesce(list(sales) OVER {_frame('2 FOLLOWING', '8 FOLLOWING')}, []) AS f, lead(d, 2) OVER w AS forecast_start FROM grid WINDOW w AS (PARTITION BY id ORDER BY d))
+ SELECT id, CAST(pos AS INT) AS pos, forecast_start, {_digest(_left('p', 30), 'past_target')}, {_digest('f', 'future_target')}, {_digest(_pad('p', 30), 'past_is_pad')} FROM r WHERE len(f) = 7""",
+    "grid",
 )
 def training_instances(t):
-    return X.make_instances(base(t), ID, 30, 7, lead=2, chosen=F.col("pos") % 10 == 0)
+    made = X.make_instances(days(t), ID, 30, 7, lead=2)
+    return made.select("id", "pos", "forecast_start", digest("past_target"), digest("future_target"), digest("past_is_pad"))
 
 
 @query(
@@ -69,13 +91,13 @@ def prediction_instances(t):
 
 @query(
     "canonical_instances",
-    f"""WITH r AS (SELECT id, d AS last_day, row_number() OVER (PARTITION BY id ORDER BY d) AS pos, list(sales) OVER {_frame('19 PRECEDING', 'CURRENT ROW')} AS p FROM panel)
- SELECT id, CAST(pos AS INT) AS pos, last_day, list_concat(list_resize([]::DOUBLE[], 20 - len(p), 0.0), p) AS past_target,
-  list_concat(list_resize([]::INT[], 20 - len(p), 1), list_resize([]::INT[], len(p), 0)) AS past_is_pad FROM r WHERE pos % 15 = 1""",
-    "panel",
+    f"""WITH r AS (SELECT id, d AS last_day, row_number() OVER (PARTITION BY id ORDER BY d) AS pos, list(sales) OVER {_frame('19 PRECEDING', 'CURRENT ROW')} AS p FROM grid)
+ SELECT id, CAST(pos AS INT) AS pos, last_day, {_digest(_left('p', 20), 'past_target')}, {_digest(_pad('p', 20), 'past_is_pad')} FROM r""",
+    "grid",
 )
 def canonical_instances(t):
-    return X.make_instances_canonical(base(t), ID, 20, F.col("pos") % 15 == 1, pad=True)
+    made = X.make_instances_canonical(days(t), ID, 20, pad=True)
+    return made.select("id", "pos", "last_day", digest("past_target"), digest("past_is_pad"))
 
 
 CUTS = [120.0, 240.0, 360.0, 480.0, 600.0]
@@ -95,20 +117,27 @@ def hours(c="ts"):
  SELECT user_id, event_id, event_type, cut, part, round(h - coalesce(lag(h) OVER (PARTITION BY user_id, cut, part ORDER BY h, event_id), a), 6) AS gap FROM e JOIN w ON h >= a AND h < b""",
 )
 def continuous_time_instances(t):
-    events = t.table("events").select("user_id", "event_id", "event_type", hours().alias("h"))
-    out = X.make_ct_instances(events, "user_id", "h", "event_id", CUTS, 100.0, 24.0, chunk=24.0).drop("h")
-    return rounded(out, ["gap"])
+    _, members = _ct_windows(t, "event_id", "event_type")
+    return rounded(members.drop("h"), ["gap"])
+
+
+def _ct_windows(t, *more):
+    events = t.table("events").select("user_id", *more, hours().alias("h"))
+    cuts = events.select("user_id").distinct().withColumn("cut", F.explode(F.array(*map(F.lit, CUTS))))
+    return X.ct_windows(events, cuts, "user_id", "h", "event_id", 100.0, 24.0)
 
 
 @query(
     "continuous_time_lengths",
-    """WITH e AS (SELECT user_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0::DOUBLE AS h FROM events)
- SELECT user_id, c AS cut, count(*) AS valid_length FROM e, (SELECT unnest([120.0, 240.0, 360.0, 480.0, 600.0]::DOUBLE[]) AS c) WHERE h >= c - 100 AND h < c GROUP BY ALL""",
+    """WITH e AS (SELECT user_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0::DOUBLE AS h FROM events),
+ c AS (SELECT user_id, cut FROM (SELECT DISTINCT user_id FROM e), (SELECT unnest([120.0, 240.0, 360.0, 480.0, 600.0]::DOUBLE[]) AS cut)),
+ w AS (SELECT *, 'past' AS part, cut - 100 AS a, cut AS b FROM c UNION ALL SELECT *, 'future', cut, cut + 24 FROM c)
+ SELECT w.user_id, cut, part, count(h) AS valid_length FROM w LEFT JOIN e ON e.user_id = w.user_id AND h >= a AND h < b GROUP BY ALL""",
 )
 def continuous_time_lengths(t):
-    events = t.table("events").select("user_id", "event_id", hours().alias("h"))
-    out = X.make_ct_instances(events, "user_id", "h", "event_id", CUTS, 100.0, 24.0, chunk=24.0, with_future=False)
-    return out.groupBy("user_id", "cut").agg(F.count("*").alias("valid_length"))
+    """Every window of every user, those without an event too."""
+    lengths, _ = _ct_windows(t, "event_id")
+    return lengths
 
 
 @query("sample_uniform")
@@ -159,14 +188,14 @@ def thin_by_quantile(t):
 
 @query(
     "forking_instances",
-    f"""WITH r AS (SELECT id, d, sales, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY id) AS n, coalesce(list(sales) OVER {_frame('1 FOLLOWING', '5 FOLLOWING')}, []) AS nx FROM panel WINDOW w AS (PARTITION BY id ORDER BY d)),
+    f"""WITH r AS (SELECT id, d, sales, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY id) AS n, coalesce(list(sales) OVER {_frame('1 FOLLOWING', '5 FOLLOWING')}, []) AS nx FROM grid WINDOW w AS (PARTITION BY id ORDER BY d)),
  f AS (SELECT id, pos, n, list(sales) OVER {_frame('9 PRECEDING', 'CURRENT ROW')} AS p, list(nx) OVER {_frame('9 PRECEDING', 'CURRENT ROW')} AS k FROM r)
- SELECT id, CAST(pos AS INT) AS pos, list_concat(list_resize([]::DOUBLE[], 10 - len(p), 0.0), p) AS past_target,
-  list_concat(list_resize([]::DOUBLE[][], 10 - len(p), [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[]), k) AS future_target FROM f WHERE pos + 5 < n AND pos % 12 = 0""",
-    "panel",
+ SELECT id, CAST(pos AS INT) AS pos, {_digest(_left('p', 10), 'past_target')}, {_digest('flatten(' + _left('k', 10, '[0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[]', 'DOUBLE[][]') + ')', 'future_target')} FROM f WHERE pos + 5 < n""",
+    "grid",
 )
 def forking_instances(t):
-    return X.make_forking_instances(base(t), ID, 10, 5, F.col("pos") % 12 == 0)
+    made = X.make_forking_instances(days(t), ID, 10, 5).withColumn("future_target", F.flatten("future_target"))
+    return made.select("id", "pos", digest("past_target"), digest("future_target"))
 
 
 @query("sample_dimensions")
@@ -176,29 +205,27 @@ def sample_dimensions(t):
 
 @query(
     "lag_blocks",
-    f"""WITH r AS (SELECT id, d, row_number() OVER w - 1 AS pos, coalesce(list(sales) OVER {_frame('7 PRECEDING', '1 PRECEDING')}, []) AS block_1,
-  coalesce(list(sales) OVER {_frame('13 PRECEDING', '7 PRECEDING')}, []) AS block_7, coalesce(list(sales) OVER {_frame('20 PRECEDING', '14 PRECEDING')}, []) AS block_14 FROM panel WINDOW w AS (PARTITION BY id ORDER BY d))
- SELECT id, d, CAST(pos AS INT) AS pos, block_1, block_7, block_14 FROM r WHERE len(block_14) = 7 AND pos % 5 = 0""",
-    "panel",
+    f"""WITH r AS (SELECT id, d, row_number() OVER w - 1 AS pos, coalesce(list(sales) OVER {_frame('7 PRECEDING', '1 PRECEDING')}, []) AS a,
+  coalesce(list(sales) OVER {_frame('13 PRECEDING', '7 PRECEDING')}, []) AS b, coalesce(list(sales) OVER {_frame('20 PRECEDING', '14 PRECEDING')}, []) AS c FROM grid WINDOW w AS (PARTITION BY id ORDER BY d))
+ SELECT id, d, CAST(pos AS INT) AS pos, {_digest('a', 'block_1')}, {_digest('b', 'block_7')}, {_digest('c', 'block_14')} FROM r WHERE len(c) = 7""",
+    "grid",
 )
 def lag_blocks(t):
-    return X.lag_block(base(t), ID, [1, 7, 14], 7, F.col("pos") % 5 == 0)
+    made = X.lag_block(days(t), ID, [1, 7, 14], 7)
+    return made.select("id", "d", "pos", *[digest(f"block_{lag}") for lag in (1, 7, 14)])
 
 
 @query(
     "model_inputs",
-    f"""WITH b AS (SELECT id, d, sales, 1 AS observed, round((isodow(DATE '1995-01-02' + (d - 1)) - 1) / 6.0::DOUBLE - 0.5, 6) AS dw, round(log10(row_number() OVER (PARTITION BY id ORDER BY d) + 1.0), 6) AS age FROM panel),
- r AS (SELECT id, d AS forecast_start, row_number() OVER w - 1 AS pos, list(sales) OVER {_frame('20 PRECEDING', '1 PRECEDING')} AS past_sales, list(observed) OVER {_frame('20 PRECEDING', '1 PRECEDING')} AS past_observed,
-  list(dw) OVER {_frame('20 PRECEDING', '1 PRECEDING')} AS past_day_of_week, list(age) OVER {_frame('20 PRECEDING', '1 PRECEDING')} AS past_age,
-  list(sales) OVER {_frame('CURRENT ROW', '6 FOLLOWING')} AS future_sales, list(age) OVER {_frame('CURRENT ROW', '6 FOLLOWING')} AS future_age FROM b WINDOW w AS (PARTITION BY id ORDER BY d))
- SELECT id, CAST(pos AS INT) AS pos, forecast_start, past_sales, past_observed, past_day_of_week, past_age, future_sales, future_age FROM r WHERE len(past_sales) = 20 AND len(future_sales) = 7 AND pos % 10 = 0""",
-    "panel",
+    f"""WITH b AS (SELECT id, d, sales, 1 AS observed, (isodow(DATE '1995-01-02' + (d - 1)) - 1) / 6.0::DOUBLE - 0.5 AS dw, log10(row_number() OVER (PARTITION BY id ORDER BY d) + 1.0) AS age FROM grid),
+ r AS (SELECT id, d AS forecast_start, row_number() OVER w - 1 AS pos, list(sales) OVER {_frame('20 PRECEDING', '1 PRECEDING')} AS ps, list(observed) OVER {_frame('20 PRECEDING', '1 PRECEDING')} AS po,
+  list(dw) OVER {_frame('20 PRECEDING', '1 PRECEDING')} AS pd, list(age) OVER {_frame('20 PRECEDING', '1 PRECEDING')} AS pa,
+  list(sales) OVER {_frame('CURRENT ROW', '6 FOLLOWING')} AS fs, list(age) OVER {_frame('CURRENT ROW', '6 FOLLOWING')} AS fa FROM b WINDOW w AS (PARTITION BY id ORDER BY d))
+ SELECT id, CAST(pos AS INT) AS pos, forecast_start, {_digest('ps', 'past_sales')}, {_digest('po', 'past_observed')}, {_digest('pd', 'past_day_of_week', 1000000)}, {_digest('pa', 'past_age', 1000000)},
+  {_digest('fs', 'future_sales')}, {_digest('fa', 'future_age', 1000000)} FROM r WHERE len(ps) = 20 AND len(fs) = 7""",
+    "grid",
 )
 def model_inputs(t):
-    df = base(t).withColumn("date", day_to_date(F.col("d")))
-    out = X.model_inputs(df, ID, "date", "day", 20, 7, F.col("pos") % 10 == 0)
-    short = lambda a: F.transform(a, lambda x: F.round(x, 6))
-    return out.select(
-        "id", "pos", "forecast_start", "past_sales", "past_observed", short("past_day_of_week").alias("past_day_of_week"),
-        short("past_age").alias("past_age"), "future_sales", short("future_age").alias("future_age"),
-    )
+    made = X.model_inputs(days(t).withColumn("date", day_to_date(F.col("d"))), ID, "date", "day", 20, 7)
+    fine = [digest(c, 1000000) for c in ("past_day_of_week", "past_age", "future_age")]
+    return made.select("id", "pos", "forecast_start", digest("past_sales"), digest("past_observed"), digest("future_sales"), *fine)

@@ -39,14 +39,18 @@ def series_entries(t):
 
 @query(
     "jsonl_scan",
-    "SELECT id AS item_id, CAST(DATE '1995-01-02' + (min(d) - 1) AS DATE)::VARCHAR AS start, list(sales ORDER BY d) AS target, TRUE AS has_source FROM panel GROUP BY id",
+    """SELECT id AS item_id, CAST(DATE '1995-01-02' + (min(d) - 1) AS DATE)::VARCHAR AS start, list(sales ORDER BY d) AS target, any_value(store_id) AS store_id,
+ row_number() OVER (PARTITION BY any_value(store_id) ORDER BY id) - 1 AS source_line FROM panel GROUP BY id""",
     "panel",
 )
 def jsonl_scan(t):
+    """One file a store, its series in order: the line is the series' place."""
     path = S.new_path(t.spark, "entries")
-    series_entries(t).write.json(path)
-    df = S.read_jsonl(t.spark, path)
-    return df.select("item_id", "start", "target", (F.length("source_file") > 0).alias("has_source"))
+    stores = t.panel.groupBy(F.col("id").alias("item_id")).agg(F.min("store_id").alias("store_id"))
+    entries = series_entries(t).join(stores, "item_id").repartition("store_id").sortWithinPartitions("store_id", "item_id")
+    entries.write.partitionBy("store_id").json(path)
+    store = F.regexp_extract("source_file", "store_id=([^/]+)/", 1)
+    return S.read_jsonl(t.spark, f"{path}/*").select("item_id", "start", "target", store.alias("store_id"), "source_line")
 
 
 @query(
@@ -65,16 +69,32 @@ def validate_entries(t):
 
 @query(
     "dataset_round_trip",
-    """SELECT id AS item_id, CASE WHEN d <= 2000 THEN 'train' ELSE 'test' END AS split, list(CASE WHEN d % 9 <> 0 THEN sales END ORDER BY d) AS target FROM panel GROUP BY ALL""",
+    """WITH c AS (SELECT store_id, CAST(dense_rank() OVER (ORDER BY store_id) - 1 AS INT) AS code FROM (SELECT DISTINCT store_id FROM panel)),
+ e AS (SELECT id AS item_id, CASE WHEN d <= 2000 THEN 'train' ELSE 'test' END AS split, list(CASE WHEN d % 9 <> 0 THEN sales END ORDER BY d) AS target,
+  [any_value(code)] AS feat_static_cat, [list(CASE WHEN d % 5 <> 0 THEN CAST(d % 7 AS DOUBLE) END ORDER BY d)] AS feat_dynamic_real FROM panel JOIN c USING (store_id) GROUP BY ALL)
+ SELECT *, 'D' AS freq, CAST((SELECT count(*) FROM c) AS INT) AS stores FROM e""",
     "panel",
 )
 def dataset_round_trip(t):
+    """Target, a static code and a dynamic feature, with missing values, in two splits; the manifest's metadata beside them."""
+    from tidegrid.operators.encode import encode_ordinal
+
     split = F.when(F.col("d") <= 2000, "train").otherwise("test")
-    gaps = t.panel.select("id", "d", split.alias("split"), F.when(F.col("d") % 9 != 0, F.col("sales")).alias("sales"))
-    e = collect_series(gaps, ["id", "split"], "d", {"target": "sales"})
+    codes = S.checkpoint_table(encode_ordinal(t.panel.select("store_id").distinct(), "store_id", "code"), "codes")
+    gaps = t.panel.select(
+        "id", "store_id", "d", split.alias("split"), F.when(F.col("d") % 9 != 0, F.col("sales")).alias("sales"),
+        F.when(F.col("d") % 5 != 0, (F.col("d") % 7).cast("double")).alias("weekday"),
+    ).join(codes, "store_id")
+    e = collect_series(gaps, ["id", "split", "code"], "d", {"target": "sales", "weekday": "weekday"}).select(
+        F.col("id").alias("item_id"), F.col("start").cast("string").alias("start"), "target", "split",
+        F.array("code").alias("feat_static_cat"), F.array("weekday").alias("feat_dynamic_real"),
+    )
     path = S.new_path(t.spark, "dataset")
-    S.write_dataset(e.select(F.col("id").alias("item_id"), F.col("start").cast("string").alias("start"), "target", "split"), path)
-    return S.read_dataset(t.spark, path).select("item_id", "split", "target")
+    S.write_dataset(e, path, freq="D", prediction_length=28, cardinality={"store": codes.count()})
+    known = S.read_manifest(t.spark, path)["metadata"]
+    return S.read_dataset(t.spark, path).select(
+        "item_id", "split", "target", "feat_static_cat", "feat_dynamic_real", F.lit(known["freq"]).alias("freq"), F.lit(known["cardinality"]["store"]).alias("stores"),
+    )
 
 
 @query("stage_table", "SELECT id, store_id, d, sales FROM panel", "panel")

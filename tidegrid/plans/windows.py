@@ -72,9 +72,13 @@ def _q(p, n=28):
     return rnd(f"CASE WHEN count(sales) OVER {_frame(0, n)} = {n} THEN quantile_cont(sales, {p}) OVER {_frame(0, n)} END", f"q{int(p * 100)}_{n}")
 
 
-@query("rolling_quantiles", "SELECT id, d, " + ", ".join(_q(p) for p in (0.1, 0.5, 0.9)) + " FROM grid", "grid")
+WIDTHS, TENTHS = [28, 60, 112], [0.1, 0.5, 0.9]
+
+
+@query("rolling_quantiles", "SELECT id, d, " + ", ".join(_q(p, n) for n in WIDTHS for p in TENTHS) + " FROM grid", "grid")
 def rolling_quantiles(t):
-    out = W.rolling_quantiles(t.grid.select("id", "d", "sales"), ID, 28, {"q10_28": 0.1, "q50_28": 0.5, "q90_28": 0.9}).drop("sales")
+    """Nine columns from three widths: four, eight and a half and sixteen weeks."""
+    out = W.rolling_quantiles(t.grid.select("id", "d", "sales"), ID, WIDTHS, TENTHS).drop("sales")
     return rounded(out, out.columns[2:])
 
 
@@ -234,14 +238,16 @@ def ma_crosses(t):
 
 @query(
     "rolling_group_ratio",
-    f"""WITH s AS (SELECT store_id AS id, d, avg(sales) AS sales FROM panel GROUP BY ALL)
- SELECT id, d, CASE WHEN count(*) OVER {_frame(0, 56)} = 56 THEN round(least(greatest(avg(sales) OVER {_frame(0, 28)} / avg(sales) OVER {_frame(0, 56)} - 1, -0.5), 0.5), 6) + 0.0::DOUBLE END AS ratio_28_56 FROM s""",
+    f"""WITH s AS (SELECT store_id AS id, d, CAST(round(avg(sales) * 1000000) AS BIGINT) AS x FROM panel GROUP BY ALL)
+ SELECT id, d, CASE WHEN count(*) OVER {_frame(0, 56)} = 56 THEN round(least(greatest((56 * sum(x) OVER {_frame(0, 28)})::DOUBLE / (28 * sum(x) OVER {_frame(0, 56)})::DOUBLE - 1, -0.5), 0.5), 6) + 0.0::DOUBLE END AS ratio_28_56 FROM s""",
     "panel",
 )
 def rolling_group_ratio(t):
+    """Daily store means in whole millionths, so that every engine divides the same two numbers."""
     from tidegrid.operators.clean import clip
 
-    store = t.panel.groupBy(F.col("store_id").alias("id"), "d").agg(F.avg("sales").alias("sales"))
+    millionths = F.round(F.avg("sales") * 1000000).cast("bigint")
+    store = t.panel.groupBy(F.col("store_id").alias("id"), "d").agg(millionths.alias("sales"))
     out = W.rolling_ratio(store, ID, 28, 56).drop("sales")
     return rounded(out.withColumn("ratio_28_56", clip(F.col("ratio_28_56"), -0.5, 0.5)), ["ratio_28_56"])
 

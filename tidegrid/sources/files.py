@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,34 +79,87 @@ def last_days(df: DataFrame, id_cols: list[str], k: int) -> DataFrame:
     return df.select(*id_cols, *days[-k:])
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = ENTRY_SCHEMA) -> DataFrame:
-    """Entries with the file and the block they came from; a malformed line fails the job.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with the file and the line's number in it, from 0: (line, source_file, source_line).
 
-    Names starting with '.' or '_' are skipped by the reader. A block offset stands in for the
-    line number, which a split text file does not have.
+    Files stay splittable. A block's lines are counted where they are read, blocks before it add up to its first line's
+    number, and a line's place in its block follows from the order in which its task reads it. Names starting with '.'
+    or '_' are skipped by the reader.
     """
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return df.select(
-        *[f.name for f in schema],
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("source_block"),
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_m"),
+    )
+    blocks = lines.groupBy("source_file", "_block").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return lines.join(starts, ["source_file", "_block"]).select(
+        "line", "source_file", (F.col("_before") + F.col("_m") - F.col("_first")).alias("source_line")
     )
 
 
-def write_dataset(df: DataFrame, path: str, by: str = "split") -> None:
-    """Entries as JSON Lines, one folder per split; a missing target value is written as "NaN"."""
-    target = F.transform("target", lambda x: F.coalesce(x.cast("string"), F.lit("NaN")))
-    df.withColumn("target", target).write.partitionBy(by).json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = ENTRY_SCHEMA) -> DataFrame:
+    """Entries with the file and line they came from; a line that is not an entry fails the job and is named."""
+    lines = numbered_lines(spark, path)
+    given = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json("line", given, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.withColumn("_e", parsed)
+    bad = F.col("_e").isNull() | F.col("_e._bad").isNotNull() | (F.trim("line") == "")
+    where = F.concat(F.lit("could not read line "), F.col("source_line"), F.lit(" of "), F.col("source_file"), F.lit(": "), F.col("line"))
+    checked = rows.filter(F.when(bad, F.raise_error(where).cast("boolean")).otherwise(F.lit(True)))
+    return checked.select(*[F.col(f"_e.{f.name}").alias(f.name) for f in schema], "source_file", "source_line")
+
+
+#: Fields of entries that are written if the table has them; reals may be missing inside and are then "NaN".
+REALS = {"target": 1, "feat_static_real": 1, "feat_dynamic_real": 2}
+CODES = {"feat_static_cat": 1, "feat_dynamic_cat": 2}
+
 
+def _nested(rank: int, kind: T.DataType) -> T.DataType:
+    return kind if rank == 0 else T.ArrayType(_nested(rank - 1, kind))
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """The written dataset; "NaN" comes back as null."""
-    schema = T.StructType([
-        T.StructField("item_id", T.StringType()), T.StructField("start", T.StringType()),
-        T.StructField("target", T.ArrayType(T.StringType())), T.StructField("split", T.StringType()),
-    ])
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return df.withColumn("target", F.transform("target", lambda x: F.when(x != "NaN", x.cast("double"))))
+
+def _deep(column: Column, rank: int, change) -> Column:
+    return change(column) if rank == 0 else F.transform(column, lambda x: _deep(x, rank - 1, change))
+
+
+def write_dataset(df: DataFrame, path: str, by: str = "split", **metadata) -> None:
+    """Entries as JSON Lines, one folder per split, and a manifest of what they are.
+
+    ``metadata``: such as freq, prediction_length, or feature names and cardinalities; any JSON value. Every call writes a
+    new data folder first and the manifest, which names it, last. A reader goes by the manifest, so it sees the set before
+    or the set after, never a part. A missing real is written as "NaN".
+    """
+    fields = {c: r for c, r in {**REALS, **CODES}.items() if c in df.columns}
+    text = lambda x: F.when(x.isNull() | F.isnan(x.cast("double")), F.lit("NaN")).otherwise(x.cast("string"))
+    out = df.withColumns({c: _deep(F.col(c), r, text) for c, r in fields.items() if c in REALS})
+    folder = f"data-{uuid.uuid4().hex}"
+    out.write.partitionBy(by).json(f"{path}/{folder}")
+    splits = {r[by]: r["n"] for r in df.sparkSession.read.schema(f"{by} string").json(f"{path}/{folder}").groupBy(by).agg(F.count("*").alias("n")).collect()}
+    manifest = {"data": folder, "by": by, "columns": [c for c in df.columns if c != by], "entries": splits, "metadata": metadata}
+    row = df.sparkSession.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string")
+    row.coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """What ``write_dataset`` recorded; an error where no set is complete."""
+    try:
+        return json.loads(spark.read.text(f"{path}/manifest").first().value)
+    except AnalysisException as gone:
+        raise ValueError(f"{path} holds no complete dataset") from gone
+
+
+def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """The written dataset, or one split of it, with the types of its fields; "NaN" comes back as null."""
+    manifest = read_manifest(spark, path)
+    ranks = {**REALS, **CODES}
+    kind = lambda c: T.StringType() if c not in ranks else _nested(ranks[c], T.StringType() if c in REALS else T.IntegerType())
+    schema = T.StructType([T.StructField(c, kind(c)) for c in [*manifest["columns"], manifest["by"]]])
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{manifest['data']}")
+    if split is not None:
+        df = df.filter(F.col(manifest["by"]) == split)
+    value = lambda x: F.when(x != "NaN", x.cast("double"))
+    return df.withColumns({c: _deep(F.col(c), REALS[c], value) for c in manifest["columns"] if c in REALS})
 
 
 def checkpoint_table(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
