@@ -52,8 +52,11 @@ def byte_unit(key: str) -> str:
 class UnitEncoder:
     """Texts to ids (little-endian unsigned 32-bit bytes). ``encode_many`` gives those of a list of units."""
 
-    def __init__(self, kind: str, encode_many: Callable[[list[str]], list[bytes]], limit: int = MEMO, whole: tuple[str, ...] = ()):
-        self.byte, self.encode_many, self.limit, self.whole = kind == "byte", encode_many, limit, whole
+    def __init__(
+        self, kind: str, encode_many: Callable[[list[str]], list[bytes]], limit: int = MEMO, whole: tuple[str, ...] = (),
+        encode_whole: Callable[[list[str]], list[bytes]] | None = None,
+    ):
+        self.byte, self.encode_many, self.limit, self.whole, self.encode_whole = kind == "byte", encode_many, limit, whole, encode_whole
         self.cut = byte_units if self.byte else word_units
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -66,7 +69,7 @@ class UnitEncoder:
     def _some(self, texts: list[str]) -> list[bytes]:
         special = [k for k, t in enumerate(texts) if any(w in t for w in self.whole)]
         if special:  # a vocabulary's added token may span cuts: such texts are encoded as they stand
-            given = dict(zip(special, self.encode_many([texts[k] for k in special])))
+            given = dict(zip(special, self.encode_whole([texts[k] for k in special])))
             rest = iter(self._some([t for k, t in enumerate(texts) if k not in given]))
             return [given[k] if k in given else next(rest) for k in range(len(texts))]
         if len(self.memo) >= self.limit or self.chars >= MEMO_CHARS:
@@ -101,28 +104,27 @@ class UnitEncoder:
         return found
 
     def _learn(self, lacking: set[str]) -> None:
-        memo, old = self.memo, self.old
+        """A new unit is learned without the sign after its last letter, which both kinds of pattern match by itself there.
+        ``word`` vocabularies lower all letters, so plain ASCII is lowered here, and fewer units are new."""
+        memo, old, byte = self.memo, self.old, self.byte
         again = old.keys() & lacking
         memo.update((unit, old[unit]) for unit in again)
         new = list(lacking - again)
         self.chars += sum(map(len, lacking))
-        cores = list(map(self._core, new))
-        need = list({core for core, _ in cores}.difference(memo))
-        known = dict(zip(need, self.encode_many([byte_unit(u) for u in need] if self.byte else need)))
-        tails = {tail for _, tail in cores}.difference(self.tails)
+        cores, ends = [], []
+        for unit in new:
+            core, tail = unit, ""
+            if unit[-1:] in TAILS and "A" <= unit[-2:-1] < "\u0250" and unit[-2].isalpha():
+                core, tail = unit[:-1], unit[-1]
+            if not byte and core.isascii() and "<" not in core:
+                core = core.lower()
+            cores.append(core)
+            ends.append(tail)
+        need = list(set(cores).difference(memo))
+        memo.update(zip(need, self.encode_many([byte_unit(u) for u in need] if byte else need)))
+        tails = set(ends).difference(self.tails)
         self.tails.update(zip(tails, self.encode_many(list(tails))))
-        memo.update(known)
-        memo.update((unit, memo[core] + self.tails[tail]) for unit, (core, tail) in zip(new, cores) if core != unit)
-
-    def _core(self, unit: str) -> tuple[str, str]:
-        """A unit without the sign after its last letter, and the sign: both kinds of pattern end a match between them.
-        ``word`` vocabularies lower all letters, so plain ASCII is lowered here and fewer units are new."""
-        core, tail = unit, ""
-        if unit[-1:] in TAILS and "A" <= unit[-2:-1] < "\u0250" and unit[-2].isalpha():
-            core, tail = unit[:-1], unit[-1]
-        if not self.byte and core.isascii() and "<" not in core:
-            core = core.lower()
-        return core, tail
+        memo.update(zip(new, map(bytes.__add__, map(memo.__getitem__, cores), map(self.tails.__getitem__, ends))))
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -159,21 +161,17 @@ def library_encoder(path: str, kind: str) -> UnitEncoder:
     ((mark,),) = encode([between])
 
     def encode_many(units: list[str]) -> list[bytes]:
-        found: dict[str, bytes] = {}
-        simple = [u for u in units if u and "0" not in u and not any(w in u for w in whole)]
+        found: dict[str, bytes] = {"": b""}
+        simple = [u for u in units if u and "0" not in u]
         groups = [simple[at : at + 256] for at in range(0, len(simple), 256)]
         for some, joined in zip(groups, encode([between.join(g) for g in groups])):
             ids = np.asarray(joined, dtype="<u4")
             ends = np.flatnonzero(ids == mark)
             if len(ends) == len(some) - 1:
-                found.update(zip(some, (part.tobytes() for part in _parts(ids, ends))))
-        alone = [u for u in dict.fromkeys(units) if u and u not in found]
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                found.update(zip(some, [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)])]))
+        alone = [u for u in dict.fromkeys(units) if u not in found]
         found.update(zip(alone, map(as_bytes, encode(alone))))
-        return [found[u] if u else b"" for u in units]
-
-    return UnitEncoder(kind, encode_many, whole=whole)
-
+        return list(map(found.__getitem__, units))
 
-def _parts(ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    starts = [0, *(ends + 1).tolist()]
-    return [ids[a:b] for a, b in zip(starts, [*ends.tolist(), len(ids)])]
+    return UnitEncoder(kind, encode_many, whole=whole, encode_whole=lambda texts: list(map(as_bytes, encode(texts))))
