@@ -27,7 +27,7 @@ from tidegrid.operators.ranking import global_position
 #: Weights of the sources in order, repeating; how often a word may be taken.
 WEIGHTS, REPEATS = (5, 2, 1), 3
 #: Blocks of the mix (about), least words of a block, seats of a shard, documents of a hash range (about).
-SEATS, LEAST, SHARD, RANGE = 1 << 20, 64, 1 << 16, 1 << 15
+SEATS, LEAST, SHARD, RANGE = 1 << 20, 64, 1 << 16, 1 << 11
 #: A prime above any number of blocks: j * STEP mod n is a permutation of 0..n-1.
 STEP = 2147483647
 
