@@ -35,6 +35,79 @@ def test_cuts_equal_plain_loop():
         assert chunks.chunks(text)[0].tolist() == slow_cuts(text)
 
 
+def slow_windows(text, least=chunks.MIN_WORDS):
+    """(begin, end) of chunks: from each bound to the first bound with enough words, or bytes, before it."""
+    starts, out = slow_cuts(text), []
+    spans = [m.span() for m in re.finditer(rb"[^ \t\n\v\f\r]+", text)]
+    for start in starts[:-1]:
+        begin = max(start, spans[0][0])
+        later = [b for a, b in spans if b > begin]
+        enough = min(later[least - 1] if len(later) >= least else len(text) + 1, begin + least * chunks.BYTES_A_WORD)
+        if enough <= len(text):
+            bound = next(b for b in starts if b >= enough)
+            out.append((begin, begin + len(text[begin:bound].rstrip(b" \t\n\v\f\r"))))
+    return out
+
+
+def test_variable_chunks_equal_plain_loop():
+    rng = random.Random(4)
+    for text in [words(rng, 150), "  " + words(rng, 40) + " \n\n " + words(rng, 40) + "  ", "日本語の文章を書く" * 60, "a" * 900, words(rng, 12), words(rng, 11)]:
+        cut = chunks.chunks(text.encode())
+        assert list(zip(cut.begins.tolist(), cut.ends.tolist())) == slow_windows(text.encode())
+        assert all(len(text.encode()[a:b].split()) >= 12 or b - a >= 12 * chunks.BYTES_A_WORD for a, b in zip(cut.begins, cut.ends))
+
+
+def slow_dedup(docs):
+    """doc -> spans, one document after another, every chunk against every earlier document."""
+    cuts = {d: chunks.chunks(t.encode()) for d, t in docs.items()}
+    owner = {}
+    for d in sorted(cuts):
+        for digest in cuts[d].digests.tolist():
+            owner.setdefault(digest, d)
+    out = {}
+    for d, cut in cuts.items():
+        digests, text = cut.digests.tolist(), docs[d].encode()
+        known = [x for x in digests if owner[x] < d]
+        at = {i for i, x in enumerate(digests) if x in set(known)}
+        touch = lambda i, j: 0 <= min(i, j) and max(i, j) < len(digests) and cut.begins[max(i, j)] <= cut.ends[min(i, j)]
+        edges = {digests[i] for i in at if not (i - 1 in at and touch(i - 1, i)) or not (i + 1 in at and touch(i, i + 1))}
+        contexts = {}
+        for x in edges:
+            other = cuts[owner[x]]
+            contexts[x] = [chunks.around(docs[owner[x]].encode(), other, other.digests.tolist().index(x))]
+        again = chunks.repeated_windows(cut, np.array(known, np.int64))
+        out[d] = chunks.covered(text, chunks.pieces(text, cut, again, contexts))
+    return out
+
+
+def test_dedup_equals_plain_loop(spark):
+    """Passages in many documents, many times in their owner, at starts and ends, in rows and overlapping."""
+    rng = random.Random(12)
+    passages = [words(rng, n) for n in (13, 30, 55, 70, 200)]
+    docs = {}
+    for d in range(60):
+        parts = [rng.choice([words(rng, rng.randrange(1, 60)), rng.choice(passages)]) for _ in range(rng.randrange(1, 6))]
+        docs[d] = rng.choice([" ", "\n", "  "]).join(parts)
+    docs[7] = " ".join(f"{words(rng, 6)} {passages[3]}" for _ in range(30))
+    docs |= {100 + d: f"{words(rng, 9)} {passages[3]} {words(rng, 9)}" for d in range(40)}
+    found = chunks.dedup(spark.createDataFrame(sorted(docs.items()), "doc_id long, text string").repartition(5)).collect()
+    want = slow_dedup(docs)
+    assert len(found) == len(docs)
+    for r in found:
+        assert [tuple(s) for s in r.chunks.spans] == want[r.doc_id], r.doc_id
+
+
+def test_an_owner_answers_once(spark):
+    """A passage many times in its owner and in many documents: one context a chunk that is asked for."""
+    rng = random.Random(13)
+    passage = words(rng, 60)
+    docs = [(0, " ".join(f"{words(rng, 5)} {passage}" for _ in range(100)))] + [(d, f"{words(rng, 9)} {passage} {words(rng, 9)}") for d in range(1, 80)]
+    asked = sorted(set(chunks.chunks(docs[1][1].encode()).digests.tolist()))
+    rows = spark.createDataFrame([(*docs[0], asked)], "doc_id long, text string, _known array<long>")
+    answers = chunks.answers_of(rows, 1, chunks.MIN_WORDS).collect()
+    assert 1 <= len(answers) == len({r.digest for r in answers}) <= len(asked)
+
+
 def test_repeated_passages_go(spark, odd, none):
     rng = random.Random(9)
     passages = [words(rng, 70) for _ in range(20)]

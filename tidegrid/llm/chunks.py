@@ -4,8 +4,9 @@ A gear hash rolls over the last eight bytes; a chunk starts at a word whose prec
 word in six), or, in text without spaces, at one character in 256. Bounds depend on nearby bytes only, so an inserted
 word moves no other bound, and a passage that stands in two texts is cut alike in both from its first bound on.
 
-A single chunk is often a common phrase, so what is looked up is a window: the ``min_words`` words from a bound on. An
-equal window stands contiguously in one other text, and each removed word is in such a window.
+A piece between two bounds is often a common phrase, so a chunk runs from a bound to the first bound that has
+``min_words`` words before it: of variable length, a least size, and one from every bound (chunks overlap). In the code these
+are the windows. An equal one stands contiguously in one other text, and each removed word is in such a chunk or beside it.
 
 1. Each text gives its window digests with their places (digest, document, place): one narrow row each, at most one a
    chunk.
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from tidegrid.llm.common import fresh, sliced, stage
 
-#: Words of a window, so of what is removed at least; a window of few words (no spaces) has this many times the bytes.
+#: Least words of a chunk, so of what is removed; in text without spaces, this many times the bytes.
 MIN_WORDS, BYTES_A_WORD = 12, 20
 #: Bounds for the 16-bit hash: one word in six, one character in 256.
 AT_WORD, INSIDE = (1 << 16) // 6, 1 << 8
@@ -64,7 +65,7 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 class Cut(NamedTuple):
     starts: np.ndarray  # of each chunk, and the end of the text
     words: np.ndarray  # start of each word
-    begins: np.ndarray  # of each window: a chunk's start with ``min_words`` words after it
+    begins: np.ndarray  # of each window: a bound with a bound at least ``min_words`` words after it
     ends: np.ndarray
     digests: np.ndarray  # of the windows
 
@@ -85,12 +86,12 @@ def chunks(text: bytes, min_words: int = MIN_WORDS) -> Cut:
     begins = np.maximum(starts[:-1], words[0])
     stops = np.concatenate([np.flatnonzero(~space[:-1] & space[1:]) + 1, [] if space[-1] else [len(data)]]).astype(np.int64)
     last = np.searchsorted(words, begins, "right") - 2 + min_words
-    ends = np.where(last < len(stops), stops[np.minimum(last, len(stops) - 1)], len(data) + 1)
-    limit = begins + min_words * BYTES_A_WORD
-    for _ in range(3):  # back to the start of a character
-        limit = limit - ((limit < len(data)) & (data[np.minimum(limit, len(data) - 1)] & 0xC0 == 0x80))
-    ends = np.minimum(ends, limit)
-    begins, ends = begins[ends <= len(data)], ends[ends <= len(data)]
+    enough = np.where(last < len(stops), stops[np.minimum(last, len(stops) - 1)], len(data) + 1)
+    enough = np.minimum(enough, begins + min_words * BYTES_A_WORD)
+    begins, enough = begins[enough <= len(data)], enough[enough <= len(data)]
+    bounds = starts[np.searchsorted(starts, enough)]  # the first one with that much before it
+    # without the white space before the bound
+    ends = np.where(space[bounds - 1], stops[np.maximum(np.searchsorted(stops, bounds, "right") - 1, 0)], bounds)
     digest = xxhash.xxh3_64_intdigest
     digests = np.fromiter((digest(text[a:b]) for a, b in zip(begins.tolist(), ends.tolist())), np.uint64, len(begins))
     return Cut(starts, words, begins, ends, digests.view(np.int64))
@@ -212,7 +213,7 @@ def edges_of(lists: DataFrame, key: str, known: str) -> DataFrame:
 
 
 def answers_of(rows: DataFrame, place: int, min_words: int) -> DataFrame:
-    """digest, before, after for each window that the last column of ``rows`` asks for and the text has."""
+    """digest, before, after for each window that the last column of ``rows`` asks for and the text has: one a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -220,7 +221,9 @@ def answers_of(rows: DataFrame, place: int, min_words: int) -> DataFrame:
             for text, asked in zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if asked and text:
                     cut = chunks(text, min_words)
-                    for i in np.flatnonzero(np.isin(cut.digests, np.array(asked, np.int64))).tolist():
+                    # the first copy in the text, which is the one that stays
+                    known, first = np.unique(cut.digests, return_index=True)
+                    for i in first[np.isin(known, np.array(asked, np.int64))].tolist():
                         out.append((int(cut.digests[i]), *around(text, cut, i)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["digest", "before", "after"])
