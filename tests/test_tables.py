@@ -133,3 +133,21 @@ def test_ragged_cap(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0, None, None], [3.0, None])], "id string, a array<double>, b array<double>")
     assert N.ragged_to_entries(df, "id", "a", "b", 2).first().target == [2.0, 3.0]
     assert N.ragged_to_entries(df, "id", "a", "b", 9).first().target == [1.0, 2.0, 3.0]
+
+
+def test_test_dates_are_padded_to_the_first_day(spark):
+    """Blocks in order, dimensions within them, padding to the set's first day; uneven sets fail."""
+    rows = [("a", 10, d, float(d)) for d in (3, 4, 6, 10)] + [("b", 10, d, 1.0) for d in (5, 10)] + [("a", 12, d, float(d)) for d in (3, 12)] + [("b", 12, 12, 7.0)]
+    df = spark.createDataFrame(rows, "id string, final int, d int, sales double")
+    out = R.group_test_dates(df, "id", "d", "sales", "final", 2).toPandas().sort_values(["block", "dim", "d"])
+    found = {k: g.sales.tolist() for k, g in out.groupby(["block", "dim", "id"])}
+    assert found == {
+        (0, 0, "a"): [3.0, 4.0, 0, 6.0, 0, 0, 0, 10.0], (0, 1, "b"): [0, 0, 1.0, 0, 0, 0, 0, 1.0],
+        (1, 0, "a"): [3.0, 0, 0, 0, 0, 0, 0, 0, 0, 12.0], (1, 1, "b"): [0] * 9 + [7.0],
+    }
+    last = R.group_test_dates(df, "id", "d", "sales", "final", 2, max_dim=1).select("block", "dim", "id").distinct().collect()
+    assert sorted(map(tuple, last)) == [(0, 0, "b"), (1, 0, "b")]
+    with pytest.raises((PySparkException, Py4JJavaError), match="equal blocks"):
+        R.group_test_dates(df, "id", "d", "sales", "final", 3).collect()
+    with pytest.raises((PySparkException, Py4JJavaError), match="different days"):
+        R.group_test_dates(df.filter("NOT (id = 'b' AND d = 12)"), "id", "d", "sales", "final", 1).collect()

@@ -71,6 +71,15 @@ def add_noise(df: DataFrame, columns: dict[str, float], keys: list[str], seed: i
     )
 
 
+def scale_noise(df: DataFrame, columns: dict[str, float], keys: list[str], seed: int) -> DataFrame:
+    """Multiply by exp(range x N(0, 0.5)), fixed by the row's keys: signs and zeros stay."""
+    from tidegrid.operators.forecast import normal_draw
+
+    return df.withColumns(
+        {c: F.col(c) * F.exp(spread * 0.5 * normal_draw(keys, seed + 2 * i)) for i, (c, spread) in enumerate(columns.items())}
+    )
+
+
 def cdf_transform(history: DataFrame, new: DataFrame | None, keys: list[str], value: str) -> DataFrame:
     """Values to normal scores through each series' piecewise-linear empirical CDF.
 

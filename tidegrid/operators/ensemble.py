@@ -6,6 +6,7 @@ import math
 from functools import reduce
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,57 +141,67 @@ def rolling_residuals(df: DataFrame, forecaster, keys: list[str], h: int, blocks
     )
 
 
-# --- quantiles from point forecasts -------------------------------------------------
-
-def _norm_cdf(x: float) -> float:
-    return NormalDist().cdf(x)
-
-
-def _skew_cdf(x: float, a: float) -> float:
-    """Skew-normal CDF by Simpson's rule on its density."""
-    lo, n = -10.0, 4000
-    step = (x - lo) / n
-    pdf = lambda t: 2 * math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * _norm_cdf(a * t)
-    total = sum((1 if i in (0, n) else 4 if i % 2 else 2) * pdf(lo + i * step) for i in range(n + 1))
-    return total * step / 3
-
-
-def _power_lognormal_ppf(q: float, c: float, s: float) -> float:
-    return math.exp(-s * NormalDist().inv_cdf((1 - q) ** (1 / c)))
-
-
-def _median_scaled(raw: list[float], first: float = 1.0, last: float = 1.0) -> list[float]:
-    out = [r / raw[4] for r in raw]
-    out[0] *= first
-    out[-1] *= last
-    return [round(r, 3) for r in out]
-
-
-def logit_ratios(coef: float) -> list[float]:
-    return _median_scaled([_norm_cdf(math.log(q / (1 - q)) * coef) for q in QUANTILES], last=1.03)
-
-
-def skew_ratios(coef: float, a: float) -> list[float]:
-    return _median_scaled([_skew_cdf(math.log(q / (1 - q)) * coef, a) for q in QUANTILES], last=1.02)
-
+def mean_residuals(residuals: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    """Mean residual of each series over all windows, and over the earliest one, which is the last that is looked back to."""
+    return residuals.groupBy(*keys).agg(
+        F.avg("residual").alias("mean_residual"), F.avg(F.when(F.col("block") == blocks, F.col("residual"))).alias("earliest_mean_residual")
+    )
 
-def power_ratios(coef: float, c: float, s: float) -> list[float]:
-    return _median_scaled([_power_lognormal_ppf(q * coef, c, s) for q in QUANTILES], first=0.25, last=1.02)
 
+# --- quantiles from point forecasts -------------------------------------------------
 
-def widen(ratios: list[float], percent: float = 0.5) -> list[float]:
-    low, high = 1 - percent / 100, 1 + percent / 100
-    return [r * low if r < 1 else r * high if r > 1 else r for r in ratios]
+# The distributions that give each level's ratios: (kind, spread, shape ...). Kinds: "normal" and "skewed" are
+# CDFs at the spread times the quantile's log odds, "power" is the inverse CDF of a power lognormal at the spread times the
+# quantile. A level of two averages them.
+LEVEL_SHAPES: dict[int, list[tuple]] = {
+    1: [("normal", 0.025)],
+    2: [("normal", 0.03)],
+    3: [("normal", 0.035)],
+    4: [("normal", 0.03)],
+    5: [("normal", 0.04)],
+    6: [("normal", 0.04)],
+    7: [("normal", 0.05)],
+    8: [("normal", 0.055)],
+    9: [("normal", 0.07)],
+    10: [("skewed", 0.18, 0.4)],
+    11: [("skewed", 0.21, 0.75)],
+    12: [("skewed", 0.3, 1.2), ("power", 0.3, 0.04, 0.9)],
+}
+# Factors of the lowest and highest quantile's ratio; how far ratios are moved off 1; decimals of a ratio.
+END_FACTORS = {"normal": (1.0, 1.03), "skewed": (1.0, 1.02), "power": (0.25, 1.02)}
+OFF_ONE, DECIMALS = 0.005, 3
+
+
+def _shape_values(kind: str, spread: float, *shape: float) -> np.ndarray:
+    """A shape at the nine quantiles."""
+    q, normal = np.array(QUANTILES), NormalDist()
+    if kind == "power":
+        power, sigma = shape
+        tail = (1 - spread * q) ** (1 / power)
+        return np.exp([-sigma * normal.inv_cdf(p) for p in tail])
+    x = spread * np.log(q / (1 - q))
+    below = np.array([normal.cdf(v) for v in x])
+    if kind == "normal":
+        return below
+    # skew normal: less twice Owen's T, by Gauss-Legendre points on 0..skew
+    node, weight = np.polynomial.legendre.leggauss(48)
+    t = shape[0] * (node + 1) / 2
+    owen = np.exp(-np.outer(x * x, 1 + t * t) / 2) @ (weight / (1 + t * t)) * shape[0] / 2 / (2 * math.pi)
+    return below - 2 * owen
 
 
 def level_ratios() -> dict[int, list[float]]:
-    """Nine ratios per level; the spread falls with the level. The coefficients."""
-    logit = {1: 0.025, 2: 0.03, 3: 0.035, 4: 0.03, 5: 0.04, 6: 0.04, 7: 0.05, 8: 0.055, 9: 0.07}
-    out = {lv: widen(logit_ratios(c)) for lv, c in logit.items()}
-    out[10] = widen(skew_ratios(0.18, 0.4))
-    out[11] = widen(skew_ratios(0.21, 0.75))
-    mixed = [(x + y) / 2 for x, y in zip(skew_ratios(0.3, 1.2), power_ratios(0.3, 0.04, 0.9))]
-    out[12] = widen(mixed)
+    """Nine ratios per level, relative to the median; the spread falls with the level."""
+    out = {}
+    for level, shapes in LEVEL_SHAPES.items():
+        tables = []
+        for kind, *rest in shapes:
+            values = _shape_values(kind, *rest)
+            ratios = values / values[QUANTILES.index(0.5)]
+            ratios[[0, -1]] *= END_FACTORS[kind]
+            tables.append(ratios.round(DECIMALS))
+        mean = np.mean(tables, axis=0)
+        out[level] = (mean * (1 + OFF_ONE * np.sign(mean - 1))).tolist()
     return out
 
 

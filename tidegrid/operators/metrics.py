@@ -89,10 +89,13 @@ def wrmsse_levels(sales: DataFrame, forecast: DataFrame, revenue: DataFrame, tra
 
 def recent_revenue(panel: DataFrame, prices: DataFrame, calendar: DataFrame, end: Column, span: int = 28) -> DataFrame:
     """Units x weekly price over the last ``span`` days, per bottom series."""
-    recent = panel.filter((F.col("d") > end - span) & (F.col("d") <= end) & (F.col("sales") > 0))
+    inside = (F.col("d") > end - span) & (F.col("d") <= end)
+    days = calendar.select("d", "wm_yr_wk").filter(inside)
+    # prices of other weeks are not made
+    weeks = [days.agg(f("wm_yr_wk")).scalar() for f in (F.min, F.max)]
     return (
-        recent.join(calendar.select("d", "wm_yr_wk"), "d")
-        .join(prices, ["store_id", "item_id", "wm_yr_wk"])
+        panel.filter(inside & (F.col("sales") > 0)).join(days, "d")
+        .join(prices.filter(F.col("wm_yr_wk").between(*weeks)), ["store_id", "item_id", "wm_yr_wk"])
         .groupBy(*KEYS)
         .agg(F.sum(F.col("sales") * F.col("sell_price")).alias("revenue"))
     )
@@ -238,8 +241,12 @@ def loss_columns(df: DataFrame, qcols: dict[float, str], count: str) -> DataFram
     return out.withColumn("loss_sum", total).withColumn("loss_weighted", F.col("loss_sum") * F.col(count))
 
 
-def training_losses(df: DataFrame, errors: DataFrame, keys: list[str], horizon: int) -> DataFrame:
-    """sMAPE and MAPE times 100/H, MASE times 1/H, each on top of the mean over the horizon."""
+def training_losses(df: DataFrame, whole: DataFrame, keys: list[str], horizon: int, m: int, day: str = "d", value: str = "sales") -> DataFrame:
+    """sMAPE and MAPE times 100/H over the mean of the horizon, and MASE. ``whole``: the rows of context and horizon together.
+
+    MASE divides by the mean step of season m over context and horizon, divided once more by the number of such steps, as
+    the loss is stated; 0 where nothing changes.
+    """
     y, f = F.col("y"), F.col("forecast")
     ae = F.abs(y - f)
     per = df.groupBy(*keys).agg(
@@ -247,9 +254,9 @@ def training_losses(df: DataFrame, errors: DataFrame, keys: list[str], horizon:
         (100.0 / horizon * F.avg(zero_if_flat(ae, F.abs(y)))).alias("mape100"),
         F.avg(ae).alias("_a"),
     )
-    return per.join(errors, keys).select(
-        *keys, "smape100", "mape100", (zero_if_flat(F.col("_a"), F.col("seasonal_error")) / horizon).alias("mase_n")
-    )
+    step = F.abs(F.col(value) - F.lag(value, m).over(Window.partitionBy(*keys).orderBy(day)))
+    errors = whole.select(*keys, step.alias("_s")).groupBy(*keys).agg(F.try_divide(F.avg("_s"), F.count("_s")).alias("_e"))
+    return per.join(errors, keys).select(*keys, "smape100", "mape100", zero_if_flat(F.col("_a"), F.col("_e")).alias("mase_n"))
 
 
 def empirical_cdf(df: DataFrame, key: str, value: str, bins: int) -> DataFrame:
@@ -276,20 +283,23 @@ def crps_quantiles(df: DataFrame, keys: list[str], qcols: dict[float, str]) -> D
     return df.groupBy(*keys).agg(F.avg(mean_of(terms)).alias("crps"))
 
 
-def evaluate_multivariate(df: DataFrame, item: str, dim: str, errors: DataFrame, summed_errors: DataFrame,
-                          qcols: dict[float, str], median: str, mean: str) -> DataFrame:
-    """Aggregate metrics per dimension, over all dimensions, and after summing the dimensions.
+def evaluate_multivariate(df: DataFrame, item: str, dim: str, errors: DataFrame, combined: dict[str, tuple], qcols: dict[float, str],
+                          median: str, mean: str) -> DataFrame:
+    """Aggregate metrics per dimension, over all dimensions, and after each way of combining the dimensions.
 
-    ``errors``: item, dim, seasonal_error; ``summed_errors``: item, seasonal_error.
-    The dimension is a group key, so any number of dimensions is one job.
+    ``errors``: item, dim, seasonal_error. ``combined``: name -> (aggregate function, errors of the combined series: item,
+    seasonal_error), such as ("sum", F.sum) or any function of a column. The dimension is a group key, so any number of
+    dimensions is one job.
     """
     values = list(dict.fromkeys(["y", mean, median, *qcols.values()]))
     per = evaluate(df, errors, [item, dim], qcols, median, mean)
-    by_dim = aggregate_metrics(per, qcols, [dim]).withColumnRenamed(dim, "scope")
-    everything = aggregate_metrics(per, qcols).withColumn("scope", F.lit("all"))
-    summed = df.groupBy(item, "step").agg(*[F.sum(c).alias(c) for c in values])
-    after = aggregate_metrics(evaluate(summed, summed_errors, [item], qcols, median, mean), qcols)
-    return by_dim.unionByName(everything).unionByName(after.withColumn("scope", F.lit("sum")))
+    out = aggregate_metrics(per, qcols, [dim]).withColumnRenamed(dim, "scope")
+    out = out.unionByName(aggregate_metrics(per, qcols).withColumn("scope", F.lit("all")))
+    for name, (how, own_errors) in combined.items():
+        together = df.groupBy(item, "step").agg(*[how(F.col(c)).alias(c) for c in values])
+        scores = aggregate_metrics(evaluate(together, own_errors, [item], qcols, median, mean), qcols)
+        out = out.unionByName(scores.withColumn("scope", F.lit(name)))
+    return out
 
 
 def backtest(df: DataFrame, forecaster, keys: list[str], h: int, m: int, lead: int = 0, day: str = "d",

@@ -122,23 +122,35 @@ def group_multivariate(
     return arrays.join(dims, key)
 
 
-def group_test_dates(df: DataFrame, key: str, day: str, value: str, order: str, n_dates: int) -> DataFrame:
-    """Entries in ``order`` split into n equal blocks; inside a block all start at the block's first day."""
+def group_test_dates(df: DataFrame, key: str, day: str, value: str, order: str, n_dates: int, fill: float = 0.0,
+                     max_dim: int | None = None) -> DataFrame:
+    """Entries (key, order) in ``order`` split into n equal blocks of dimensions: block, dim, key, day, value.
+
+    Every entry is padded on the left to the first day of the whole set, and days that it lacks are filled too. The job fails
+    if the entries do not make n equal blocks, or if those of a block end on different days. With max_dim only a
+    block's last dimensions stay.
+    """
     from tidegrid.operators.ranking import global_position
 
-    entries = df.select(key, order).distinct()
+    entries = df.groupBy(key, order).agg(F.min(day).alias("_f"), F.max(day).alias("_z"))
+    first = df.agg(F.min(day)).scalar()
     numbered = global_position(entries, [order, key], name="_pos")
     total = numbered.agg(F.count("*")).scalar()
-    block = F.floor((F.col("_pos") - 1) / F.ceil(total / F.lit(float(n_dates)))).cast("int")
-    tagged = df.join(numbered.select(key, order, block.alias("block")), [key, order])
-    first = tagged.groupBy("block").agg(F.min(day).alias("first_day"))
-    last = tagged.groupBy("block", key).agg(F.max(day).alias("last_day"))
-    axis = last.join(first, "block").select(
-        "block", key, F.explode(F.sequence("first_day", "last_day")).alias(day)
-    )
-    return axis.join(tagged.select(key, day, value), [key, day], "left").select(
-        "block", key, day, F.coalesce(value, F.lit(0.0)).alias(value)
-    )
+    whole = F.when(total % n_dates == 0, total).otherwise(F.raise_error(F.concat(total.cast("string"), F.lit(f" entries do not make {n_dates} equal blocks"))).cast("long"))
+    placed = numbered.withColumn("_size", F.floor(whole / n_dates)).withColumn("block", F.floor((F.col("_pos") - 1) / F.col("_size")).cast("int"))
+    placed = placed.withColumn("dim", (F.col("_pos") - 1) % F.col("_size"))
+    ends = placed.groupBy("block").agg(F.min("_z").alias("_a"), F.max("_z").alias("_b"))
+    ends = ends.withColumn("_end", F.when(F.col("_a") == F.col("_b"), F.col("_b")).otherwise(F.raise_error(F.lit("entries of a block end on different days")).cast("int")))
+    placed = placed.join(ends.select("block", "_end"), "block")
+    if max_dim is not None:
+        placed = placed.withColumn("dim", F.col("dim") - F.greatest(F.col("_size") - max_dim, F.lit(0))).filter("dim >= 0")
+    rows = df.select(key, order, day, value).join(placed.select(key, order, "block", "dim", "_f", "_end"), [key, order])
+    # a row reaches to the day before the next one, the first one back to the first day of the set
+    following = F.lead(day).over(Window.partitionBy(key, order).orderBy(day))
+    low = F.when(F.col(day) == F.col("_f"), first).otherwise(F.col(day))
+    spread = rows.withColumns({"_lo": low, "_hi": F.coalesce(following - 1, F.col("_end")), "_at": F.col(day)})
+    days = spread.select("block", "dim", key, "_at", F.col(value).alias("_v"), F.explode(F.sequence("_lo", "_hi")).alias(day))
+    return days.select("block", "dim", key, day, F.when(F.col(day) == F.col("_at"), F.col("_v")).otherwise(F.lit(float(fill))).alias(value))
 
 
 def collect_series(df: DataFrame, keys: list[str], day: str, fields: dict[str, str]) -> DataFrame:

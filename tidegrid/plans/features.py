@@ -58,19 +58,21 @@ def fourier_features(t):
     return rounded(out, out.columns[1:])
 
 
-DAY_LAGS = [1, 2, 3, 4, 5, 6, 7, 8, 13, 14, 15, 20, 21, 22, 27, 28, 29, 30, 31, 51, 52, 53, 56, 84, 103, 104, 105, 155, 156, 157, 363, 364, 365]
+DAY_LAGS = [1, 2, 3, 4, 5, 6, 7, 8, 13, 14, 15, 20, 21, 22, 27, 28, 29, 30, 31, 56, 84, 363, 364, 365, 727, 728, 729, 1091, 1092, 1093]
 
 
 @query(
     "lags_for_frequency",
-    "SELECT id, d, " + ", ".join(f"lag(sales, {n}) OVER w AS lag_{n}" for n in (1, 7, 8, 13, 14, 28, 29, 30, 31)) + " FROM panel WINDOW w AS (PARTITION BY id ORDER BY d)",
-    "panel",
+    "WITH s AS (SELECT store_id, d, sum(sales) AS sales FROM grid GROUP BY ALL) SELECT store_id, d, " + ", ".join(f"lag(sales, {n}) OVER w AS lag_{n}" for n in DAY_LAGS)
+    + " FROM s WINDOW w AS (PARTITION BY store_id ORDER BY d)",
+    "grid",
 )
 def lags_for_frequency(t):
+    """Every lag of the daily list, of the stores' gap-free days."""
     from tidegrid.operators.windows import add_lags
 
-    picked = [n for n in C.lags_for("day", bound=31) if n in (1, 7, 8, 13, 14, 28, 29, 30, 31)]
-    return add_lags(t.panel.select("id", "d", "sales"), ["id"], picked).drop("sales")
+    stores = t.grid.groupBy("store_id", "d").agg(F.sum("sales").alias("sales"))
+    return add_lags(stores, ["store_id"], C.lags_for("day")).drop("sales")
 
 
 # Known Easter Sundays, as an independent check of the rule.
@@ -145,11 +147,11 @@ def event_type_columns(t):
 
 @query(
     "age_feature",
-    f"SELECT id, d, {rnd('log10(2.0::DOUBLE + row_number() OVER (PARTITION BY id ORDER BY d) - 1)', 'age')} FROM panel",
-    "panel",
+    f"SELECT id, d, {rnd('log10(2.0::DOUBLE + row_number() OVER (PARTITION BY id ORDER BY d) - 1)', 'age')} FROM grid",
+    "grid",
 )
 def age_feature(t):
-    return rounded(C.age_feature(t.panel.select("id", "d"), ["id"], "d"), ["age"])
+    return rounded(C.age_feature(t.grid.select("id", "d"), ["id"], "d"), ["age"])
 
 
 @query(
@@ -320,19 +322,22 @@ def entry_fields(t):
 
 @query("noise_features")
 def noise_features(t):
-    df = t.panel.select("id", "d", "sales", F.lit(1.0).alias("scaler"))
-    return S.add_noise(df, {"sales": 0.5, "scaler": 0.1}, ["id", "d"], 11)
+    """Sales with added noise; each series' volatility, which is positive, with a random factor."""
+    from tidegrid.operators.windows import trailing_vol
+
+    df = trailing_vol(t.grid.select("id", "d", "sales"), ["id"]).withColumnRenamed("trailing_vol", "scaler")
+    return S.scale_noise(S.add_noise(df, {"sales": 0.5}, ["id", "d"], 11), {"scaler": 0.5}, ["id", "d"], 12)
 
 
 @query(
     "scale_by_volatility",
-    f"""WITH j AS (SELECT id, d, sales, abs(sales - lag(sales) OVER w) AS j FROM panel WINDOW w AS (PARTITION BY id ORDER BY d)), v AS (SELECT id, d, CASE WHEN d % 10 = 0 THEN -10 ELSE sales END AS sales, avg(j) OVER (PARTITION BY id ORDER BY d) AS v FROM j)
+    f"""WITH j AS (SELECT id, d, sales, abs(sales - lag(sales) OVER w) AS j FROM grid WINDOW w AS (PARTITION BY id ORDER BY d)), v AS (SELECT id, d, CASE WHEN d % 10 = 0 THEN -10 ELSE sales END AS sales, avg(j) OVER (PARTITION BY id ORDER BY d) AS v FROM j)
  SELECT id, d, {rnd('CASE WHEN sales = -10 THEN sales WHEN v <> 0 THEN sales / v END', 'sales')} FROM v""",
-    "panel",
+    "grid",
 )
 def scale_by_volatility(t):
     from tidegrid.operators.windows import trailing_vol
 
-    df = trailing_vol(t.panel.select("id", "d", "sales"), ["id"])
+    df = trailing_vol(t.grid.select("id", "d", "sales"), ["id"])
     df = df.withColumn("sales", F.when(F.col("d") % 10 == 0, F.lit(-10.0)).otherwise(F.col("sales")))
     return rounded(S.scale_by_vol(df, ["sales"], "trailing_vol").select("id", "d", "sales"), ["sales"])

@@ -34,24 +34,29 @@ def naive_forecast(t, horizon: int = HORIZON, m: int = 7):
     return seasonal_naive(t.grid_between(cut - m, cut), SERIES, horizon, m)
 
 
-@query(
-    "wrmsse_by_level",
-    f"""WITH {NAIVE_SQL},
- base AS (SELECT g.state_id, g.store_id, g.cat_id, g.dept_id, g.item_id, g.d, g.sales, e,
+def wrmsse_sql(fc: str, name: str = "") -> str:
+    """Views base, lv, st and per (with a suffix) of a forecast view: item_id, store_id, step, forecast."""
+    return f"""base{name} AS (SELECT g.state_id, g.store_id, g.cat_id, g.dept_id, g.item_id, g.d, g.sales, e,
    CASE WHEN g.d > e - 28 THEN coalesce(f.forecast, 0) ELSE 0 END AS fc,
    CASE WHEN g.d > e - 56 AND g.d <= e - 28 THEN g.sales * coalesce(p.sell_price, 0) ELSE 0 END AS revenue
-   FROM grid g CROSS JOIN lastday LEFT JOIN fc f ON f.item_id = g.item_id AND f.store_id = g.store_id AND f.step = g.d - (e - 28)
+   FROM grid g CROSS JOIN lastday LEFT JOIN {fc} f ON f.item_id = g.item_id AND f.store_id = g.store_id AND f.step = g.d - (e - 28)
    LEFT JOIN prices p ON p.item_id = g.item_id AND p.store_id = g.store_id AND p.wm_yr_wk = (g.d - 1) // 7),
- lv AS (SELECT {LEVEL} AS level, state_id, store_id, cat_id, dept_id, item_id, d, sum(sales) AS sales, sum(fc) AS fc, sum(revenue) AS revenue,
-   max(e) AS e FROM base GROUP BY {gsets('d')}),
- st AS (SELECT *, sales - lag(sales) OVER w AS step,
+ lv{name} AS (SELECT {LEVEL} AS level, state_id, store_id, cat_id, dept_id, item_id, d, sum(sales) AS sales, sum(fc) AS fc, sum(revenue) AS revenue,
+   max(e) AS e FROM base{name} GROUP BY {gsets('d')}),
+ st{name} AS (SELECT *, sales - lag(sales) OVER w AS step,
    max(CASE WHEN sales <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY level, state_id, store_id, cat_id, dept_id, item_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS started
-   FROM lv WINDOW w AS (PARTITION BY level, state_id, store_id, cat_id, dept_id, item_id ORDER BY d)),
- per AS (SELECT level, avg(CASE WHEN d <= e - 28 AND started = 1 THEN step * step END) AS scale,
+   FROM lv{name} WINDOW w AS (PARTITION BY level, state_id, store_id, cat_id, dept_id, item_id ORDER BY d)),
+ per{name} AS (SELECT level, avg(CASE WHEN d <= e - 28 AND started = 1 THEN step * step END) AS scale,
    avg(CASE WHEN d > e - 28 THEN (sales - fc) * (sales - fc) END) AS mse, sum(revenue) AS revenue
-   FROM st GROUP BY level, state_id, store_id, cat_id, dept_id, item_id)
- SELECT level, count(*) AS series, round(sum(CASE WHEN scale > 0 THEN revenue * sqrt(mse / scale) END) / sum(revenue), 6) AS wrmsse
- FROM per GROUP BY level""",
+   FROM st{name} GROUP BY level, state_id, store_id, cat_id, dept_id, item_id)"""
+
+
+WRMSSE = "sum(CASE WHEN scale > 0 THEN revenue * sqrt(mse / scale) END) / sum(revenue)"
+
+
+@query(
+    "wrmsse_by_level",
+    f"WITH {NAIVE_SQL}, {wrmsse_sql('fc')} SELECT level, count(*) AS series, round({WRMSSE}, 6) AS wrmsse FROM per GROUP BY level",
     "grid prices lastday",
 )
 def wrmsse_by_level(t):

@@ -22,38 +22,39 @@ def seasonal_naive(t):
 
 
 M = 7
-NAIVE2_SQL = f"""r AS (SELECT id, d, sales, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY id) AS n, sales - avg(sales) OVER (PARTITION BY id) AS x FROM dgrid WINDOW w AS (PARTITION BY id ORDER BY d)),
+NAIVE2_SQL = f"""r AS (SELECT id, d, sales, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY id) AS n, sales - avg(sales) OVER (PARTITION BY id) AS x FROM grid WINDOW w AS (PARTITION BY id ORDER BY d)),
  l AS (SELECT id, n, x, {', '.join(f'lag(x, {k}) OVER (PARTITION BY id ORDER BY d) AS l{k}' for k in range(1, M + 1))} FROM r),
- a AS (SELECT id, max(n) AS n, {', '.join(f'2 * pow(sum(x * l{k}) / sum(x * x), 2) AS c{k}' for k in range(1, M + 1))} FROM l GROUP BY id),
+ a AS (SELECT id, max(n) AS n, {', '.join(f'2 * pow(sum(x * l{k}) / nullif(sum(x * x), 0), 2) AS c{k}' for k in range(1, M + 1))} FROM l GROUP BY id),
  s AS (SELECT id, n, c7 AS season_corr, 1.645 / sqrt(n) * sqrt(1 + {' + '.join(f'c{k}' for k in range(1, M + 1))}) AS season_limit FROM a),
  tr AS (SELECT id, pos, n, sales, CASE WHEN pos >= 3 AND pos < n - 3 THEN sum(sales) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7 END AS trend FROM r),
  ph AS (SELECT id, CAST(pos % 7 AS INT) AS phase, avg(CASE WHEN trend <> 0 THEN sales / trend END) AS raw FROM tr GROUP BY ALL),
- f AS (SELECT id, phase, raw / avg(raw) OVER (PARTITION BY id) AS factor FROM ph)"""
+ f AS (SELECT id, phase, raw / nullif(avg(raw) OVER (PARTITION BY id), 0) AS factor FROM ph)"""
+SEASONAL = "coalesce({0}n >= 21 AND season_corr > season_limit, FALSE)"
 
 
 @query(
     "season_test",
-    f"WITH {NAIVE2_SQL} SELECT id, n, {rnd('season_corr', 'season_corr', 8)}, {rnd('season_limit', 'season_limit', 8)}, n >= 21 AND season_corr > season_limit AS seasonal FROM s",
-    "dgrid",
+    f"WITH {NAIVE2_SQL} SELECT id, n, {rnd('season_corr', 'season_corr', 8)}, {rnd('season_limit', 'season_limit', 8)}, {SEASONAL.format('')} AS seasonal FROM s",
+    "grid",
 )
 def season_test(t):
-    return rounded(C.seasonality(t.dept_grid, ["id"], M), ["season_corr", "season_limit"], 8)
+    return rounded(C.seasonality(t.grid, ["id"], M), ["season_corr", "season_limit"], 8)
 
 
-@query("season_factors", f"WITH {NAIVE2_SQL} SELECT id, phase, {rnd('factor', 'factor')} FROM f", "dgrid")
+@query("season_factors", f"WITH {NAIVE2_SQL} SELECT id, phase, {rnd('factor', 'factor')} FROM f", "grid")
 def season_factors(t):
-    out = C.season_factors(t.dept_grid, ["id"], M).withColumn("phase", F.col("phase").cast("int"))
+    out = C.season_factors(t.grid, ["id"], M).withColumn("phase", F.col("phase").cast("int"))
     return rounded(out, ["factor"])
 
 
-NAIVE2_OUT = """z AS (SELECT id, arg_max(sales, d) AS last FROM dgrid GROUP BY id),
- n2 AS (SELECT s.id, k.step, CASE WHEN s.n >= 21 AND season_corr > season_limit THEN CASE WHEN fe.factor <> 0 THEN z.last / fe.factor * fs.factor END ELSE z.last END AS forecast
-  FROM s JOIN z ON z.id = s.id CROSS JOIN (SELECT CAST(unnest(range(1, 29)) AS INT) AS step) k JOIN f fs ON fs.id = s.id AND fs.phase = (s.n + k.step - 1) % 7 JOIN f fe ON fe.id = s.id AND fe.phase = (s.n - 1) % 7)"""
+NAIVE2_OUT = f"""z AS (SELECT id, arg_max(sales, d) AS last FROM grid GROUP BY id),
+ n2 AS (SELECT s.id, k.step, CASE WHEN {SEASONAL.format('s.')} THEN CASE WHEN fe.factor <> 0 THEN z.last / fe.factor * fs.factor END ELSE z.last END AS forecast
+  FROM s JOIN z ON z.id = s.id CROSS JOIN (SELECT CAST(unnest(range(1, 29)) AS INT) AS step) k LEFT JOIN f fs ON fs.id = s.id AND fs.phase = (s.n + k.step - 1) % 7 LEFT JOIN f fe ON fe.id = s.id AND fe.phase = (s.n - 1) % 7)"""
 
 
-@query("naive2", f"WITH {NAIVE2_SQL}, {NAIVE2_OUT} SELECT id, step, {rnd('forecast', 'forecast')} FROM n2", "dgrid")
+@query("naive2", f"WITH {NAIVE2_SQL}, {NAIVE2_OUT} SELECT id, step, {rnd('forecast', 'forecast')} FROM n2", "grid")
 def naive2(t):
-    return rounded(C.naive2(t.dept_grid, ["id"], HORIZON, M), ["forecast"])
+    return rounded(C.naive2(t.grid, ["id"], HORIZON, M), ["forecast"])
 
 
 @query("mean_forecast", f"SELECT id, CAST(unnest(range(1, 29)) AS INT) AS step, {rnd('avg(sales)', 'forecast')} FROM grid GROUP BY id", "grid")
@@ -63,7 +64,7 @@ def mean_forecast(t):
 
 @query("mean_forecast_samples")
 def mean_forecast_samples(t):
-    return C.mean_forecast(t.panel, ["id"], HORIZON, samples=10, seed=1)
+    return C.mean_forecast(t.grid, ["id"], HORIZON, samples=10, seed=1)
 
 
 @query("constant_forecast", "SELECT DISTINCT id, CAST(s AS INT) AS step, 1.5::DOUBLE AS forecast FROM panel, (SELECT unnest(range(1, 29)) AS s)", "panel")
@@ -71,17 +72,17 @@ def constant_forecast(t):
     return C.constant_forecast(t.panel, ["id"], HORIZON, 1.5)
 
 
-IDENT = "i AS (SELECT id, CAST(29 - row_number() OVER (PARTITION BY id ORDER BY d DESC) AS INT) AS step, sales AS forecast FROM panel QUALIFY row_number() OVER (PARTITION BY id ORDER BY d DESC) <= 28)"
+IDENT = "i AS (SELECT id, CAST(29 - row_number() OVER (PARTITION BY id ORDER BY d DESC) AS INT) AS step, sales AS forecast FROM grid QUALIFY row_number() OVER (PARTITION BY id ORDER BY d DESC) <= 28)"
 
 
-@query("identity_forecast", f"WITH {IDENT} SELECT * FROM i", "panel")
+@query("identity_forecast", f"WITH {IDENT} SELECT * FROM i", "grid")
 def identity_forecast(t):
-    return C.identity_forecast(t.panel, ["id"], HORIZON)
+    return C.identity_forecast(t.grid, ["id"], HORIZON)
 
 
-@query("mean_of_tails", f"WITH {IDENT} SELECT step, round(avg(forecast), 6) AS forecast FROM i GROUP BY step", "panel")
+@query("mean_of_tails", f"WITH {IDENT} SELECT step, round(avg(forecast), 6) AS forecast FROM i GROUP BY step", "grid")
 def mean_of_tails(t):
-    return rounded(C.mean_estimator(t.panel, ["id"], HORIZON), ["forecast"])
+    return rounded(C.mean_estimator(t.grid, ["id"], HORIZON), ["forecast"])
 
 
 PROBS = [0.1, 0.5, 0.9]
@@ -113,15 +114,15 @@ def kernel_samples(t):
 
 @query(
     "forecast_with_fallback",
-    f"""WITH {NAIVE2_SQL}, {NAIVE2_OUT}, m AS (SELECT id, step, CASE WHEN hash_free THEN forecast END AS forecast FROM (SELECT *, CAST(substr(id, 2, 1) AS INT) <> 1 AS hash_free FROM n2)),
- b AS (SELECT id, avg(sales) AS fb FROM dgrid GROUP BY id)
+    f"""WITH {NAIVE2_SQL}, {NAIVE2_OUT}, m AS (SELECT id, step, CASE WHEN hash_free THEN forecast END AS forecast FROM (SELECT *, substr(id, 7, 1) <> '1' AS hash_free FROM n2)),
+ b AS (SELECT id, avg(sales) AS fb FROM grid GROUP BY id)
  SELECT m.id, m.step, bool_or(m.forecast IS NULL) OVER (PARTITION BY m.id) AS used_fallback, {rnd('CASE WHEN bool_or(m.forecast IS NULL) OVER (PARTITION BY m.id) THEN b.fb ELSE m.forecast END', 'forecast')} FROM m JOIN b ON b.id = m.id""".replace("hash_free", "kept"),
-    "dgrid",
+    "grid",
 )
 def forecast_with_fallback(t):
-    """The main forecast of one category is treated as failed."""
-    main = C.naive2(t.dept_grid, ["id"], HORIZON, M).filter(F.substring("id", 2, 1) != "1")
-    return rounded(C.with_fallback(main, C.mean_forecast(t.dept_grid, ["id"], HORIZON), ["id"]), ["forecast"])
+    """The main forecast of the brands of one number is treated as failed."""
+    main = C.naive2(t.grid, ["id"], HORIZON, M).filter(F.substring("id", 7, 1) != "1")
+    return rounded(C.with_fallback(main, C.mean_forecast(t.grid, ["id"], HORIZON), ["id"]), ["forecast"])
 
 
 # --- ensembles -------------------------------------------------------------------------
@@ -177,6 +178,26 @@ def ensemble_median(t):
     return rounded(E.ensemble([X.fc7(t), X.fcm(t), twice], KEY, "median"), ["forecast"])
 
 
+@query(
+    "ensemble_average",
+    f"SELECT id, step, {rnd('avg(forecast)', 'forecast')} FROM (SELECT id, step, forecast FROM fc7 UNION ALL SELECT id, step, forecast FROM fcm UNION ALL SELECT id, step, forecast * 2 FROM fcm) GROUP BY ALL",
+    "fc7 fcm",
+)
+def ensemble_average(t):
+    twice = X.fcm(t).withColumn("forecast", F.col("forecast") * 2)
+    return rounded(E.ensemble([X.fc7(t), X.fcm(t), twice], KEY, "mean"), ["forecast"])
+
+
+@query(
+    "ensemble_members",
+    f"SELECT id, step, 1 AS member, {rnd('forecast', 'forecast')} FROM fc7 UNION ALL SELECT id, step, 2, {rnd('forecast', 'forecast')} FROM fcm",
+    "fc7 fcm",
+)
+def ensemble_members(t):
+    """No aggregation: every member under its number."""
+    return rounded(E.ensemble([X.fc7(t), X.fcm(t)], KEY, "none").select("id", "step", "member", "forecast"), ["forecast"])
+
+
 @query("blend_folds", f"SELECT a.id, a.step, {rnd('(a.forecast / 3 + b.forecast * 2 / 3) * 2', 'forecast')} FROM fc7 a JOIN fcm b ON b.id = a.id AND b.step = a.step", "fc7 fcm")
 def blend_folds(t):
     folds = X.fc7(t).withColumn("fold", F.lit(1)).unionByName(X.fcm(t).withColumn("fold", F.lit(2)))
@@ -259,17 +280,30 @@ def bottom_up_choice(t):
     return rounded(out, ["rmsse", "mean_error", "rmse"])
 
 
+RESIDUALS = """b AS (SELECT id, d, sales, CAST(k AS INT) AS block, e - k * 28 AS cut FROM grid, lastday, (SELECT unnest(range(1, 10)) AS k) WHERE d > e - 9 * 28 - 7),
+ tl AS (SELECT id, block, sales, count(*) OVER (PARTITION BY id, block) AS n, avg(sales) OVER (PARTITION BY id, block) AS m, row_number() OVER (PARTITION BY id, block ORDER BY d DESC) AS back FROM b WHERE d > cut - 7 AND d <= cut),
+ f AS (SELECT id, block, unnest(CASE WHEN n = 7 THEN range(8 - back, 29, 7) WHEN back = 1 THEN range(1, 29) ELSE [] END) AS step, CASE WHEN n = 7 THEN sales ELSE m END AS forecast FROM tl),
+ res AS (SELECT b.id, b.block, CAST(f.step AS INT) AS step, b.sales - f.forecast AS residual FROM b JOIN f ON f.id = b.id AND f.block = b.block AND b.d = b.cut + f.step)"""
+
+
+@query("rolling_residuals", f"WITH {RESIDUALS} SELECT id, block, step, {rnd('residual', 'residual')} FROM res", "grid lastday")
+def rolling_residuals(t):
+    return rounded(_residuals(t), ["residual"])
+
+
+def _residuals(t):
+    naive = lambda past, keys: C.seasonal_naive(past, keys, HORIZON, 7)
+    recent = t.grid_between(t.last_day - 9 * HORIZON - 7, t.last_day)
+    return E.rolling_residuals(recent, naive, ["id"], HORIZON, 9, lookback=7)
+
+
 @query(
-    "rolling_residuals",
-    f"""WITH b AS (SELECT id, d, sales, CAST(k AS INT) AS block, e - k * 28 AS cut FROM dgrid, lastday, (SELECT unnest(range(1, 10)) AS k)),
- tl AS (SELECT id, block, sales, count(*) OVER (PARTITION BY id, block) AS n, row_number() OVER (PARTITION BY id, block ORDER BY d DESC) AS back FROM b WHERE d > cut - 7 AND d <= cut),
- f AS (SELECT id, block, unnest(range(8 - back, 29, 7)) AS step, sales AS forecast FROM tl WHERE n = 7)
- SELECT b.id, b.block, CAST(f.step AS INT) AS step, b.sales - f.forecast AS residual FROM b JOIN f ON f.id = b.id AND f.block = b.block AND b.d = b.cut + f.step""",
-    "dgrid lastday",
+    "mean_residuals",
+    f"WITH {RESIDUALS} SELECT id, {rnd('avg(residual)', 'mean_residual')}, {rnd('avg(CASE WHEN block = 9 THEN residual END)', 'earliest_mean_residual')} FROM res GROUP BY id",
+    "grid lastday",
 )
-def rolling_residuals(t):
-    naive = lambda past, keys: C.seasonal_naive(past, keys, HORIZON, 7)
-    return E.rolling_residuals(t.dept_grid, naive, ["id"], HORIZON, 9, lookback=7)
+def mean_residuals(t):
+    return rounded(E.mean_residuals(_residuals(t), ["id"], 9), ["mean_residual", "earliest_mean_residual"])
 
 
 QS = ", ".join(map(str, E.QUANTILES))

@@ -40,11 +40,11 @@ def _pad(values, length):
 
 @query(
     "split_by_offset",
-    """WITH r AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS p FROM panel) SELECT id, d, p <= 50 AS in_train, TRUE AS in_test FROM r WHERE p <= 78""",
-    "panel",
+    """WITH r AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS p FROM grid) SELECT id, d, p <= 50 AS in_train, TRUE AS in_test FROM r WHERE p <= 78""",
+    "grid",
 )
 def split_by_offset(t):
-    return X.split_offset(base(t).drop("sales"), ID, 50, 28)
+    return X.split_offset(days(t).drop("sales"), ID, 50, 28)
 
 
 @query("split_by_date", "SELECT id, d, d <= 2000 AS in_train, TRUE AS in_test FROM panel WHERE d <= 2028", "panel")
@@ -80,13 +80,13 @@ def training_instances(t):
 
 @query(
     "prediction_instances",
-    """WITH r AS (SELECT id, list(sales ORDER BY d) AS s, max(d) AS e FROM panel GROUP BY id), x AS (SELECT id, e, s[greatest(1, len(s) - 199):] AS p FROM r)
+    """WITH r AS (SELECT id, list(sales ORDER BY d) AS s, max(d) AS e FROM grid GROUP BY id), x AS (SELECT id, e, s[greatest(1, len(s) - 199):] AS p FROM r)
  SELECT id, CAST(e + 1 AS INT) AS forecast_start, list_concat(list_resize([]::DOUBLE[], 200 - len(p), 0.0), p) AS past_target,
   list_concat(list_resize([]::INT[], 200 - len(p), 1), list_resize([]::INT[], len(p), 0)) AS past_is_pad FROM x""",
-    "panel",
+    "grid",
 )
 def prediction_instances(t):
-    return X.predict_instances(base(t), ID, 200)
+    return X.predict_instances(days(t), ID, 200)
 
 
 @query(

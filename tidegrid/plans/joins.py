@@ -141,13 +141,13 @@ def event_countdown_exact(t):
 
 @query(
     "days_since_last_sale",
-    """WITH l AS (SELECT id, d, lag(CASE WHEN sales > 0 THEN 1 ELSE 0 END, 7) OVER (PARTITION BY id ORDER BY d) AS s FROM dgrid),
+    """WITH l AS (SELECT id, d, lag(CASE WHEN sales > 0 THEN 1 ELSE 0 END, 7) OVER (PARTITION BY id ORDER BY d) AS s FROM grid),
  c AS (SELECT id, d, coalesce(sum(s) OVER (PARTITION BY id ORDER BY d), -1) AS k FROM l)
  SELECT id, d, CAST(d - min(d) OVER (PARTITION BY id, k) AS INT) AS last_sale FROM c""",
-    "dgrid",
+    "grid",
 )
 def days_since_last_sale(t):
-    return J.days_since_last_sale(t.dept_grid.select("id", "d", "sales"), ["id"], 7).drop("sales")
+    return J.days_since_last_sale(t.grid.select("id", "d", "sales"), ["id"], 7).drop("sales")
 
 
 @query(

@@ -62,13 +62,13 @@ def extend_horizon(t):
 
 @query(
     "densify_mean_fill",
-    """WITH s AS (SELECT id, avg(sales) AS m FROM dpanel GROUP BY id), b AS (SELECT min(d) AS a, max(d) AS z FROM dpanel)
+    """WITH s AS (SELECT id, avg(sales) AS m FROM panel GROUP BY id), b AS (SELECT min(d) AS a, max(d) AS z FROM panel)
  SELECT s.id, y.d, round(coalesce(p.sales, s.m), 6) AS sales FROM s CROSS JOIN b JOIN days y ON y.d BETWEEN b.a AND b.z
- LEFT JOIN dpanel p ON p.id = s.id AND p.d = y.d""",
-    "dpanel days",
+ LEFT JOIN panel p ON p.id = s.id AND p.d = y.d""",
+    "panel days",
 )
 def densify_mean_fill(t):
-    return rounded(R.densify(t.dept_panel, ["id"], "d", "sales", "mean"), ["sales"])
+    return rounded(R.densify(t.panel, ["id"], "d", "sales", "mean"), ["sales"])
 
 
 @query(
@@ -85,15 +85,15 @@ def grid_by_series(t):
 
 @query(
     "group_multivariate",
-    """WITH s AS (SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT id FROM dpanel)), b AS (SELECT min(d) AS a FROM dpanel),
- f AS (SELECT s.id, s.k, y.d, coalesce(p.sales, 0) AS sales FROM s JOIN days y ON y.d >= (SELECT a FROM b) LEFT JOIN dpanel p ON p.id = s.id AND p.d = y.d)
+    """WITH s AS (SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT id FROM panel)), b AS (SELECT min(d) AS a FROM panel),
+ f AS (SELECT s.id, s.k, y.d, coalesce(p.sales, 0) AS sales FROM s JOIN days y ON y.d >= (SELECT a FROM b) LEFT JOIN panel p ON p.id = s.id AND p.d = y.d)
  SELECT id, CAST(k - (SELECT max(k) + 1 - 100 FROM s) AS BIGINT) AS dim, min(d) AS start, count(*) AS length, round(sum(sales * (d % 97)), 2) AS fingerprint
  FROM f WHERE k >= (SELECT max(k) + 1 - 100 FROM s) GROUP BY id, k""",
-    "dpanel days",
+    "panel days",
 )
 def group_multivariate(t):
     """Last 100 dimensions, aligned; the array is reduced to its length and a position-weighted sum."""
-    out = R.group_multivariate(t.dept_panel, "id", "d", "sales", 100)
+    out = R.group_multivariate(t.panel, "id", "d", "sales", 100)
     weights = F.transform("target", lambda x, i: x * ((F.col("start") + i) % 97))
     total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
     return out.select("id", "dim", "start", F.size("target").cast("bigint").alias("length"), F.round(total, 2).alias("fingerprint"))
@@ -101,26 +101,28 @@ def group_multivariate(t):
 
 @query(
     "group_test_dates",
-    """WITH s AS (SELECT id, max(d) AS z, row_number() OVER (ORDER BY max(d), id) AS pos, count(*) OVER () AS n FROM dpanel GROUP BY id),
- b AS (SELECT id, z, CAST(floor((pos - 1) / ceil(n / 5.0)) AS INT) AS block FROM s),
- f AS (SELECT block, min(p.d) AS a FROM b JOIN dpanel p ON p.id = b.id GROUP BY block),
- x AS (SELECT b.block, b.id, y.d, coalesce(p.sales, 0) AS sales FROM b JOIN f ON f.block = b.block JOIN days y ON y.d BETWEEN f.a AND b.z LEFT JOIN dpanel p ON p.id = b.id AND p.d = y.d)
- SELECT block, id, count(*) AS length, min(d) AS start, sum(sales) AS total FROM x GROUP BY block, id""",
-    "dpanel days",
+    """WITH c AS (SELECT CAST(k AS INT) AS block, e - 28 * (2 - k) AS z FROM lastday, (SELECT unnest(range(0, 3)) AS k)),
+ s AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS dim FROM panel, lastday GROUP BY id HAVING min(d) <= any_value(e) - 56)
+ SELECT c.block, s.id, s.dim, c.z - (SELECT min(d) FROM panel JOIN s USING (id)) + 1 AS length, (SELECT min(d) FROM panel JOIN s USING (id)) AS start, sum(p.sales) AS total
+ FROM c CROSS JOIN s JOIN panel p ON p.id = s.id AND p.d <= c.z GROUP BY ALL""",
+    "panel lastday",
 )
 def group_test_dates(t):
-    ends = t.dept_panel.groupBy("id").agg(F.max("d").alias("final_day"))
-    out = R.group_test_dates(t.dept_panel.join(ends, "id"), "id", "d", "sales", "final_day", 5)
-    return out.groupBy("block", "id").agg(F.count("*").alias("length"), F.min("d").alias("start"), F.sum("sales").alias("total"))
+    """A rolling test set: every series up to three dates, four weeks apart."""
+    early = t.grid.groupBy("id").agg(F.min("d").alias("f")).filter(F.col("f") <= t.last_day - 56).select("id")
+    cuts = F.explode(F.array(*[t.last_day - 28 * k for k in (2, 1, 0)])).alias("final_day")
+    rows = t.grid.select("id", "d", "sales").join(early, "id").select("id", "d", "sales", cuts).filter("d <= final_day")
+    out = R.group_test_dates(rows, "id", "d", "sales", "final_day", 3)
+    return out.groupBy("block", "id", "dim").agg(F.count("*").alias("length"), F.min("d").alias("start"), F.sum("sales").alias("total"))
 
 
 @query(
     "entries_to_rows",
-    "SELECT id, d, sales FROM dgrid",
-    "dgrid",
+    "SELECT id, d, sales FROM grid",
+    "grid",
 )
 def entries_to_rows(t):
-    entries = R.collect_series(t.dept_grid, ["id"], "d", {"sales": "sales"})
+    entries = R.collect_series(t.grid, ["id"], "d", {"sales": "sales"})
     return R.explode_entries(entries, ["id"], ["sales"])
 
 
@@ -265,9 +267,9 @@ def release_filter(t):
     )
 
 
-@query("first_nonzero_day", "SELECT id, min(d) FILTER (sales <> 0) AS first_day FROM dgrid GROUP BY id", "dgrid")
+@query("first_nonzero_day", "SELECT id, min(d) FILTER (sales <> 0) AS first_day FROM grid GROUP BY id", "grid")
 def first_nonzero_day(t):
-    return clean.first_nonzero(t.dept_grid, ["id"])
+    return clean.first_nonzero(t.grid, ["id"])
 
 
 @query(
@@ -339,11 +341,11 @@ def fill_nulls(t):
 @query(
     "observed_indicator",
     """SELECT s.id, y.d, CAST(p.sales IS NOT NULL AS INT) AS observed, coalesce(p.sales, 0) AS sales
- FROM (SELECT id, min(d) AS f FROM dpanel GROUP BY id) s JOIN days y ON y.d >= s.f LEFT JOIN dpanel p ON p.id = s.id AND p.d = y.d""",
-    "dpanel days",
+ FROM (SELECT id, min(d) AS f FROM panel GROUP BY id) s JOIN days y ON y.d >= s.f LEFT JOIN panel p ON p.id = s.id AND p.d = y.d""",
+    "panel days",
 )
 def observed_indicator(t):
-    gaps = R.fill_gaps(t.dept_panel, ["id"], "d", {"sales": None}, end=t.last_day)
+    gaps = R.fill_gaps(t.panel, ["id"], "d", {"sales": None}, end=t.last_day)
     return clean.observed_indicator(gaps, "sales")
 
 

@@ -111,33 +111,33 @@ NZ = [7, 28, 112]
     "nonzero_share",
     "SELECT id, d, " + ", ".join(
         rnd(f"CASE WHEN count(*) OVER {_frame(0, n)} = {n} THEN avg(CASE WHEN sales <> 0 THEN 1.0::DOUBLE ELSE 0 END) OVER {_frame(0, n)} END", f"pct_nonzero_{n}")
-        for n in NZ) + " FROM dgrid",
-    "dgrid",
+        for n in NZ) + " FROM grid",
+    "grid",
 )
 def nonzero_share(t):
-    """Gap-free department x store grid: every day, sold or not."""
-    out = W.pct_nonzero(t.dept_grid.select("id", "d", "sales"), ID, NZ).drop("sales")
+    """Every day, sold or not."""
+    out = W.pct_nonzero(t.grid.select("id", "d", "sales"), ID, NZ).drop("sales")
     return rounded(out, [f"pct_nonzero_{n}" for n in NZ])
 
 
 @query(
     "age_counts",
     """WITH a AS (SELECT id, d, count(sales) OVER w AS days_since_first, CAST(sum(CASE WHEN sales <> 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS nonzero_days
-  FROM dgrid WINDOW w AS (PARTITION BY id ORDER BY d))
+  FROM grid WINDOW w AS (PARTITION BY id ORDER BY d))
  SELECT *, least(nonzero_days, 30) AS nonzero_days_30, least(nonzero_days, 100) AS nonzero_days_100 FROM a""",
-    "dgrid",
+    "grid",
 )
 def age_counts(t):
-    return W.age_counts(t.dept_grid.select("id", "d", "sales"), ID, [30, 100]).drop("sales")
+    return W.age_counts(t.grid.select("id", "d", "sales"), ID, [30, 100]).drop("sales")
 
 
 @query(
     "trailing_volatility",
-    f"WITH j AS (SELECT id, d, abs(sales - lag(sales) OVER w) AS j FROM panel {WN}) SELECT id, d, {rnd('avg(j) OVER w', 'trailing_vol')} FROM j {WN}",
-    "panel",
+    f"WITH j AS (SELECT id, d, abs(sales - lag(sales) OVER w) AS j FROM grid {WN}) SELECT id, d, {rnd('avg(j) OVER w', 'trailing_vol', nudge=1e-9)} FROM j {WN}",
+    "grid",
 )
 def trailing_volatility(t):
-    return rounded(W.trailing_vol(t.panel.select("id", "d", "sales"), ID).drop("sales"), ["trailing_vol"])
+    return rounded(W.trailing_vol(t.grid.select("id", "d", "sales"), ID).drop("sales"), ["trailing_vol"], nudge=1e-9)
 
 
 PK = ["store_id", "item_id"]
@@ -293,24 +293,24 @@ def between_store_dispersion(t):
 
 @query(
     "trailing_weights",
-    """WITH l AS (SELECT dept_id, id, d, sum(cents) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS t FROM dgrid)
+    """WITH l AS (SELECT dept_id, id, d, sum(cents) OVER (PARTITION BY id ORDER BY d ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS t FROM grid)
  SELECT dept_id, id, d, CAST(t AS BIGINT) AS trailing, round(t / sum(t) OVER (PARTITION BY dept_id, d), 8) AS weight FROM l""",
-    "dgrid",
+    "grid",
 )
 def trailing_weights(t):
-    out = encode.trailing_weights(t.dept_grid.select("dept_id", "id", "d", "cents"), ID, ["dept_id"], 28, value="cents").drop("cents")
+    out = encode.trailing_weights(t.grid.select("dept_id", "id", "d", "cents"), ID, ["dept_id"], 28, value="cents").drop("cents")
     return rounded(out, ["weight"], 8)
 
 
 @query(
     "leading_zero_mask",
-    """WITH b AS (SELECT DISTINCT id FROM dpanel), f AS (SELECT b.id, y.d, coalesce(p.sales, 0) AS sales FROM b CROSS JOIN days y LEFT JOIN dpanel p ON p.id = b.id AND p.d = y.d),
+    """WITH b AS (SELECT DISTINCT id FROM panel), f AS (SELECT b.id, y.d, coalesce(p.sales, 0) AS sales FROM b CROSS JOIN days y LEFT JOIN panel p ON p.id = b.id AND p.d = y.d),
  m AS (SELECT id, d, CASE WHEN max(CASE WHEN sales > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY d) = 1 THEN sales END AS sales FROM f)
  SELECT id, count(*) AS days, count(sales) AS observed, sum(sales) AS total, min(CASE WHEN sales IS NOT NULL THEN d END) AS first_observed FROM m GROUP BY id""",
-    "dpanel days",
+    "panel days",
 )
 def leading_zero_mask(t):
-    masked = mask_leading_zeros(densify(t.dept_panel, ["id"], "d", "sales"), ["id"])
+    masked = mask_leading_zeros(densify(t.panel, ["id"], "d", "sales"), ["id"])
     return masked.groupBy("id").agg(
         F.count("*").alias("days"), F.count("sales").alias("observed"), F.sum("sales").alias("total"),
         F.min(F.when(F.col("sales").isNotNull(), F.col("d"))).alias("first_observed"),
@@ -319,8 +319,8 @@ def leading_zero_mask(t):
 
 @query(
     "last_rows",
-    "SELECT id, d, sales, back FROM (SELECT id, d, sales, CAST(row_number() OVER (PARTITION BY id ORDER BY d DESC) AS INT) AS back FROM panel) WHERE back <= 30",
-    "panel",
+    "SELECT id, d, sales, back FROM (SELECT id, d, sales, CAST(row_number() OVER (PARTITION BY id ORDER BY d DESC) AS INT) AS back FROM grid) WHERE back <= 30",
+    "grid",
 )
 def last_rows(t):
-    return _tail(t.panel.select("id", "d", "sales"), ID, "d", 30)
+    return _tail(t.grid.select("id", "d", "sales"), ID, "d", 30)
