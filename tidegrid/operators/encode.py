@@ -58,8 +58,10 @@ def _mean_std(n: Column, s: Column, s2: Column) -> tuple[Column, Column]:
     return mean, F.sqrt(var)
 
 
-def target_encode(df: DataFrame, groups: list[list[str]], keys: list[str], train: Column, value: str = "sales") -> DataFrame:
-    """Mean and sample std of the training target per group, on every row.
+def target_encode(df: DataFrame, groups: list[list[str]], keys: list[str], train: Column, value: str = "sales",
+                  on: list[str] | None = None) -> DataFrame:
+    """Mean and sample std of the training target per group, on every row. ``on``: columns among ``keys`` that determine
+    the others, which the large join then uses alone.
 
     All groups are functions of ``keys``, so the big table is read once for count, mean and
     squared deviations per key, every group is derived from that small checkpointed table, and
@@ -82,7 +84,8 @@ def target_encode(df: DataFrame, groups: list[list[str]], keys: list[str], train
         mean, std = _mean_std(F.col("n"), F.col("s"), F.col("q"))
         mean = mean + F.col("c")
         out = out.join(sums.select(*group, mean.alias(f"enc_{name}_mean"), std.alias(f"enc_{name}_std")), group)
-    return df.join(out.drop("_n", "_s", "_q", "_c"), keys)
+    on = on or keys
+    return df.join(out.drop("_n", "_s", "_q", "_c", *(k for k in keys if k not in on)), on)
 
 
 def encode_by(df: DataFrame, col: str, by: str, train: Column, value: str = "sales") -> DataFrame:

@@ -253,24 +253,59 @@ def weekday_quantiles(df: DataFrame, keys: list[str], blocks: list[int], day: st
     return stats.select(*keys, "weekpos", zipped).select(*keys, "weekpos", F.col("_z")["q"].alias("q"), mix.alias("week_hist"))
 
 
-def blend_quantiles(fc: DataFrame, hist: DataFrame, weekly: DataFrame) -> DataFrame:
+def _quantiles_of(values: Column) -> Column:
+    """The nine linear-interpolated quantiles of an array without nulls."""
+    probs = F.array(*[F.lit(q) for q in QUANTILES])
+
+    def of_sorted(x: Column) -> Column:
+        def one(p: Column) -> Column:
+            at = (F.size(x) - 1) * p
+            low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+            between = (high - at) * F.get(x, low) + (at - low) * F.get(x, high)
+            return F.when(low == high, F.get(x, low)).otherwise(between)
+
+        return F.transform(probs, one)
+
+    return F.transform(F.array(F.array_sort(values)), of_sorted)[0]
+
+
+def quantile_profiles(df: DataFrame, keys: list[str], spans: list[int], weights: list[float], blocks: list[int], day: str = "d",
+                      value: str = "sales") -> DataFrame:
+    """What ``history_quantiles`` and ``weekday_quantiles`` give, as arrays of one row a series: (keys, hist, week). One pass and
+    one shuffle; a series' recent days are one array, bounded by the longest span."""
+    reach = max(*spans, *(28 * b for b in blocks))
+    end = df.agg(F.max(day)).scalar()
+    rows = df.filter(F.col(day) > end - reach).select(*keys, (end - F.col(day)).alias("_ago"), F.col(value).alias("_v")).filter("_v IS NOT NULL")
+    series = rows.groupBy(*keys).agg(F.collect_list(F.struct("_ago", "_v")).alias("_r"))
+    recent = lambda days, which: F.transform(F.filter("_r", lambda r: (r["_ago"] < days) & which(r)), lambda r: r["_v"])
+    added = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
+    scaled = lambda x, w: F.transform(x, lambda a: a * w)
+    hist = reduce(added, [scaled(_quantiles_of(recent(s, lambda r: F.lit(True))), w) for s, w in zip(spans, weights)])
+
+    def weekday(position: Column) -> Column:
+        of = [_quantiles_of(recent(28 * b, lambda r: F.pmod(-r["_ago"] - 1, F.lit(7)) == position)) for b in blocks]
+        return scaled(reduce(added, of), 1.0 / len(blocks))
+
+    week = F.transform(F.sequence(F.lit(0), F.lit(6)), weekday)
+    return series.select(*keys, scaled(hist, 1.0 / sum(weights)).alias("hist"), week.alias("week"))
+
+
+def blend_quantiles(fc: DataFrame, profiles: DataFrame) -> DataFrame:
     """Bottom level: model, history and weekday history; item x state: model and mean history.
 
-    ``hist``/``weekly`` are per (item_id, store_id, state_id). Fixed values: the blend weights.
+    ``profiles``: (item_id, store_id, state_id, hist, week), one row a series, so the joins do not multiply with steps or
+    quantiles. Fixed values: the blend weights.
     """
-    bottom = (
-        fc.filter("level = 12").drop("state_id")
-        .withColumn("weekpos", (F.col("step") - 1) % 7)
-        .join(hist.drop("state_id"), ["item_id", "store_id", "q"])
-        .join(weekly.drop("state_id"), ["item_id", "store_id", "q", "weekpos"])
-    )
-    mixed = F.when(F.col("q") == 0.5, 0.8 * F.col("value") + 0.2 * F.col("hist")).otherwise(
-        0.2 * F.col("value") + 0.7 * F.col("hist") + 0.1 * F.col("week_hist")
-    )
+    place = F.array_position(F.array(*[F.lit(q) for q in QUANTILES]), F.col("q")).cast("int")
+    middle = F.col("q") == 0.5
+    bottom = fc.filter("level = 12").drop("state_id").join(profiles.drop("state_id"), ["item_id", "store_id"])
+    own, weekly = F.element_at("hist", place), F.element_at(F.get("week", (F.col("step") - 1) % 7), place)
+    mixed = F.when(middle, 0.8 * F.col("value") + 0.2 * own).otherwise(0.2 * F.col("value") + 0.7 * own + 0.1 * weekly)
     bottom = bottom.select("level", "series", "q", "step", mixed.alias("value"))
-    by_state = hist.groupBy("state_id", "item_id", "q").agg(F.avg("hist").alias("hist"))
-    states = fc.filter("level = 11").join(by_state, ["state_id", "item_id", "q"])
-    mixed = F.when(F.col("q") == 0.5, F.col("value")).otherwise(0.91 * F.col("value") + 0.09 * F.col("hist"))
+    means = F.array(*[F.avg(F.get("hist", F.lit(i))) for i in range(len(QUANTILES))])
+    by_state = profiles.groupBy("state_id", "item_id").agg(means.alias("hist"))
+    states = fc.filter("level = 11").join(by_state, ["state_id", "item_id"])
+    mixed = F.when(middle, F.col("value")).otherwise(0.91 * F.col("value") + 0.09 * F.element_at("hist", place))
     states = states.select("level", "series", "q", "step", mixed.alias("value"))
     rest = fc.filter("level < 11").select("level", "series", "q", "step", "value")
     return rest.unionByName(states).unionByName(bottom)

@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 
 def unpivot_days(df: DataFrame, id_cols: list[str], value: str = "sales") -> DataFrame:
-    """Columns d_1..d_n to one row per (series, d)."""
-    days = [c for c in df.columns if c.startswith("d_") and c[2:].isdigit()]
-    return df.unpivot(id_cols, days, "day_name", value).select(
-        *id_cols, F.substring("day_name", 3, 9).cast("int").alias("d"), value
-    )
+    """Columns d_1..d_n to one row per (series, d).
+
+    The day columns become one array of (day, value) that is exploded: with thousands of days this is one expression, where
+    an unpivot would plan a projection of all columns for each of them.
+    """
+    days = sorted((c for c in df.columns if c.startswith("d_") and c[2:].isdigit()), key=lambda c: int(c[2:]))
+    pairs = F.array(*[F.struct(F.lit(int(c[2:])).alias("d"), F.col(c).alias("v")) for c in days])
+    return df.select(*id_cols, F.explode(pairs).alias("_p")).select(*id_cols, F.col("_p.d").alias("d"), F.col("_p.v").alias(value))
+
+
+def pivot_days(df: DataFrame, id_cols: list[str], days: int, day: str = "d", value: str = "sales") -> DataFrame:
+    """One row per series with d_1..d_n; a day without a row is null. A series' rows become one map, so a day's column is a
+    look-up and not an aggregate of its own."""
+    packed = df.groupBy(*id_cols).agg(F.map_from_entries(F.collect_list(F.struct(day, value))).alias("_m"))
+    return packed.select(*id_cols, *[F.element_at("_m", F.lit(i)).alias(f"d_{i}") for i in range(1, days + 1)])
 
 
 def pivot_horizon(df: DataFrame, id_cols: list[str], step: str, value: str, horizon: int) -> DataFrame:

@@ -338,9 +338,8 @@ def blended_quantiles(t):
     t = t.staged
     recent = t.grid_between(t.last_day - 364, t.last_day)
     keys = ["item_id", "store_id", "state_id"]
-    hist = E.history_quantiles(recent, keys, [364, 28], [1.0, 1.75])
-    weekly = E.weekday_quantiles(recent, keys, [13, 3])
-    return rounded(E.blend_quantiles(E.ratio_quantiles(X.fc7(t), "evaluation"), hist, weekly), ["value"], nudge=1e-9)
+    profiles = E.quantile_profiles(recent, keys, [364, 28], [1.0, 1.75], [13, 3])
+    return rounded(E.blend_quantiles(E.ratio_quantiles(X.fc7(t), "evaluation"), profiles), ["value"], nudge=1e-9)
 
 
 @query(

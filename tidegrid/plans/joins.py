@@ -222,7 +222,7 @@ def _enc(g):
 
 @query("target_encodings", f"SELECT id, d, {', '.join(_enc(g) for g in GROUPS)} FROM panel, lastday", "panel lastday")
 def target_encodings(t):
-    out = E.target_encode(t.panel, GROUPS, SERIES, F.col("d") <= t.last_day - 28)
+    out = E.target_encode(t.panel, GROUPS, SERIES, F.col("d") <= t.last_day - 28, on=["id"])
     names = [c for c in out.columns if c.startswith("enc_")]
     return rounded(out.select("id", "d", *names), names)
 

@@ -10,6 +10,7 @@ from tidegrid.operators.hierarchy import KEYS, label_levels, level_scale, rollup
 from tidegrid.plans.flagship import LEVEL, gsets
 from tidegrid.plans.helpers import rounded
 from tidegrid.plans.registry import query
+from tidegrid.sources.files import checkpoint_table
 
 CYCLE = 28
 FS = ", ".join(f'sum(sales) FILTER ((d - 1) % 28 = {i - 1}) AS "F{i}"' for i in range(1, CYCLE + 1))
@@ -26,15 +27,15 @@ def pivot_to_horizon(t):
     return cycle_wide(t)
 
 
-@query(
-    "unpivot_days",
-    "SELECT id, CAST((d - 1) % 28 + 1 AS INT) AS d, sum(sales) AS sales FROM panel GROUP BY ALL",
-    "panel",
-)
+def day_columns(t):
+    """The sales table as it is first read: one row a series, one column a day (2,499 here), stored."""
+    (days,) = t.panel.agg(F.max("d")).first()
+    return checkpoint_table(R.pivot_days(t.panel, ["id", "store_id"], days), "wide")
+
+
+@query("unpivot_days", "SELECT s.id, y.d, p.sales FROM (SELECT DISTINCT id FROM panel) s CROSS JOIN days y LEFT JOIN panel p ON p.id = s.id AND p.d = y.d", "panel days")
 def unpivot_days(t):
-    wide = cycle_wide(t)
-    days = wide.select("id", *[F.col(f"F{i}").alias(f"d_{i}") for i in range(1, CYCLE + 1)])
-    return R.unpivot_days(days, ["id"]).filter("sales is not null")
+    return R.unpivot_days(day_columns(t), ["id"])
 
 
 @query(

@@ -19,17 +19,17 @@ def csv_scan(t):
     return S.read_table(t.spark, path, S.PRICES_SCHEMA)
 
 
-LAST = ", ".join(f"sum(sales) FILTER ((d - 1) % 28 = {i - 1}) AS d_{i}" for i in range(22, 29))
+def _back(i):
+    return f"max(CASE WHEN d = e - {i} THEN sales END) AS back_{i}"
 
 
-@query("pruned_scan", f"SELECT id, {LAST} FROM panel GROUP BY id", "panel")
+@query("pruned_scan", f"SELECT id, {', '.join(_back(i) for i in range(7))} FROM panel, lastday GROUP BY id", "panel lastday")
 def pruned_scan(t):
-    """Only the last seven day columns of a wide table are read."""
-    from tidegrid.plans.reshape import cycle_wide
+    """Only the last seven of the stored table's day columns are read."""
+    from tidegrid.plans.reshape import day_columns
 
-    wide = cycle_wide(t).select("id", *[F.col(f"F{i}").alias(f"d_{i}") for i in range(1, 29)])
-    stored = S.checkpoint_table(wide, "wide")
-    return S.last_days(stored, ["id"], 7)
+    recent = S.last_days(day_columns(t), ["id"], 7)
+    return recent.select("id", *[F.col(c).alias(f"back_{i}") for i, c in enumerate(reversed(recent.columns[1:]))])
 
 
 def series_entries(t):

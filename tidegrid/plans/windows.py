@@ -183,31 +183,50 @@ def price_vs_rolling_mean(t):
 SPANS = {"ewm_3": 3, "ewm_7": 7, "ewm_30": 30, "ewm_100": 100}
 
 
-def _ewm(name, span, x="sales", digits=6):
+def _ewm(name, span, x="sales", digits=6, nudge=0.0):
     r = 1 - 2.0 / (span + 1)
     return rnd(
-        f"CASE WHEN count({x}) OVER w >= {W.min_periods(span)} THEN sum({x} * pow({r!r}, -i)) OVER w / sum(CASE WHEN {x} IS NOT NULL THEN pow({r!r}, -i) END) OVER w END", name, digits)
+        f"CASE WHEN count({x}) OVER w >= {W.min_periods(span)} THEN sum({x} * pow({r!r}, -i)) OVER w / sum(CASE WHEN {x} IS NOT NULL THEN pow({r!r}, -i) END) OVER w END", name, digits, nudge)
+
+
+def _ewm_days(spans):
+    """Every day of a series with its number and, for spans whose weights outgrow a double over a series, the sums of the day's
+    block of 256 days and of the block before; older blocks weigh less than 1e-30."""
+    short = {n: 1 - 2.0 / (k + 1) for n, k in spans.items() if k <= 7}
+    sums = lambda r: f"sum(sales * pow({r!r}, -j)) {{0}} AS {{1}}n, sum(pow({r!r}, -j)) {{0}} AS {{1}}m"
+    inside = ", ".join(sums(r).format("OVER b", n) for n, r in short.items())
+    whole = ", ".join(sums(r).format("", f"p{n}") for n, r in short.items())
+    return f"""x AS (SELECT id, d, sales, i, i // 256 AS k, i % 256 AS j FROM (SELECT id, d, sales, row_number() OVER w - 1 AS i FROM grid {WN})),
+ i AS (SELECT x.*, {inside} FROM x WINDOW b AS (PARTITION BY id, k ORDER BY d)), z AS (SELECT id, k + 1 AS k, {whole} FROM x GROUP BY id, k),
+ y AS (SELECT i.*, z.* EXCLUDE (id, k) FROM i LEFT JOIN z ON z.id = i.id AND z.k = i.k)"""
+
+
+def _ewm_of(name, span, digits=6, nudge=0.0):
+    if span > 7:
+        return _ewm(name, span, digits=digits, nudge=nudge)
+    far = f"pow({1 - 2.0 / (span + 1)!r}, 256)"
+    ratio = f"({name}n + {far} * coalesce(p{name}n, 0)) / ({name}m + {far} * coalesce(p{name}m, 0))"
+    return rnd(f"CASE WHEN count(sales) OVER w >= {W.min_periods(span)} THEN {ratio} END", name, digits, nudge)
 
 
 @query(
     "ewm_means",
-    f"WITH i AS (SELECT id, d, sales, row_number() OVER w - 1 AS i FROM panel {WN}) SELECT id, d, "
-    + ", ".join(_ewm(n, s) for n, s in SPANS.items()) + f" FROM i {WN}",
-    "panel",
+    f"WITH {_ewm_days(SPANS)} SELECT id, d, " + ", ".join(_ewm_of(n, s, nudge=1e-9) for n, s in SPANS.items()) + f" FROM y {WN}",
+    "grid",
 )
 def ewm_means(t):
-    out = W.ewm_mean(t.panel.select("id", "d", "sales"), ID, SPANS).drop("sales")
-    return rounded(out, list(SPANS))
+    out = W.ewm_mean(t.grid.select("id", "d", "sales"), ID, SPANS).drop("sales")
+    return rounded(out, list(SPANS), nudge=1e-9)
 
 
 @query(
     "ewm_recursive",
-    f"""WITH i AS (SELECT id, d, sales, row_number() OVER w - 1 AS i FROM panel {WN})
+    f"""WITH i AS (SELECT id, d, sales, row_number() OVER w - 1 AS i FROM grid {WN})
  SELECT id, d, {rnd('pow(1 - 2.0::DOUBLE / 21, i) * sum(sales * CASE WHEN i = 0 THEN 1 ELSE 2.0::DOUBLE / 21 END * pow(1 - 2.0::DOUBLE / 21, -i)) OVER w', 'ewm_20')} FROM i {WN}""",
-    "panel",
+    "grid",
 )
 def ewm_recursive(t):
-    out = W.ewm_recursive(t.panel.select("id", "d", "sales"), ["id"], {"ewm_20": 20}).drop("sales")
+    out = W.ewm_recursive(t.grid.select("id", "d", "sales"), ["id"], {"ewm_20": 20}).drop("sales")
     return rounded(out, ["ewm_20"])
 
 
@@ -225,15 +244,18 @@ def snap_nth_day(t):
     return snap_features(t.calendar, {f"snap_{s}": s for s in ("AFRICA", "AMERICA", "ASIA")}, 15)
 
 
+CROSS = {"a": 7, "b": 30}
+
+
 @query(
     "ma_crosses",
-    f"""WITH i AS (SELECT id, d, sales, row_number() OVER w - 1 AS i FROM panel {WN}), e AS (SELECT id, d, {_ewm('a', 7, digits=12)}, {_ewm('b', 30, digits=12)} FROM i {WN})
- SELECT id, d, {rnd('a - b', 'a_minus_b', 5)}, {rnd('a / b', 'a_over_b', 5)} FROM e""",
-    "panel",
+    f"""WITH {_ewm_days(CROSS)}, e AS (SELECT id, d, {', '.join(_ewm_of(n, k, 12) for n, k in CROSS.items())} FROM y {WN})
+ SELECT id, d, {rnd('a - b', 'a_minus_b', 5)}, {rnd('CASE WHEN b <> 0 THEN a / b END', 'a_over_b', 5)} FROM e""",
+    "grid",
 )
 def ma_crosses(t):
-    e = W.ewm_mean(t.panel.select("id", "d", "sales"), ID, {"a": 7, "b": 30}).drop("sales")
-    return rounded(W.ma_crosses(e, ["a", "b"]).drop("a", "b"), ["a_minus_b", "a_over_b"], 5)
+    e = rounded(W.ewm_mean(t.grid.select("id", "d", "sales"), ID, CROSS).drop("sales"), list(CROSS), 12)
+    return rounded(W.ma_crosses(e, list(CROSS)).drop(*CROSS), ["a_minus_b", "a_over_b"], 5)
 
 
 @query(
