@@ -11,9 +11,11 @@ from tests.conftest import FOLDER
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = [
-    "wrmsse_by_level", "revenue_weights", "hierarchy_rollup", "rolling_shifted", "ewm_means", "target_encodings",
+    "wrmsse_by_level", "revenue_weights", "hierarchy_rollup", "target_encodings",
     "event_countdown", "price_momentum", "seasonal_naive", "metrics_total", "bin_global", "continuous_time_instances",
     "resample_hourly", "group_test_dates", "ordinal_codes", "kernel_quantiles", "blended_quantiles", "holiday_distances",
+    "owa", "weighted_pinball_by_level", "parameter_search_ridge", "permutation_importance_mean", "continuous_time_lengths",
+    "jsonl_scan", "dataset_round_trip", "mean_residuals", "holdout_wrmsse", "target_out_of_sample", "fit_by_store_poisson",
 ]
 
 

@@ -42,23 +42,29 @@ def expand_horizon(df: DataFrame, h: int) -> DataFrame:
     return df.withColumn("days_fwd", F.explode(F.sequence(F.lit(1), F.lit(h))))
 
 
-def join_horizon(df: DataFrame, cal: DataFrame, columns: list[str], day: str = "d") -> DataFrame:
-    """The calendar at the base day (_d) and at the base day + days_fwd (_p)."""
+def join_horizon(df: DataFrame, cal: DataFrame, columns: list[str], h: int, day: str = "d") -> DataFrame:
+    """Each row for days_fwd 1..h with the calendar at its base day (_d) and at the base day + days_fwd (_p). The base
+    day is joined before a row becomes h."""
     base = cal.select(F.col("d").alias(day), *[F.col(c).alias(f"{c}_d") for c in columns])
     ahead = cal.select(F.col("d").alias("_t"), *[F.col(c).alias(f"{c}_p") for c in columns])
-    return (
-        df.withColumn("_t", F.col(day) + F.col("days_fwd"))
-        .join(base, day)
-        .join(ahead, "_t", "left")
-        .drop("_t")
-    )
+    rows = expand_horizon(df.join(base, day), h)
+    return rows.withColumn("_t", F.col(day) + F.col("days_fwd")).join(ahead, "_t", "left").drop("_t")
+
 
+def horizon_targets(df: DataFrame, keys: list[str], h: int, oos: bool, day: str = "d", value: str = "sales") -> DataFrame:
+    """Each row for days_fwd 1..h with the target ``y`` that many days on. In sample, days without one drop out; out of
+    sample it is -1.
 
-def attach_target(df: DataFrame, actual: DataFrame, keys: list[str], oos: bool, day: str = "d", value: str = "sales") -> DataFrame:
-    """Target at base day + days_fwd. In sample rows without one drop out; out of sample it is -1."""
-    y = actual.select(*keys, F.col(day).alias("_t"), F.col(value).alias("y"))
-    out = df.withColumn("_t", F.col(day) + F.col("days_fwd")).join(y, [*keys, "_t"], "left" if oos else "inner")
-    return out.withColumn("y", F.coalesce(F.col("y"), F.lit(-1.0))).drop("_t") if oos else out.drop("_t")
+    The next h days of a row are a frame of its series, so the rows are shuffled once, before one becomes h.
+    """
+    coming = Window.partitionBy(*keys).orderBy(day).rangeBetween(1, h)
+    rows = df.withColumn("_a", F.collect_list(F.struct(F.col(day).alias("t"), F.col(value).alias("v"))).over(coming))
+    if oos:
+        rows = rows.withColumn("_m", F.map_from_entries("_a"))
+        steps = F.transform(F.sequence(F.lit(1), F.lit(h)), lambda k: F.struct(k.alias("days_fwd"), F.coalesce(F.element_at("_m", F.col(day) + k), F.lit(-1.0)).alias("y")))
+    else:
+        steps = F.transform("_a", lambda x: F.struct((x["t"] - F.col(day)).alias("days_fwd"), x["v"].alias("y")))
+    return rows.select(*df.columns, F.inline(steps))
 
 
 def event_countdown(cal: DataFrame, columns: dict[str, list[str]], k: int = 30, exact: bool = False, day: str = "d") -> DataFrame:

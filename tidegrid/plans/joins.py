@@ -94,8 +94,7 @@ def assemble_features(t):
     "panel calendar",
 )
 def base_and_target_day_calendar(t):
-    rows = J.expand_horizon(t.panel.select("d", "sales"), 28)
-    out = J.join_horizon(rows, t.calendar, ["wday", "month"])
+    out = J.join_horizon(t.panel.select("d", "sales"), t.calendar, ["wday", "month"], 28)
     return out.groupBy("days_fwd", "wday_d", "wday_p", "month_p").agg(F.count("*").alias("n"), F.sum("sales").alias("sales"))
 
 
@@ -106,13 +105,13 @@ def _target_sql(join, y):
 
 @query("target_in_sample", _target_sql("", "a.sales"), "panel")
 def target_in_sample(t):
-    out = J.attach_target(J.expand_horizon(t.panel.select("id", "d"), 28), t.panel, ["id"], oos=False)
+    out = J.horizon_targets(t.panel.select("id", "d", "sales"), ["id"], 28, oos=False)
     return rounded(out.groupBy("id", "days_fwd").agg(F.count("*").alias("n"), F.avg("y").alias("y")), ["y"])
 
 
 @query("target_out_of_sample", _target_sql("LEFT", "coalesce(a.sales, -1)"), "panel")
 def target_out_of_sample(t):
-    out = J.attach_target(J.expand_horizon(t.panel.select("id", "d"), 28), t.panel, ["id"], oos=True)
+    out = J.horizon_targets(t.panel.select("id", "d", "sales"), ["id"], 28, oos=True)
     return rounded(out.groupBy("id", "days_fwd").agg(F.count("*").alias("n"), F.avg("y").alias("y")), ["y"])
 
 
