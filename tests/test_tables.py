@@ -151,3 +151,13 @@ def test_test_dates_are_padded_to_the_first_day(spark):
         R.group_test_dates(df, "id", "d", "sales", "final", 3).collect()
     with pytest.raises((PySparkException, Py4JJavaError), match="different days"):
         R.group_test_dates(df.filter("NOT (id = 'b' AND d = 12)"), "id", "d", "sales", "final", 1).collect()
+
+
+def test_zone_rules(spark):
+    df = spark.createDataFrame([("2020-01-01T10:00:00",), ("2020-01-01T10:00:00Z",), ("2020-01-01 10:00:00+02:00",), ("2020-01-01T00:30:00-0530",)], "start string")
+    of = lambda rule: [str(r.start) for r in N.utc_start(df, rule).collect()]
+    assert of("ignore") == ["2020-01-01 10:00:00"] * 3 + ["2020-01-01 00:30:00"]
+    assert of("utc") == ["2020-01-01 10:00:00"] * 2 + ["2020-01-01 08:00:00", "2020-01-01 06:00:00"]
+    with pytest.raises((PySparkException, Py4JJavaError), match="not accepted"):
+        of("error")
+    assert N.utc_start(df.limit(1), "error").count() == 1

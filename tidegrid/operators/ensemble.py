@@ -329,10 +329,15 @@ def copy_aggregate(samples: DataFrame, keys: list[str], how, value: str = "value
     return samples.groupBy(*keys).agg(how(F.col(value)).alias(value))
 
 
-def forecast_json(quantiles: DataFrame, keys: list[str], named: dict[str, str], mean: str = "mean") -> DataFrame:
-    """One JSON document per series: mean and quantile arrays in step order."""
+def forecast_json(quantiles: DataFrame, keys: list[str], named: dict[str, str], mean: str = "mean", samples: DataFrame | None = None) -> DataFrame:
+    """One JSON document per series: mean and quantile arrays in step order, and with ``samples`` (keys, sample, step,
+    value) the sample paths, in order."""
     row = F.struct("step", F.col(mean).alias("mean"), *[F.col(c).alias(n) for n, c in named.items()])
     packed = quantiles.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_r"))
-    quants = F.struct(*[F.col("_r")[n].alias(n) for n in named])
-    doc = F.to_json(F.struct(F.col("_r")["mean"].alias("mean"), quants.alias("quantiles")))
-    return packed.select(*keys, doc.alias("document"))
+    parts = [F.col("_r")["mean"].alias("mean"), F.struct(*[F.col("_r")[n].alias(n) for n in named]).alias("quantiles")]
+    if samples is not None:
+        paths = samples.groupBy(*keys, "sample").agg(F.array_sort(F.collect_list(F.struct("step", "value"))).alias("_v"))
+        paths = paths.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", F.col("_v.value").alias("v")))).alias("_s"))
+        packed = packed.join(paths, keys)
+        parts.append(F.col("_s.v").alias("samples"))
+    return packed.select(*keys, F.to_json(F.struct(*parts)).alias("document"))

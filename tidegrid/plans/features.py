@@ -302,22 +302,19 @@ def boxcox(t):
 @query(
     "entry_fields",
     """WITH e AS (SELECT id, list(sales ORDER BY d) AS target, list(CAST(d AS DOUBLE) ORDER BY d) AS days FROM panel GROUP BY id)
- SELECT id AS item, len(target) AS length, 2 AS rows, len(target) * 2 AS joined, 'D' AS freq, 1 AS last_index FROM e""",
+ SELECT id AS item, 'D' AS freq, [target, days] AS matrix, [0, 1] AS dims, list_concat(target, days) AS joined, [days] AS expanded FROM e""",
     "panel",
 )
 def entry_fields(t):
-    """Rename, drop, set, stack, concat and index fields of array entries."""
+    """Rename, set, stack, index, concat, expand and select fields of array entries."""
     from tidegrid.operators.reshape import collect_series
 
     e = collect_series(t.panel.withColumn("day", F.col("d").cast("double")), ["id"], "d", {"target": "sales", "days": "day"})
     e = S.set_field(S.rename_fields(e, {"id": "item"}), "freq", F.lit("D"), only_if_absent=True)
-    e = e.withColumn("both", F.concat("target", "days"))
+    e = e.withColumns({"a": F.col("target"), "b": F.col("days"), "expanded": F.col("days")})
     e = S.add_dim_index(S.stack_fields(e, ["target", "days"], "matrix"), "matrix", "dims")
-    e = e.select(
-        "item", F.size(F.col("matrix")[0]).cast("bigint").alias("length"), F.size("matrix").alias("rows"),
-        F.size("both").cast("bigint").alias("joined"), "freq", F.array_max("dims").alias("last_index"), "start",
-    )
-    return S.select_fields(e, ["item", "length", "rows", "joined", "freq", "last_index"])
+    e = S.expand_dims(S.concat_fields(e, ["a", "b"], "joined"), "expanded")
+    return S.select_fields(e, ["item", "freq", "matrix", "dims", "joined", "expanded", "absent"])
 
 
 @query("noise_features")

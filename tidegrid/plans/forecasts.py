@@ -398,7 +398,16 @@ def sample_dimension_ops(t):
     return one.unionByName(total)
 
 
-@query("forecast_json")
+@query(
+    "forecast_json",
+    f"""WITH {SAMPLES}, q AS (SELECT id, step, avg(value) AS mean, {_pick(0.1)} AS q0, {_pick(0.5)} AS q1, {_pick(0.9)} AS q2 FROM sm GROUP BY id, step),
+ m AS (SELECT id, list(mean ORDER BY step) AS mean, list(q0 ORDER BY step) AS q0, list(q1 ORDER BY step) AS q1, list(q2 ORDER BY step) AS q2 FROM q GROUP BY id),
+ s AS (SELECT id, sample, list(value ORDER BY step) AS v FROM sm GROUP BY id, sample), p AS (SELECT id, list(v ORDER BY sample) AS samples FROM s GROUP BY id)
+ SELECT m.id, CAST(to_json({{'mean': mean, 'quantiles': {{'0.1': q0, '0.5': q1, '0.9': q2}}, 'samples': samples}}) AS VARCHAR) AS document FROM m JOIN p ON p.id = m.id""",
+    "grid lastday",
+)
 def forecast_json(t):
-    q = E.sample_quantiles(week_samples(t), ["id", "step"], PROBS)
-    return E.forecast_json(q, ["id"], {"0.1": "q0", "0.5": "q1", "0.9": "q2"})
+    """Mean, three quantiles and all sample paths of every series."""
+    samples = week_samples(t)
+    q = E.sample_quantiles(samples, ["id", "step"], PROBS)
+    return E.forecast_json(q, ["id"], {"0.1": "q0", "0.5": "q1", "0.9": "q2"}, samples=samples)

@@ -67,6 +67,18 @@ def validate_entries(t):
     return N.validate_entries(e.withColumn("start", start), "week", ["item_id", "start"], {"target": 1}).select("item_id", "problem")
 
 
+@query(
+    "start_time_zones",
+    """SELECT event_id, date_trunc('second', ts) AS ignored, date_trunc('second', ts) - to_minutes(CASE event_id % 3 WHEN 1 THEN 120 WHEN 2 THEN -330 ELSE 0 END) AS utc FROM events""",
+)
+def start_time_zones(t):
+    """Times as text, two in three with an offset, under two of the rules."""
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.when(F.col("event_id") % 3 == 1, "+02:00").when(F.col("event_id") % 3 == 2, "-0530").otherwise("")
+    e = t.table("events").select("event_id", F.concat(text, zone).alias("ignored"), F.concat(text, zone).alias("utc"))
+    return N.utc_start(N.utc_start(e, "ignore", "ignored"), "utc", "utc")
+
+
 @query(
     "dataset_round_trip",
     """WITH c AS (SELECT store_id, CAST(dense_rank() OVER (ORDER BY store_id) - 1 AS INT) AS code FROM (SELECT DISTINCT store_id FROM panel)),

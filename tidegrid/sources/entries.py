@@ -43,13 +43,29 @@ def validate_entries(df: DataFrame, freq: str, required: list[str], ranks: dict[
     return df.withColumn("problem", problem)
 
 
-def utc_start(df: DataFrame, zone: str, rule: str) -> DataFrame:
-    """Timezone rule: ignore it, convert to UTC, or refuse."""
+#: An offset or Z at the end of a time.
+_ZONED = r"(Z|[+-]\d{2}:?\d{2})$"
+
+
+def utc_start(df: DataFrame, rule: str, column: str = "start") -> DataFrame:
+    """Start times (text, with or without an offset) as times without a zone. Rules: ``ignore`` the offset, convert to ``utc``,
+    or ``error``, which fails the job where a time has one."""
+    if rule not in ("ignore", "utc", "error"):
+        raise ValueError(f"unknown rule {rule}")
+    text = F.col(column)
+    local = F.to_timestamp_ntz(F.regexp_replace(text, _ZONED, ""))
+    zoned = text.rlike(_ZONED)
     if rule == "error":
-        raise ValueError("entries with a timezone are not accepted")
+        said = F.concat(F.lit("times with a zone are not accepted: "), text)
+        return df.withColumn(column, F.when(zoned, F.raise_error(said).cast("timestamp_ntz")).otherwise(local))
     if rule == "ignore":
-        return df
-    return df.withColumn("start", F.to_utc_timestamp("start", zone))
+        return df.withColumn(column, local)
+    offset = F.regexp_extract(text, _ZONED, 1)
+    sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
+    digits = F.regexp_replace(offset, "[^0-9]", "")
+    minutes = sign * (F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int"))
+    shift = F.make_interval(mins=-F.when(F.length(digits) == 4, minutes).otherwise(0))
+    return df.withColumn(column, F.when(zoned, local + shift).otherwise(local))
 
 
 def to_entries(sales: DataFrame, calendar: DataFrame, key: str, static: list[str], dynamic: list[str]) -> DataFrame:
