@@ -269,7 +269,7 @@ def holdout_wrmsse(t):
     "training_losses",
     f"""WITH w AS (SELECT id, abs(sales - lag(sales, 7) OVER (PARTITION BY id ORDER BY d)) AS j FROM grid, lastday WHERE d > e - 56), s AS (SELECT id, avg(j) / nullif(count(j), 0) AS err FROM w GROUP BY id)
  SELECT e.id, round(200.0 / 28 * avg({_flat('abs(y - forecast)', '(abs(y) + abs(forecast))')}), 6) AS smape100, round(100.0 / 28 * avg({_flat('abs(y - forecast)', 'abs(y)')}), 6) AS mape100,
- {rnd(_zero('avg(abs(y - forecast))', 'any_value(s.err)'), 'mase_n', 5)} FROM ev e JOIN s ON s.id = e.id GROUP BY e.id""",
+ {rnd(_zero('avg(abs(y - forecast))', 'any_value(s.err)'), 'mase_n', 5, nudge=1e-9)} FROM ev e JOIN s ON s.id = e.id GROUP BY e.id""",
     "ev grid lastday",
 )
 def training_losses(t):
@@ -278,7 +278,7 @@ def training_losses(t):
     pair = X.actuals(t).join(X.fc7(t).select("id", "step", "forecast"), ["id", "step"])
     pair = pair.join(X.hist(t).select("id"), "id", "left_semi")
     whole = t.grid_between(cut - HORIZON, cut + HORIZON).select("id", "d", "sales")
-    return rounded(rounded(M.training_losses(pair, whole, ["id"], HORIZON, 7), ["smape100", "mape100"]), ["mase_n"], 5)
+    return rounded(rounded(M.training_losses(pair, whole, ["id"], HORIZON, 7), ["smape100", "mape100"]), ["mase_n"], 5, nudge=1e-9)
 
 
 @query(
