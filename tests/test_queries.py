@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -31,6 +32,8 @@ def norm(pdf):
     def one(v):
         if v is None or v is pd.NA or v is pd.NaT:
             return None
+        if isinstance(v, (list, np.ndarray)):  # a masked array's list has None where it is masked
+            return tuple(one(x) for x in (v if isinstance(v, list) else v.tolist()))
         if isinstance(v, float):
             return None if math.isnan(v) else round(v, 5)
         return v.item() if hasattr(v, "item") else str(v) if hasattr(v, "isoformat") else v
