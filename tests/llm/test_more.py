@@ -1,5 +1,6 @@
 """Chunk dedup, factor machine, top products, chat windows, licences, pipeline against plain Python."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -329,6 +330,22 @@ def test_scan_equals_plain_python(spark, licence_model):
         np.testing.assert_allclose([e[2:] for e in got], [e[2:] for e in want], atol=1e-6)
 
 
+def test_scan_looks_at_all_that_meets_the_conditions(spark, licence_model):
+    """Notices with some words left out: each that meets the bound, the share and has a word of its family is named."""
+    model, want = licence_model, {}
+    for notice in (n for ns in licences.NOTICES.values() for n in ns):
+        words = notice.split()
+        for at, lost in itertools.product(range(len(words)), range(1, 5)):
+            text = " ".join(words[:at] + words[at + lost :])
+            have, p = licences.words_of(text), np.array(model.probabilities(text))
+            family = licences.FAMILIES[int(p[:-1].argmax())]
+            if p[:-1].max() >= model.sure and licences.template_share(have, family) >= licences.SHARED and set(model.own[family]) & set(licences.grams(have)):
+                want[text] = family
+    docs = spark.createDataFrame(list(want.items()), "text string, family string")
+    found = {r.text: [e.family for e in r.licences] for r in licences.scan(docs, model).collect()}
+    assert len(want) > 1000 and not {t: (f, found[t]) for t, f in want.items() if found[t] != [f]}
+
+
 def test_licences_beside_the_notices(spark):
     lines = ["Copyright (c) 2020 X. All rights reserved.", "Licenced under the Y licence", "see licenses"]
     # the sample has words of the notices, as any corpus may

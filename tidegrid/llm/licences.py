@@ -6,8 +6,8 @@ the examples calibrates a temperature. The least probability of a named family i
 model has not seen: a quarter of the families is left out at a time, and the bound is chosen that keeps apart left-out
 families, which should be unknown, and examples of the known ones.
 
-A cue is a word or pair that one family alone has, with a word that the corpus rarely has; every notice and name has one at
-most, the one that the fit weighs most for its family.
+A cue is a word or pair that one family alone has, with a word that the corpus rarely has. A paragraph that is named has
+one of its family's, so all of them are looked for and the look leaves out nothing that meets the conditions.
 
 Scan (column expressions only, in the row, no shuffle): a text without a cue that does not speak of a licence is done at one
 look. Else a line that is a whole notice by itself is a paragraph, and the other lines that follow one another without
@@ -151,13 +151,9 @@ def fit(others: list[str]) -> LicenceModel:
     seen = Counter(g for o in others for g in set(words_of(o)))
     rare = lambda g: any(seen[w] <= COMMON * len(others) and not w.isdigit() for w in g.split())
     own = {f: sorted(g for g in own_grams(f) if rare(g)) for f in FAMILIES}
-    lead = lambda g, k: float(w[place[g], k] - w[place[g], -1])
-    cues = set()
-    for k, f in enumerate(FAMILIES):
-        for text in NOTICES[f] + NAMES[f]:
-            mine = [g for g in grams(words_of(text)) if g in set(own[f])]
-            if mine:
-                cues.add(max(mine, key=lambda g: (" " not in g) * 1e-3 + lead(g, k)))
+    # a pair with a word that is a cue by itself adds nothing
+    cues = {g for f in FAMILIES for g in own[f]}
+    cues = {g for g in cues if " " not in g or cues.isdisjoint(g.split())}
     # probabilities of examples that the other conditions let pass: of known families, and of families that the model was
     # fitted without
     def best(which: np.ndarray, w: np.ndarray, b: np.ndarray, without: set[int]) -> np.ndarray:
