@@ -63,6 +63,16 @@ def test_encode_decode_tables(spark, odd, none):
     assert byte_bpe.decode(byte_bpe.encode(none, ranks, P.PATTERN), ranks, P.PATTERN).count() == 0
 
 
+def test_encode_and_decode_in_one_pass(spark, odd, none):
+    """The same rows as one after the other; the query has one Python worker a task, so one memo."""
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    rows = lambda df: Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in df.collect())
+    assert rows(byte_bpe.encode(odd, ranks, P.PATTERN, decoded=True)) == rows(byte_bpe.decode(byte_bpe.encode(odd, ranks, P.PATTERN), ranks, P.PATTERN))
+    assert byte_bpe.encode(none, ranks, P.PATTERN, decoded=True).count() == 0
+    plan = QUERIES["op3_byte_bpe"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_digests(spark):
     want = whole("byte_bpe_50k.json")
     rows = {r.doc_id: r for r in QUERIES["op3_byte_bpe"](spark, FOLDER).collect()}

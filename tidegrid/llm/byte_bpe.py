@@ -160,22 +160,28 @@ def codec(path: str, pattern: str) -> tuple[ByteBpe, UnitEncoder]:
     return bpe, UnitEncoder("byte", lambda units: [encode(u) for u in units])
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """doc_id and ids (array of int) of each whole text, each match of the pattern by itself, no special tokens.
 
+    With ``decoded``, also a column of the bytes that the ids stand for, decoded in the same pass. ``decode`` after ``encode``
+    gives the same, but a task then has two workers that swap roles from task to task, so each comes to hold the memo.
+
     Null or empty text: an empty array. Null or repeated ids: a row for each row. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, units = codec(ranks, pattern)
+        bpe, units = codec(ranks, pattern)
         for batch in sliced(batches):
             found = units([text or "" for text in batch.column(1).to_pylist()])
             ends = np.cumsum([0, *map(len, found)]) // 4
             values = pa.array(np.frombuffer(b"".join(found), "<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "ids"])
+            columns = {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+            if decoded:
+                columns["decoded"] = bpe.decode_many(columns["ids"])
+            yield pa.RecordBatch.from_pydict(columns)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>")
+    return source.mapInArrow(run, "doc_id long, ids array<int>" + (", decoded binary" if decoded else ""))
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids") -> DataFrame:
